@@ -109,14 +109,24 @@ def shift_of(hour) -> Column:
     )
 
 
+_EPOCH_DATE = "1970-01-01"
+
+
+def _second_of_day(t: Column) -> Column:
+    return (F.hour(t) * 3600 + F.minute(t) * 60).cast("double") + F.extract(F.lit("SECOND"), t).cast("double")
+
+
 def seconds_between(a, b) -> Column:
-    """Elapsed seconds from a to b as a double."""
-    return F.timestamp_diff("SECOND", col(a), col(b)).cast("double")
+    """Elapsed seconds from a to b as a double, computed on the wall-clock calendar
+    (timestamp_ntz has no zone; `timestamp_diff` would apply the session zone's DST)."""
+    a, b = col(a), col(b)
+    days = F.datediff(F.to_date(b), F.to_date(a)).cast("double")
+    return days * 86400.0 + _second_of_day(b) - _second_of_day(a)
 
 
 def floor_days_between(a, b) -> Column:
     """Whole elapsed days from a to b (floor of the elapsed time)."""
-    return F.timestamp_diff("DAY", col(a), col(b))
+    return F.floor(seconds_between(a, b) / 86400.0)
 
 
 def bias_corrected_skew(g1, n) -> Column:
@@ -139,3 +149,24 @@ def human_seconds(s) -> Column:
             F.format_string("%dh %dm", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60))
         )
     )
+
+
+def trunc_ntz(unit: str, ts) -> Column:
+    """Truncate a timestamp_ntz to hour/day/week (Monday)/month without any time zone."""
+    t = col(ts)
+    d = F.to_date(t)
+    if unit == "hour":
+        return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.lit(0), F.lit(0))
+    if unit == "day":
+        return d.cast("timestamp_ntz")
+    if unit == "week":
+        return F.date_sub(d, F.weekday(t)).cast("timestamp_ntz")
+    if unit == "month":
+        return F.trunc(d, "month").cast("timestamp_ntz")
+    raise ValueError(f"unsupported unit {unit}")
+
+
+def hour_bucket(ts) -> Column:
+    """Whole hours since 1970-01-01 of a timestamp_ntz (monotone, zone free)."""
+    t = col(ts)
+    return F.datediff(F.to_date(t), F.lit(_EPOCH_DATE).cast("date")).cast("bigint") * 24 + F.hour(t)

@@ -19,7 +19,5 @@ def publish(df: DataFrame, digits: int = 6) -> DataFrame:
             c = rnd(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
-        elif isinstance(f.dataType, T.BooleanType):
-            c = c.cast("bigint")
         cols.append(c.alias(f.name))
     return df.select(*cols)

@@ -24,6 +24,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import hour_bucket
 from ..schema import DEFAULT
 
 ORDER = ("StartTime", "JobNumber")
@@ -36,11 +37,10 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def with_position(df: DataFrame, keys, order=ORDER, ts: str = "StartTime",
-                  unit: str = DEFAULT.bucket_unit, pos_col: str = "_pos") -> DataFrame:
+def with_position(df: DataFrame, keys, order=ORDER, ts: str = "StartTime", pos_col: str = "_pos") -> DataFrame:
     """Add the 0-based position of each row within its key, ordered by `order`."""
     keys = list(keys)
-    d = df.withColumn("_b", F.date_trunc(unit, F.col(ts)))
+    d = df.withColumn("_b", hour_bucket(ts))
     counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (avg_rank_desc, cap1, cut, floor_days_between, not_unknown, perf_score,
-                               rel_consistency, rnd, row_sum, sdiv)
+                               rel_consistency, rnd, row_sum, sdiv, trunc_ntz)
 from ..schema import DOWNTIME
 
 
@@ -329,7 +329,7 @@ def period_metrics(F_: DataFrame, level: str = "day", machines=None, operators=N
         d = d.where(F.col("machine").isin(*machines))
     if operators:
         d = d.where(F.col("OperatorName").isin(*operators))
-    return d.groupBy(F.date_trunc(unit, "StartTime").alias("period"), "machine", "OperatorName").agg(
+    return d.groupBy(trunc_ntz(unit, "StartTime").alias("period"), "machine", "OperatorName").agg(
         F.avg("efficiency").alias("avg_efficiency"),
         (F.sum("total_downtime") / 60.0).alias("downtime_minutes"),
         F.count(F.lit(1)).alias("job_count"))

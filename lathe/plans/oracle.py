@@ -102,8 +102,8 @@ d2 AS (
 SELECT * EXCLUDE (e0),
   CAST(CASE WHEN day_of_week >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
   CASE WHEN hour >= 6 AND hour < 14 THEN 'Day' WHEN hour >= 14 AND hour < 22 THEN 'Evening' ELSE 'Night' END AS shift,
-  sin(hour * 2 * pi() / 24) AS hour_sin, cos(hour * 2 * pi() / 24) AS hour_cos,
-  sin(day_of_week * 2 * pi() / 7) AS day_sin, cos(day_of_week * 2 * pi() / 7) AS day_cos,
+  sin(hour * 6.283185307179586 / 24) AS hour_sin, cos(hour * 6.283185307179586 / 24) AS hour_cos,
+  sin(day_of_week * 6.283185307179586 / 7) AS day_sin, cos(day_of_week * 6.283185307179586 / 7) AS day_cos,
   avg(JobDuration) OVER (PARTITION BY machine) AS machine_complexity,
   avg(SetupTime) OVER (PARTITION BY PartNumber) AS part_complexity,
   count(*) OVER (PARTITION BY OperatorName) AS operator_experience
@@ -161,6 +161,23 @@ def r6(expr: str) -> str:
     return f"round_even(({expr}) * 1e6, 0) / 1e6"
 
 
+# Column types of the three stages, for `SELECT * REPLACE (...)` publication.
+RAW_DOUBLES = ["JobDuration", "RunningTime", "PartsProduced"] + DOWNTIME
+CLEAN_DOUBLES = RAW_DOUBLES + ["ActualDuration"]
+F_DOUBLES = CLEAN_DOUBLES + ["efficiency", "parts_per_hour", "total_downtime"] + [f"{c}_ratio" for c in DOWNTIME] + [
+    "setup_efficiency", "hour_sin", "hour_cos", "day_sin", "day_cos", "machine_complexity", "part_complexity"]
+F_INTS = ["OpNumber", "hour", "day_of_week", "day_of_month", "month", "quarter", "is_weekend"]
+ROLLING_DOUBLES = [f"operator_{m}_rolling_{k}" for k in (5, 10) for m in ("efficiency", "parts_per_hour", "total_downtime")] + [
+    f"machine_{m}_rolling_{k}" for k in (5, 10) for m in ("efficiency", "JobDuration")]
+
+
+def star(source: str, doubles, ints=("OpNumber",), exclude=()) -> str:
+    """SELECT * from a CTE with doubles rounded like `publish` and integers widened."""
+    rep = [f"{r6(c)} AS {c}" for c in doubles] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
+    ex = f" EXCLUDE ({', '.join(exclude)})" if exclude else ""
+    return f"SELECT *{ex} REPLACE ({', '.join(rep)}) FROM {source}"
+
+
 def rn(expr: str, d: int) -> str:
     return f"round_even(({expr}) * 1e{d}, 0) / 1e{d}"
 
