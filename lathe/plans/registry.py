@@ -31,4 +31,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_agg, q_clean, q_misc, q_ops  # noqa: F401
+    from . import q_agg, q_clean, q_mat, q_misc, q_ops  # noqa: F401
