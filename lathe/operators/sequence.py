@@ -70,15 +70,16 @@ def over_sequence(df: DataFrame, keys, build: Callable[[WindowFactory], dict], b
     else:
         d = df
     pos = F.col(pos_col)
-    d = d.withColumn("_chunk", F.floor(pos / chunk_rows)).withColumn("_halo", F.lit(False))
-    parts = [d]
+    # each row is emitted once for its own chunk, and once more (as halo) for a neighbour
+    # chunk when a frame there reaches it; one Generate, no union of the input lineage
+    off = F.pmod(pos, F.lit(chunk_rows))
+    copies = F.array(F.lit(0))
     if before:
-        parts.append(d.where(F.pmod(pos, F.lit(chunk_rows)) >= chunk_rows - before)
-                     .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_halo", F.lit(True)))
+        copies = F.when(off >= chunk_rows - before, F.array_append(copies, F.lit(1))).otherwise(copies)
     if after:
-        parts.append(d.where(F.pmod(pos, F.lit(chunk_rows)) < after)
-                     .withColumn("_chunk", F.col("_chunk") - 1).withColumn("_halo", F.lit(True)))
-    u = reduce(DataFrame.unionByName, parts)
+        copies = F.when(off < after, F.array_append(copies, F.lit(-1))).otherwise(copies)
+    u = d.withColumn("_copy", F.explode(copies)).withColumns({
+        "_chunk": F.floor(pos / chunk_rows) + F.col("_copy"), "_halo": F.col("_copy") != 0}).drop("_copy")
     base = Window.partitionBy(*keys, "_chunk").orderBy(pos_col)
 
     def w(lo=None, hi=None):
