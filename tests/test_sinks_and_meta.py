@@ -51,8 +51,10 @@ def test_feature_transformer(spark, sf_dir):
 
 
 def test_scalers_match_sklearn_conventions(spark):
-    df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "JobDuration double, setup_ratio double")
-    p = FE.fit_scalers(df, ["JobDuration", "setup_ratio"])
-    got = FE.apply_scalers(df, p, ["JobDuration", "setup_ratio"]).orderBy("JobDuration").collect()
-    assert [r["JobDuration"] for r in got] == [-1.0, 1.0]  # population std
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (3.0, 5.0, 6.0)], "RunningTime double, setup_ratio double, JobDuration double")
+    cols = ["RunningTime", "setup_ratio", "JobDuration"]
+    got = FE.apply_scalers(df, FE.fit_scalers(df, cols), cols).orderBy("RunningTime").collect()
+    assert [r["RunningTime"] for r in got] == [-1.0, 1.0]  # population std
     assert [r["setup_ratio"] for r in got] == [0.0, 0.0]   # constant column -> 0
+    # the name JobDuration contains "ratio", so the name rule min-max scales it
+    assert [r["JobDuration"] for r in got] == [0.0, 1.0]
