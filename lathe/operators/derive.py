@@ -188,3 +188,37 @@ def performance_projection(df: DataFrame) -> DataFrame:
                 F.when((R > 0) & (P > 0), P / (R / 3600.0)).otherwise(F.lit(0.0)).alias("parts_per_hour"))
         .orderBy(F.col("StartTime").desc())
     )
+
+
+def extreme_flags(df: DataFrame) -> DataFrame:
+    """DRV19: flags against global quantiles (one aggregate row, broadcast): efficiency above
+    q95 / below q05, duration above 2 x q95 / below q05 / 2, downtime above 2 x q95."""
+    q = df.agg(F.percentile("efficiency", 0.95).alias("_e95"), F.percentile("efficiency", 0.05).alias("_e05"),
+               F.percentile("JobDuration", 0.95).alias("_d95"), F.percentile("JobDuration", 0.05).alias("_d05"),
+               F.percentile("total_downtime", 0.95).alias("_t95"))
+    d = df.crossJoin(F.broadcast(q))
+    return d.withColumns({
+        "efficiency_extreme_high": (F.col("efficiency") > F.col("_e95")).cast("int"),
+        "efficiency_extreme_low": (F.col("efficiency") < F.col("_e05")).cast("int"),
+        "duration_extreme_long": (F.col("JobDuration") > F.col("_d95") * 2).cast("int"),
+        "duration_extreme_short": (F.col("JobDuration") < F.col("_d05") / 2).cast("int"),
+        "downtime_extreme_high": (F.col("total_downtime") > F.col("_t95") * 2).cast("int"),
+    }).drop("_e95", "_e05", "_d95", "_d05", "_t95")
+
+
+def quality_indicators(df: DataFrame) -> DataFrame:
+    """DRV20: rolling-5 efficiency std by machine (>= 2, else 0) and its stability score,
+    deviation from the machine's mean in machine std units, rush job (< 300 s after the
+    previous job on the machine; the first job counts 0 s)."""
+    from .sequence import rolling_std
+    out = over_sequence(df, ["machine"], lambda w: {
+        "efficiency_consistency": F.coalesce(rolling_std("efficiency", 5, w, min_periods=2), F.lit(0.0)),
+        "_prev": F.lag("StartTime").over(w())}, before=4)
+    m = df.groupBy("machine").agg(F.avg("efficiency").alias("_mm"), F.stddev_samp("efficiency").alias("_ms"))
+    from ..functions.exprs import seconds_between
+    out = out.join(m, "machine", "left").withColumns({
+        "stability_score": 1 / (1 + F.col("efficiency_consistency")),
+        "performance_deviation": F.abs(F.col("efficiency") - F.col("_mm")) / (F.col("_ms") + 0.01),
+        "rush_job": (F.coalesce(seconds_between("_prev", "StartTime"), F.lit(0.0)) < 300).cast("int"),
+    })
+    return out.drop("_prev", "_mm", "_ms")

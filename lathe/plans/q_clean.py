@@ -290,3 +290,33 @@ def drv25(spark, d):
     return f.select("JobNumber", "StartTime", DV.risk_bucket(risk).alias("risk_level"),
                     (risk > 0.5).alias("maintenance_recommended"),
                     F_.try_divide(F_.col("RunningTime") / 60.0, F_.col("efficiency")).alias("expected_completion_minutes"))
+
+
+@query("drv19_extreme_flags", sql("""
+SELECT JobNumber, StartTime,
+  CAST(efficiency > e95 AS BIGINT) AS efficiency_extreme_high, CAST(efficiency < e05 AS BIGINT) AS efficiency_extreme_low,
+  CAST(JobDuration > d95 * 2 AS BIGINT) AS duration_extreme_long, CAST(JobDuration < d05 / 2 AS BIGINT) AS duration_extreme_short,
+  CAST(total_downtime > t95 * 2 AS BIGINT) AS downtime_extreme_high
+FROM F, (SELECT quantile_cont(efficiency, 0.95) AS e95, quantile_cont(efficiency, 0.05) AS e05,
+  quantile_cont(JobDuration, 0.95) AS d95, quantile_cont(JobDuration, 0.05) AS d05,
+  quantile_cont(total_downtime, 0.95) AS t95 FROM F)"""))
+def drv19(spark, d):
+    return DV.extreme_flags(F(spark, d)).select(
+        "JobNumber", "StartTime", "efficiency_extreme_high", "efficiency_extreme_low", "duration_extreme_long",
+        "duration_extreme_short", "downtime_extreme_high")
+
+
+_W5 = "OVER (PARTITION BY machine ORDER BY StartTime, JobNumber ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@query("drv20_quality_indicators", sql(f"""
+SELECT JobNumber, StartTime, {r6('c')} AS efficiency_consistency, {r6('1 / (1 + c)')} AS stability_score,
+  {r6('abs(efficiency - mm) / (ms + 0.01)')} AS performance_deviation,
+  CAST(coalesce(CAST(datesub('second', prev, StartTime) AS DOUBLE), 0.0) < 300 AS BIGINT) AS rush_job
+FROM (SELECT F.*, coalesce(CASE WHEN count(efficiency) {_W5} >= 2 THEN stddev_samp(efficiency) {_W5} END, 0.0E0) AS c,
+  lag(StartTime) OVER (PARTITION BY machine ORDER BY StartTime, JobNumber) AS prev, m.mm, m.ms
+  FROM F LEFT JOIN (SELECT machine AS k, avg(efficiency) AS mm, stddev_samp(efficiency) AS ms FROM F GROUP BY machine) m
+  ON F.machine = m.k)"""))
+def drv20(spark, d):
+    return DV.quality_indicators(F(spark, d)).select(
+        "JobNumber", "StartTime", "efficiency_consistency", "stability_score", "performance_deviation", "rush_job")

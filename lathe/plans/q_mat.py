@@ -210,7 +210,7 @@ def mat11(spark, d):
 
 def _tr(key, name, asc):
     order = "ASC" if asc else "DESC"
-    return f"""SELECT '{name}' AS trend, key, {r6('value')} AS value, CAST(rank AS INTEGER) AS rank FROM (
+    return f"""SELECT '{name}' AS trend, key, {r6("value")} AS value, CAST(rank AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (ORDER BY value {order}, key) AS rank FROM (
     SELECT CAST({key} AS VARCHAR) AS key, avg(avg_efficiency) AS value FROM tm GROUP BY {key})) WHERE rank <= 3"""
 
@@ -218,7 +218,7 @@ def _tr(key, name, asc):
 @query("top5_time_trends", sql("\nUNION ALL\n".join([
     _tr("hour", "best_hours", False), _tr("hour", "worst_hours", True), _tr("day_name", "best_days", False),
     _tr("day_name", "worst_days", True),
-    f"SELECT 'shift_performance', shift, {r6('avg(avg_efficiency)')}, CAST(NULL AS INTEGER) FROM tm GROUP BY shift"]),
+    f"SELECT 'shift_performance', shift, {r6('avg(avg_efficiency)')}, CAST(NULL AS BIGINT) FROM tm GROUP BY shift"]),
     "F", MATS))
 def top5(spark, d):
     return MX.time_trends(MX.time_matrix(F(spark, d)))
