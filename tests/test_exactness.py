@@ -40,3 +40,31 @@ def test_rate_limit_halo_across_hour_buckets(spark):
     for e, (t, u) in secs.items():
         exp = sum(1 for e2, (t2, u2) in secs.items() if u2 == u and t - 60 < t2 < t)
         assert got[e] == exp
+
+
+def test_cross_training_potential_brute_force(spark):
+    from lathe.operators.operator_analysis import cross_training_potential
+    rng = random.Random(11)
+    machines = [f"M{i}" for i in range(8)]
+    rows = []
+    for op in range(6):
+        for m in rng.sample(machines, rng.randint(1, 6)):
+            for _ in range(rng.randint(1, 3)):
+                rows.append((f"OP{op}", m, float(rng.randint(100, 5000))))
+    df = spark.createDataFrame(rows, "OperatorName string, machine string, SetupTime double")
+    got = {(r["OperatorName"], r["rank"]): (r["machine"], round(r["similarity"], 9), round(r["versatility_potential"], 9))
+           for r in cross_training_potential(df).collect()}
+
+    def mean(xs):
+        return sum(xs) / len(xs)
+    all_m = sorted({m for _, m, _ in rows})
+    m_setup = {m: mean([s for _, m2, s in rows if m2 == m]) for m in all_m}
+    exp = {}
+    for op in sorted({o for o, _, _ in rows}):
+        seen = sorted({m for o, m, _ in rows if o == op})
+        cur = mean([mean([s for o, m2, s in rows if o == op and m2 == m]) for m in seen])
+        cand = sorted(((1 / (1 + abs(cur - m_setup[m]) / 1000), m) for m in all_m if m not in seen),
+                      key=lambda t: (-t[0], t[1]))[:3]
+        for i, (sim, m) in enumerate(cand, 1):
+            exp[(op, i)] = (m, round(sim, 9), round((len(all_m) - len(seen)) / len(all_m), 9))
+    assert got == exp
