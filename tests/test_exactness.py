@@ -68,3 +68,34 @@ def test_cross_training_potential_brute_force(spark):
         for i, (sim, m) in enumerate(cand, 1):
             exp[(op, i)] = (m, round(sim, 9), round((len(all_m) - len(seen)) / len(all_m), 9))
     assert got == exp
+
+
+def test_cross_training_brute_force(spark):
+    from lathe.operators.matrices import cross_training
+    rng = random.Random(5)
+    rows = []
+    for op in range(7):
+        for m in rng.sample([f"M{i}" for i in range(9)], 5):
+            rows.append((f"OP{op}", m, rng.choice([0.5, 0.85, 0.9, 0.95]), rng.randint(1, 6), float(rng.randint(100, 900))))
+    om = spark.createDataFrame(rows, "OperatorName string, machine string, performance_score double, "
+                                     "job_count int, avg_setup_time double")
+    got = [(r["operator"], r["recommended_machine"], round(r["similarity_score"], 9), r["rank"])
+           for r in cross_training(om).orderBy("rank").collect()]
+
+    def mean(xs):
+        return sum(xs) / len(xs)
+    all_m = sorted({m for _, m, *_ in rows})
+    m_setup = {m: mean([s for _, m2, _, _, s in rows if m2 == m]) for m in all_m}
+    cands = []
+    for op in sorted({r[0] for r in rows}):
+        strong = [r for r in rows if r[0] == op and r[2] > 0.8 and r[3] >= 3]
+        if not strong:
+            continue
+        cur = mean([r[4] for r in strong])
+        sm = {r[1] for r in strong}
+        per = sorted(((1 / (1 + abs(cur - m_setup[m]) / 100), m) for m in all_m if m not in sm),
+                     key=lambda t: (-t[0], t[1]))[:3]
+        cands += [(op, m, sim) for sim, m in per]
+    cands.sort(key=lambda t: (-t[2], t[0], t[1]))
+    exp = [(op, m, round(sim, 9), i) for i, (op, m, sim) in enumerate(cands[:10], 1)]
+    assert got == exp
