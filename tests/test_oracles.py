@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from lathe.plans import registry
 from tools.oracle_check import _rows, duck
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+registry.load_all()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")
