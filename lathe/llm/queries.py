@@ -57,3 +57,17 @@ def op10(spark, sf_dir):
     from .urls import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+
+
+@query("op2_token_ids")
+def op2(spark, sf_dir):
+    import public_tokenizers
+
+    from .huffman import read_ids, tokenize, write_ids
+    from .store import folder, written
+
+    docs = table(spark, sf_dir, "documents")
+    tokens = tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), 2, keep=["doc_id"]).select("doc_id", "ids")
+    path = folder(spark, "huffman")
+    write_ids(written(tokens, "ids"), path)
+    return read_ids(spark, path, ids=False)
