@@ -71,3 +71,13 @@ def op2(spark, sf_dir):
     path = folder(spark, "huffman")
     write_ids(written(tokens, "ids"), path)
     return read_ids(spark, path, ids=False)
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, keep=["doc_id"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
