@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -36,3 +37,9 @@ def mounted(spark: SparkSession, name: str) -> str:
         raise ValueError(f"memory-mapped files need a mounted spark.checkpoint.dir, not {path}")
     os.makedirs(path, exist_ok=True)
     return path
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

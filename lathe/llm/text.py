@@ -150,6 +150,15 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:n - k + 1]) * down[:n - k + 1] + _U(k))
 
 
+def spans(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of hashes[start:start + size] for each pair."""
+    n = len(hashes)
+    up, down = _WORD_POWERS.upto(n + 1)
+    total = np.zeros(n + 1, dtype=_U)
+    np.cumsum(hashes * up[:n], out=total[1:])
+    return mix((total[starts + sizes] - total[starts]) * down[starts] + sizes.astype(_U))
+
+
 def inside(offsets: np.ndarray, n: int, k: int) -> np.ndarray:
     """Mask over window starts 0 .. n-k: the window lies inside one document."""
     ok = np.ones(max(n - k + 1, 0), dtype=bool)
