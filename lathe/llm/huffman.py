@@ -22,13 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import with_columns
-from .text import buffers, pieces
+from .text import buffers, ints, pieces
 from .tokens import encoder
 
 MAX_LENGTH = 20
@@ -169,8 +168,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
 
 
-def _encode(lengths: np.ndarray, symbols: np.ndarray):
-    """Stage (doc_id, ids) -> (doc_id, n, checkpoints, payload)."""
+def _encode(lengths: np.ndarray, symbols: np.ndarray, bounds: np.ndarray):
+    """Stage (doc_id, ids) -> (doc_id, n, checkpoints, payload, part); `bounds`: the last doc_id of each part but the last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(symbols, lengths)
         for batch in pieces(batches, "ids"):
@@ -180,14 +179,17 @@ def _encode(lengths: np.ndarray, symbols: np.ndarray):
             sizes = np.diff(offsets)
             begin, _ = stretches(sizes)
             marks = np.concatenate([[0], np.cumsum(-(-sizes // STEP))]) * 8
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), _binary(inner[begin].astype("<u8"), marks), _binary(payload, byte)],
-                                             names=["doc_id", "n", "checkpoints", "payload"])
+            keys = batch.column(0)
+            part = np.searchsorted(bounds, ints(keys))
+            part[np.asarray(keys.is_null())] = 0  # nulls come first
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), _binary(inner[begin].astype("<u8"), marks), _binary(payload, byte), pa.array(part.astype(np.int32))],
+                                             names=["doc_id", "n", "checkpoints", "payload", "part"])
     return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Coded documents in order -> blocks."""
-    part, block, start = TaskContext.get().partitionId(), 0, 0
+    part, block, start = None, 0, 0
     doc_ids, sizes, marks, chunks, held, base = [], [], [], [], 0, 0
 
     def flush():
@@ -201,7 +203,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("lengths", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())]))
 
     for batch in batches:
-        for key, n, points, payload in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, n, points, payload, own in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != part:
+                if doc_ids:
+                    yield flush()
+                part, block, start = own, 0, 0
             doc_ids.append(key)
             sizes.append(n)
             marks.append(np.frombuffer(points, dtype="<u8") + np.uint64(8 * base))
@@ -225,9 +231,12 @@ def write_ids(tokens: DataFrame, path: str, doc_id: str = "doc_id", max_length:
     symbols = np.array([r["id"] for r in rows], dtype=np.int64)
     lengths = code_lengths(np.array([r["n"] for r in rows], dtype=np.int64), max_length)
     spark.createDataFrame([(int(s), int(b)) for s, b in zip(symbols, lengths)], "id long, bits int").write.mode("overwrite").parquet(f"{path}/codes")
+    # ranges of doc_id from the ids alone, so that coding runs once
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    coded = tokens.select(F.col(doc_id).cast("long").alias("doc_id"), "ids").mapInArrow(_encode(lengths, symbols), "doc_id long, n long, checkpoints binary, payload binary")
-    blocks = coded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "payload").mapInArrow(_blocks, BLOCK)
+    tokens = tokens.select(F.col(doc_id).cast("long").alias("doc_id"), "ids")
+    bounds = sorted(set(tokens.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    coded = tokens.mapInArrow(_encode(lengths, symbols, np.array(bounds)), "doc_id long, n long, checkpoints binary, payload binary, part int")
+    blocks = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "payload").mapInArrow(_blocks, BLOCK)
     blocks.write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part file

@@ -1,11 +1,11 @@
-"""Token ids of whole texts with a public tokenizer, memoised by blank-separated piece.
-
-Both supported tokenizer kinds cut text at white space before merging, so a text's ids are the
-ids of its pieces in a row when every cut lies between two characters that are no white space:
-the first piece as it stands, each other piece with the blank before it. Where that does not hold
-(runs of blanks, other white space beside a blank) the pieces around stay together, and texts holding a
-special token's string are encoded whole. Each worker keeps a bounded memo of pieces; when it
-is full, pieces met once are forgotten.
+"""Token ids of whole texts with a public tokenizer, memoised by piece.
+
+Both supported tokenizer kinds cut text before merging: at white space, and between a letter and a
+full stop or comma. A text's ids are therefore the ids of its pieces in a row when it is cut
+before single blanks, around single line feeds, and before a full stop or comma that follows a letter or digit (only
+Latin letters and ASCII digits, whose classes no Unicode version changes). Texts where a cut would not be of
+these kinds (runs of white space, "..", special tokens' strings) are cut at sure places only, or
+encoded whole. Each worker keeps a bounded memo of pieces; when it is full, pieces met once are forgotten.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 MEMO = 400_000  # pieces a worker keeps
-FIRST, WHOLE = "\x00", "\x01"  # marks of keys: a text's first piece; a chunk encoded as it stands
-MARK = "|"  # stands between pieces encoded in one call
+WHOLE = "\x01"  # begins keys of chunks outside the usual cuts
+CUT = "\x02"  # stands at the cuts of a text
+PLAIN, SOFT, BLANK, FEED = range(4)  # how a piece begins: otherwise, with a stop or comma, with a blank; a line feed
 
 
 class _Memo(dict):
@@ -40,93 +41,105 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        mark = self._plain([" " + MARK])[0]
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        # a mark that ends a piece and is one id of its own, to encode many pieces in one call
+        self.mark, self.mark_id = None, None
+        for mark in ("\n", " |"):
+            apart = [x.tolist() for x in self._plain(["a", " b", mark, f"a{mark} b{mark}a{mark}"])]
+            if len(apart[2]) == 1 and apart[3] == apart[0] + apart[2] + apart[1] + apart[2] + apart[0] + apart[2]:
+                self.mark, self.mark_id = mark, apart[2][0]
+                break
         self.end, self.limit = end, memo
         self.memo = _Memo()
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.begin = np.zeros(1 << 12, dtype=np.int64)
-        self.size = np.zeros(1 << 12, dtype=np.int32)
-        self.uses = np.zeros(1 << 12, dtype=np.int64)
-        self.odd = np.zeros(1 << 12, dtype=bool)  # not to be cut off its neighbours
         self.used = 0
+        self.tables = {"begin": np.zeros(1 << 12, np.int64), "size": np.zeros(1 << 12, np.int32), "uses": np.zeros(1 << 12, np.int64),
+                       "kind": np.zeros(1 << 12, np.int8), "word": np.zeros(1 << 12, bool), "odd": np.zeros(1 << 12, bool)}
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of " " + piece for each piece, many pieces in one call."""
-        if self.mark is None or not pieces:
-            return self._plain([" " + p for p in pieces])
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([f" {p} {MARK}" for p in pieces])], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        at = np.flatnonzero(ids == self.mark)
-        if len(at) != len(pieces):
-            return self._plain([" " + p for p in pieces])
-        starts = np.concatenate([[0], at[:-1] + 1])
-        return [ids[a:b] for a, b in zip(starts.tolist(), at.tolist())]
+    def _store(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype=np.uint32)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.tables["begin"][numbers] = self.used + np.cumsum(sizes) - sizes
+        self.tables["size"][numbers] = sizes
+        self.used += len(ids)
+
+    def _store_joined(self, numbers: list[int], pieces: list[str]) -> None:
+        """Encode many pieces in one call, marks between them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces) + self.mark], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        marks = ids == self.mark_id
+        at = np.flatnonzero(marks)
+        if len(at) == len(pieces):
+            self._store(numbers, ids[~marks], np.diff(at, prepend=-1) - 1)
+        else:
+            self._store_each(numbers, pieces)
+
+    def _store_each(self, numbers: list[int], pieces: list[str]) -> None:
+        coded = self._plain(pieces)
+        self._store(numbers, np.concatenate(coded), np.array([len(x) for x in coded]))
 
     def _learn(self) -> None:
         new, self.memo.new = self.memo.new, []
         if not new:
             return
         n = len(self.memo) - len(new)
-        if len(self.memo) > len(self.begin):
-            grow = 2 * len(self.memo)
-            for name in ("begin", "size", "uses", "odd"):
-                old = getattr(self, name)
-                fresh = np.zeros(grow, dtype=old.dtype)
+        if len(self.memo) > len(self.tables["begin"]):
+            for name, old in self.tables.items():
+                fresh = np.zeros(2 * len(self.memo), dtype=old.dtype)
                 fresh[:len(old)] = old
-                setattr(self, name, fresh)
-        for at in range(0, len(new), 64):
-            part = new[at:at + 64]
-            simple, other, place = [], [], [None] * len(part)
-            for i, key in enumerate(part):
-                if key[:1] == WHOLE:
-                    other.append((i, key[1:]))
-                    continue
-                body = key[1:] if key[:1] == FIRST else key
-                self.odd[n + at + i] = not body or body[0].isspace() or body[-1].isspace() or any(s in body for s in self.special)
-                if key[:1] == FIRST or MARK in body or self.odd[n + at + i]:
-                    other.append((i, body if key[:1] == FIRST else " " + body))
-                else:
-                    simple.append((i, body))
-            for group, call in ((simple, self._joined), (other, self._plain)):
-                for (i, _), ids in zip(group, call([x for _, x in group]) if group else []):
-                    place[i] = ids
-            ids = np.concatenate(place)
-            sizes = np.array([len(x) for x in place])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), dtype=np.uint32)])
-            self.ids[self.used:self.used + len(ids)] = ids
-            where = slice(n + at, n + at + len(part))
-            self.begin[where] = self.used + np.cumsum(sizes) - sizes
-            self.size[where] = sizes
-            self.uses[where] = 0
-            self.used += len(ids)
+                self.tables[name] = fresh
+        kind, word, odd = [], [], []
+        for key in new:
+            first, last = key[:1], key[-1:]
+            if first == WHOLE:
+                kind.append(PLAIN)
+                word.append(False)
+                odd.append(False)
+                continue
+            kind.append(BLANK if first == " " else SOFT if first == "." or first == "," else FEED if key == "\n" else PLAIN)
+            word.append(last < "\u0250" and (last.isalpha() or "0" <= last <= "9"))
+            body = key[1:] if first == " " else key
+            odd.append(key != "\n" and (not body or body[0].isspace() or last.isspace()) or any(s in key for s in self.special))
+        where = slice(n, n + len(new))
+        self.tables["kind"][where], self.tables["word"][where], self.tables["odd"][where], self.tables["uses"][where] = kind, word, odd, 0
+        sure, other = [], []
+        for i, key in enumerate(new):
+            (other if self.mark is None or key[0:1] == WHOLE or odd[i] or self.mark[-1] in key else sure).append(i)
+        for at in range(0, len(sure), 64):
+            some = sure[at:at + 64]
+            self._store_joined([n + i for i in some], [new[i] for i in some])
+        for at in range(0, len(other), 1024):
+            some = other[at:at + 1024]
+            self._store_each([n + i for i in some], [new[i].removeprefix(WHOLE) for i in some])
+
+    def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered pieces in a row, where each piece's end)."""
+        sizes = self.tables["size"][which].astype(np.int64)
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.tables["begin"][which] - (ends - sizes), sizes) + np.arange(total)], ends
 
     def _forget(self) -> None:
-        """Keep the pieces met more than once (none, if those alone fill the memo)."""
+        """Keep the pieces met more than once (none, if those alone fill half the memo)."""
         keys = list(self.memo)
-        keep = np.flatnonzero(self.uses[:len(keys)] > 1)
+        keep = np.flatnonzero(self.tables["uses"][:len(keys)] > 1)
         if 2 * len(keep) > self.limit:
             keep = keep[:0]
-        sizes = self.size[keep].astype(np.int64)
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[keep] - (ends - sizes), sizes) + np.arange(total)]
-        odd = self.odd[keep]
+        ids, ends = self._ids(keep)
         memo = _Memo()
         for n, k in enumerate(keep.tolist()):
             dict.__setitem__(memo, keys[k], n)
-        self.memo = memo
-        self.used = total
-        self.ids[:total] = ids
-        m = len(keep)
-        self.begin[:m], self.size[:m], self.odd[:m] = ends - sizes, sizes, odd
-        self.uses[:] = 0
+        self.memo, self.used = memo, len(ids)
+        self.ids[:len(ids)] = ids
+        for name, old in self.tables.items():
+            old[:len(keep)] = old[keep]
+        self.tables["begin"][:len(keep)] = ends - self.tables["size"][:len(keep)]
+        self.tables["uses"][:] = 0
 
     def _careful(self, text: str) -> list[str]:
-        """Keys of a text that may not be cut at every blank."""
+        """Keys of a text without the usual cuts."""
         if any(s in text for s in self.special):
             return [WHOLE + text]
         pieces = text.split(" ")
@@ -138,10 +151,19 @@ class Encoder:
                 chunks[-1] += " " + piece
         return [WHOLE + c for c in chunks]
 
+    def _unsure(self, which: np.ndarray, bounds: np.ndarray) -> set[int]:
+        """Texts that have a cut of another kind than the usual ones."""
+        kind = self.tables["kind"][which]
+        feed = kind[:-1] == FEED
+        bad = np.concatenate([[False], (kind[1:] == SOFT) & ~self.tables["word"][which[:-1]] | feed & (kind[1:] >= BLANK)]) if len(which) else np.zeros(0, bool)
+        bad[bounds[:-1][bounds[:-1] < len(bad)]] = False  # a text's first piece follows nothing
+        found = np.flatnonzero(bad | self.tables["odd"][which])
+        return set((np.searchsorted(bounds, found, "right") - 1).tolist())
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.limit:
             self._forget()
-        careful = {i for i, t in enumerate(texts) if t and (FIRST in t or WHOLE in t)}
+        careful = {i for i, t in enumerate(texts) if t and (CUT in t or WHOLE in t)}
         while True:
             keys: list[str] = []
             counts = np.zeros(len(texts), dtype=np.int64)
@@ -150,27 +172,23 @@ class Encoder:
                     if i in careful:
                         cut = self._careful(text)
                     else:
-                        cut = text.split(" ")
-                        cut[0] = FIRST + cut[0]
+                        cut = text.replace(" ", CUT + " ").replace(",", CUT + ",").replace(".", CUT + ".").replace("\n", CUT + "\n" + CUT).split(CUT)
                     keys += cut
                     counts[i] = len(cut)
             which = np.fromiter(map(self.memo.__getitem__, keys), dtype=np.int64, count=len(keys))
             self._learn()
             bounds = np.concatenate([[0], np.cumsum(counts)])
-            odd = np.flatnonzero(self.odd[which])
-            if not len(odd):
+            unsure = self._unsure(which, bounds) - careful
+            if not unsure:
                 break
-            careful |= set((np.searchsorted(bounds, odd, "right") - 1).tolist())
-        self.uses[:len(self.memo)] += np.bincount(which, minlength=len(self.memo))
-        sizes = self.size[which].astype(np.int64)
-        ends = np.cumsum(sizes)
+            careful |= unsure
+        self.tables["uses"][:len(self.memo)] += np.bincount(which, minlength=len(self.memo))
+        ids, ends = self._ids(which)
         lengths = np.concatenate([[0], ends])[bounds]
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.begin[which] - (ends - sizes), sizes) + np.arange(total)]
         if self.end is None:
             return ids, lengths
         offsets = lengths + np.arange(len(texts) + 1)
-        out = np.full(total + len(texts), self.end, dtype=np.uint32)
+        out = np.full(len(ids) + len(texts), self.end, dtype=np.uint32)
         body = np.ones(len(out), dtype=bool)
         body[offsets[1:] - 1] = False
         out[body] = ids
