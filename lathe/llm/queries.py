@@ -120,3 +120,17 @@ def op3(spark, sf_dir):
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80, keep=["doc_id"])
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def fold(column: str, folds: int = 5):
+    """crc32 of the id as text, modulo the number of folds."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), learn=fold("doc_id") != 0)
+    return score(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")

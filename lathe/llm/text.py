@@ -97,14 +97,16 @@ def _slices(data: np.ndarray, gap: np.ndarray, limit: int) -> Iterator[tuple[int
 class Words:
     """Words of a batch: byte ranges, hashes, and the range of words of each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, second: bool = False):
-        starts, ends, hashes, others = [], [], [], []
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, second: bool = False,
+                 gap: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
+        """`gap`: which bytes separate words; `prefixes`: also hash the first so many bytes of longer words."""
+        starts, ends, hashes, others, begun = [], [], [], [], []
         fold = LOWER if lower else np.arange(256, dtype=np.uint8)
         values, values2 = _BYTE_VALUES[fold], _BYTE_VALUES_2[fold]
         borders = np.unique(offsets)
-        for a, b in _slices(data, SPACE, SLICE_BYTES):
+        for a, b in _slices(data, gap, SLICE_BYTES):
             part = data[a:b]
-            word = ~SPACE[part]
+            word = ~gap[part]
             begin, stop = word.copy(), word.copy()
             begin[1:] &= ~word[:-1]
             stop[:-1] &= ~word[1:]
@@ -117,6 +119,8 @@ class Words:
             hashes.append(self._hash(values[part], up, down, s, e))
             if second:
                 others.append(self._hash(values2[part], up, down, s, e))
+            if prefixes:
+                begun.append(np.stack([np.where(e - s >= p, self._hash(values[part], up, down, s, np.minimum(s + p - 1, e)), _U(0)) for p in prefixes], axis=1))
             starts.append(s + a)
             ends.append(e + a + 1)
         empty = np.zeros(0, np.int64)
@@ -124,6 +128,7 @@ class Words:
         self.ends = np.concatenate(ends) if ends else empty
         self.hashes = np.concatenate(hashes) if hashes else empty.astype(_U)
         self.second = np.concatenate(others) if others else (empty.astype(_U) if second else None)
+        self.prefixes = np.concatenate(begun) if begun else np.zeros((len(self.starts), len(prefixes)), _U)
         self.offsets = np.searchsorted(self.starts, offsets).astype(np.int64)
 
     @staticmethod
