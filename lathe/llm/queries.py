@@ -134,3 +134,10 @@ def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), learn=fold("doc_id") != 0)
     return score(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, sf_dir):
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
