@@ -141,3 +141,10 @@ def op5(spark, sf_dir):
     from .ann import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op6_html_text")
+def op6(spark, sf_dir):
+    from .html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "title", "text")
