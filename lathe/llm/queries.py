@@ -148,3 +148,11 @@ def op6(spark, sf_dir):
     from .html import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "title", "text")
+
+
+@query("op9_language_model")
+def op9(spark, sf_dir):
+    from .lm import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents"), learn=fold("doc_id") != 1)
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
