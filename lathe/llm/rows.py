@@ -14,6 +14,14 @@ from .text import pieces
 SLICE = 4 << 20  # bytes of text handled at once
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until `df` has no such column (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable[..., list[pa.Array]],
                  keep: list[str] | None = None, inputs: tuple[str, ...] = (), limit: int = SLICE) -> DataFrame:
     """`df` with new columns that `compute(text column, *input columns)` makes, a slice of rows at a time.

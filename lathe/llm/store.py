@@ -22,7 +22,17 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     Cuts lineage: a lost executor re-reads the stored files instead of recomputing them."""
     path = folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once all that was computed from them is stored itself."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mounted(spark: SparkSession, name: str) -> str:

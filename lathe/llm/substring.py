@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import with_columns
-from .store import release, written
+from .rows import unused, with_columns
+from .store import discard, release, written
 from .text import Words, buffers, inside, pieces, spans, windows
 
 WINDOW = 13
@@ -146,21 +146,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     # level 1: minimum runs of each text; runs of two texts survive
     base = written(with_columns(plain, "text", [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType()))],
                                 _level1(window, run), keep=["doc"]), "runs")
-    classes = written(base.groupBy("fp").agg(F.min("doc").alias("first")), "classes")
+    ids = written(base.select("doc", "fp").distinct(), "ids")
+    classes = written(ids.groupBy("fp").agg(F.min("doc").alias("first")), "classes")
     runs = base.where(F.size("runs") > 0).select("fp", F.explode("runs").alias("h"))
     repeated = runs.groupBy("h").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("h")
     survivors = runs.join(repeated, "h", "left_semi").groupBy("fp").agg(F.collect_set("h").alias("runs"))  # at most a text's runs
     survivors = written(survivors.join(classes, "fp").select(F.col("first").alias("doc"), "fp", "runs"), "survivors")
+    discard(base)
     release(spark)
 
     # level 2: windows around surviving runs, by segments, then those of first segments one by one
     around = plain.join(survivors, "doc").select("text", "doc", "fp", "runs").mapInArrow(_level2(window, run), SEGMENT)
     segments = written(around, "segments")
+    discard(survivors)
     release(spark)
     firsts = segments.groupBy("s1", "s2").agg(F.min("doc").alias("least"))
     later = F.col("doc") > F.col("least")
     placed = written(segments.join(firsts, ["s1", "s2"]).select("fp", "doc", "at", F.size("wins").alias("n"), later.alias("settled"),
                                                                 F.when(~later, F.col("wins")).alias("wins")), "placed")
+    discard(segments)
     release(spark)
     single = placed.where(~F.col("settled")).select("fp", "doc", "at", F.posexplode("wins").alias("i", "w")).select("fp", "doc", (F.col("at") + F.col("i")).alias("at"), "w.*")
     shared = single.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w1", "w2", "least")
@@ -168,12 +172,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     marks = placed.where("settled").select("fp", "at", "n").unionByName(hits)
     marks = marks.groupBy("fp").agg(F.collect_list(F.struct("at", "n")).alias("spans"))  # at most a text's windows
 
-    per_id = base.select("doc", "fp").distinct().join(classes, "fp").join(marks, "fp", "left")
+    own, info = unused(docs, "own"), unused(docs, "info")
     copy = F.col("doc") > F.col("first")
-    infos = per_id.groupBy("doc").agg(F.collect_list(F.struct("fp", copy.alias("copy"), F.when(~copy, F.col("spans")).alias("spans"))).alias("__infos"))
+    infos = ids.join(classes, "fp").join(marks, "fp", "left").groupBy(F.col("doc").alias(own)).agg(
+        F.collect_list(F.struct("fp", copy.alias("copy"), F.when(~copy, F.col("spans")).alias("spans"))).alias(info))
     infos = written(infos, "marks")
+    discard(placed, classes, ids)
     release(spark)
-    joined = docs.join(infos.withColumnRenamed("doc", "__doc"), F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(infos, F.col(f"`{doc_id}`").cast("long") == F.col(own), "left")
     kept = docs.columns if keep is None else keep
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return with_columns(joined, text, fields, _removal(window), [c for c in kept if c != "__infos"], ("__infos",))
+    return with_columns(joined, text, fields, _removal(window), kept, (info,))
