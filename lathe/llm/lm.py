@@ -173,13 +173,13 @@ def _chunks(path: str, parts: list, known: int, tokens: int, shards: int):
             token[inner], count[inner] = ids, counts
             context = np.concatenate([[begin], token[:-1]])
             context[bounds[:-1]] = begin
-            base = np.concatenate([[0.0], np.cumsum(np.log10((count + 0.5) / (tokens + 0.5 * (known + 1))))])
+            base = np.add.reduceat(np.log10((count + 0.5) / (tokens + 0.5 * (known + 1))), bounds[:-1])
             seen = np.concatenate([[0], np.cumsum(count > 0)])
             first = sum(len(h[2]) for h in held)
             doc_ids = batch.column(0)
             held.append((context.astype(_U) * _U(known + 2) + token.astype(_U), np.repeat(first + np.arange(len(n)), n + 1),
                          np.asarray(doc_ids.fill_null(0)), np.asarray(doc_ids.is_valid()).astype(np.uint8), n + 1,
-                         seen[bounds[1:]] - seen[bounds[:-1]], base[bounds[1:]] - base[bounds[:-1]], np.asarray(batch.column(2)).astype(np.uint8)))
+                         seen[bounds[1:]] - seen[bounds[:-1]], base, np.asarray(batch.column(2)).astype(np.uint8)))
             size += len(token)
             if size >= CHUNK:
                 yield flush()

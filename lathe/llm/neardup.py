@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import with_columns
-from .store import release, written
+from .rows import unused, with_columns
+from .store import discard, release, written
 from .text import Words, buffers, inside, mix, pieces, spans, windows
 
 SHINGLE, PERCENT = 5, 80
@@ -161,8 +161,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     spark = docs.sparkSession
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_shingles", "component_id", "kept")]
-    base = written(with_columns(docs.withColumn("__doc", F.col(f"`{doc_id}`").cast("long")), text, _FIELDS, _summary(shingle),
-                                keep=["__doc"]).withColumnRenamed("__doc", "doc"), "sets")
+    base = written(with_columns(plain, "text", _FIELDS, _summary(shingle), keep=["doc"]), "sets")
     sized = base.where("n > 0 and doc is not null")
     classes = written(sized.groupBy("fp1", "fp2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "classes")
     firsts = classes.select("fp1", "fp2", F.col("first").alias("doc"))
@@ -210,15 +209,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     major = open_buckets.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"), (F.col("component") == F.col("top")).alias("is_top"))
     across = minor.join(major, (minor["key"] == major["key"]) & (F.col("ca") != F.col("cb")) & (F.col("is_top") | (F.col("a") < F.col("b"))) & possible("na", "ma", "nb", "mb"))
     second = links(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    every = written(components(first.unionByName(second).unionByName(copies)).withColumnRenamed("node", "__doc"), "components")
+    every = written(components(first.unionByName(second).unionByName(copies)), "components")
+    discard(texts, buckets, members, placed, first)
     release(spark)
 
     if set(kept) <= {doc_id}:
-        sizes = base.select(F.col("doc"), F.col("n").alias("n_shingles"))
-        out = sizes.join(every.withColumnRenamed("__doc", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
-        return out.select(*[F.col("doc").alias(c) for c in kept], "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
-    own = F.col(f"`{doc_id}`").cast("long")
-    sized_docs = with_columns(docs, text, [T.StructField("n_shingles", T.LongType())],
-                              lambda column: [pa.array(np.diff(distinct_sets(*shingles(column, shingle))[1]))], [*kept, *([] if doc_id in kept else [doc_id])])
-    out = sized_docs.join(every, own == F.col("__doc"), "left").withColumn("component_id", F.coalesce("component", own))
-    return out.select(*kept, "n_shingles", "component_id", (own == F.col("component_id")).alias("kept"))
+        out = base.join(every.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component_id", F.coalesce("component", "doc"))
+        return out.select(*[F.col("doc").alias(c) for c in kept], F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+    node, found = unused(docs, "node"), unused(docs, "found")
+    sized_docs = with_columns(docs.withColumn(node, F.col(f"`{doc_id}`").cast("long")), text, [T.StructField("n_shingles", T.LongType())],
+                              lambda column: [pa.array(np.diff(distinct_sets(*shingles(column, shingle))[1]))], [*kept, node])
+    out = sized_docs.join(every.select(F.col("node").alias(node), F.col("component").alias(found)), node, "left")
+    component = F.coalesce(F.col(found), F.col(node))
+    return out.select(*kept, "n_shingles", component.alias("component_id"), (F.col(node) == component).alias("kept"))
