@@ -11,9 +11,13 @@ are found so that no bucket is expanded into its pairs:
 1. Shingles that one candidate alone holds can match nothing. They bound each similarity: with m of n shingles
    shared, a pair reaches at most o / (n1 + n2 - o), o = min(m1, m2). Documents with m / n below the threshold leave.
 2. In each bucket every member is compared with one hub, the member with the largest m / n.
-3. Buckets whose members are not yet in one component get the remaining pairs across components, the largest
-   component against the others, that pass the bound of 1. Only pairs inside one component, whose answer cannot change
-   the result, and pairs that cannot reach the threshold are left out, so nothing is lost or capped.
+3. In buckets whose members are not yet in one component, the others are compared with a member of the largest one.
+4. Members of buckets that still hold several components are joined on rare shingles: sorted by frequency, two sets
+   with the overlap needed share a shingle among the first ones of both (prefix and position filtering, exact). Of
+   the pairs that share one, those across components are compared.
+
+Only pairs inside one component, whose answer cannot change the result, and pairs that cannot reach the threshold
+are left out, so nothing is lost or capped.
 
 Every link is confirmed on the full sets. Components come from alternating large-star and small-star steps.
 
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,6 +159,14 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, with their component and their bucket's largest one, of buckets with several components."""
+    placed = _with_components(members, found)
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(largest.select("key", F.col("top.component").alias("top")), "key")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id",
                     keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) with n_shingles, component_id (least doc_id reachable) and kept (doc_id is that)."""
@@ -200,17 +212,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     found = components(first)
     release(spark)
 
-    # 3. pairs across components of one bucket
-    placed = written(_with_components(members, found), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_buckets = placed.join(largest.select("key", F.col("top.component").alias("top")), "key")
-    minor = open_buckets.where(F.col("component") != F.col("top")).select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    major = open_buckets.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"), (F.col("component") == F.col("top")).alias("is_top"))
-    across = minor.join(major, (minor["key"] == major["key"]) & (F.col("ca") != F.col("cb")) & (F.col("is_top") | (F.col("a") < F.col("b"))) & possible("na", "ma", "nb", "mb"))
+    # 3. in buckets with several components: a member of the largest one, another in each bucket, against the others
+    placed = _open(members, found)
+    pick = F.when(F.col("component") == F.col("top"), F.struct(F.xxhash64("doc", "key"), F.col("doc"), F.col("n"), F.col("m")))
+    others = placed.groupBy("key").agg(F.max(pick).alias("hub")).select("key", F.col("hub.doc").alias("a"), F.col("hub.n").alias("na"), F.col("hub.m").alias("ma"))
+    again = placed.where(F.col("component") != F.col("top")).join(others, "key").where(possible("n", "m", "na", "ma"))
+    first = written(first.unionByName(links(again.select("a", F.col("doc").alias("b")).distinct())), "links")
+    found = components(first)
+    release(spark)
+
+    # 4. what is left: pairs across components by prefix filtering
+    placed = written(_open(members, found).select("doc", "n", "component").distinct(), "open")
+    left = texts.join(placed.select("doc"), "doc", "left_semi")
+    rows = written(left.select("text", "doc").mapInArrow(_set_rows(shingle), "h long, doc long"), "shingles")
+    frequency = rows.groupBy("h").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc").orderBy("df", "h")  # a document's shingles, rarest first
+    prefix = rows.join(frequency, "h").join(placed, "doc").withColumn("at", F.row_number().over(order) - 1)
+    prefix = written(prefix.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))), "prefixes")
+    discard(rows)
+    release(spark)
+    top = prefix.groupBy("h", "component").agg(F.count("*").alias("size")).groupBy("h").agg(
+        F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", F.col("top.component").alias("top"))
+    both = prefix.join(top, "h")
+    minor = both.where(F.col("component") != F.col("top")).select("h", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    major = both.select("h", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), (F.col("component") == F.col("top")).alias("is_top"))
+    need = percent * (F.col("na") + F.col("nb"))  # the overlap needed, times 100 + percent
+    across = minor.join(major, (minor["h"] == major["h"]) & (F.col("ca") != F.col("cb")) & (F.col("is_top") | (F.col("a") < F.col("b")))
+                        & ((100 + percent) * (F.col("na") - F.col("pa")) >= need) & ((100 + percent) * (F.col("nb") - F.col("pb")) >= need))
     second = links(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     every = written(components(first.unionByName(second).unionByName(copies)), "components")
-    discard(texts, buckets, members, placed, first)
+    discard(texts, buckets, members, placed, prefix)
     release(spark)
 
     if set(kept) <= {doc_id}:
