@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import seconds_between
+from ..functions.quantiles import exact_quantiles, literal
 from ..schema import DEFAULT, DOWNTIME, DURATIONS, UNKNOWN, Config
 
 
@@ -118,20 +119,9 @@ def quality_report(df: DataFrame, iqr_cols=("JobDuration", "RunningTime", "Parts
     one = df.agg(*aggs)
 
     q = [c for c in iqr_cols if c in cols]
-    qa = df.agg(*[F.percentile(c, 0.25).alias(f"q1__{c}") for c in q],
-                *[F.percentile(c, 0.75).alias(f"q3__{c}") for c in q])
-    outl = df.crossJoin(F.broadcast(qa)).agg(
-        *[
-            F.count(
-                F.when(
-                    (F.col(c) < F.col(f"q1__{c}") - 1.5 * (F.col(f"q3__{c}") - F.col(f"q1__{c}")))
-                    | (F.col(c) > F.col(f"q3__{c}") + 1.5 * (F.col(f"q3__{c}") - F.col(f"q1__{c}"))),
-                    1,
-                )
-            ).alias(f"outliers__{c}")
-            for c in q
-        ]
-    )
+    fences = {c: [literal(v) for v in found] for c, found in exact_quantiles(df, {c: [0.25, 0.75] for c in q}).items()}
+    outl = df.agg(*[F.count(F.when((F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1)), 1)).alias(f"outliers__{c}")
+                    for c, (q1, q3) in fences.items()])
     dup = df.agg(F.count(F.lit(1)).alias("_n")).crossJoin(
         df.distinct().agg(F.count(F.lit(1)).alias("_d"))
     ).select((F.col("_n") - F.col("_d")).alias("duplicate_records"))
@@ -147,11 +137,9 @@ def outlier_flag(df: DataFrame, c: str, method: str = "iqr", threshold: float =
     """CLN11: flag outliers of one column by IQR fences or |z| > threshold (sample std)."""
     out = out or f"{c}_outlier"
     if method == "iqr":
-        s = df.agg(F.percentile(c, 0.25).alias("_q1"), F.percentile(c, 0.75).alias("_q3"))
-        lo = F.col("_q1") - threshold * (F.col("_q3") - F.col("_q1"))
-        hi = F.col("_q3") + threshold * (F.col("_q3") - F.col("_q1"))
-        flag = (F.col(c) < lo) | (F.col(c) > hi)
-        tmp = ["_q1", "_q3"]
+        q1, q3 = (literal(v) for v in exact_quantiles(df, {c: [0.25, 0.75]})[c])
+        flag = (F.col(c) < q1 - threshold * (q3 - q1)) | (F.col(c) > q3 + threshold * (q3 - q1))
+        return df.withColumn(out, F.coalesce(flag, F.lit(False)))
     elif method == "zscore":
         s = df.agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"))
         flag = F.abs(F.try_divide(F.col(c) - F.col("_m"), F.col("_s"))) > threshold
@@ -163,7 +151,7 @@ def outlier_flag(df: DataFrame, c: str, method: str = "iqr", threshold: float =
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
-    """CLN12: columns with missing values, count and percent, most missing first."""
+    """CLN12: columns with missing values, count and percent, most missing first (ties by name)."""
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("_total"),
                   *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
@@ -173,10 +161,11 @@ def missing_profile(df: DataFrame) -> DataFrame:
         long.where(F.col("missing_count") > 0)
         .select("column", "missing_count",
                 (F.col("missing_count") * 100.0 / F.col("_total")).alias("missing_percent"))
+        .orderBy(F.desc("missing_count"), "column")
     )
 
 
-REQUEST_TYPES = ("efficiency", "downtime", "duration", "all")
+REQUEST_TYPES = ("efficiency", "downtime", "both")
 
 
 def validate_requests(req: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles, literal
 from ..functions.exprs import cap1, clip01, cut, cut_equal3, human_seconds, row_sum, sdiv, shift_of
 from ..schema import DOWNTIME
 from .sequence import over_sequence, rolling_mean
@@ -82,15 +83,15 @@ def group_features(df: DataFrame) -> DataFrame:
 def rolling_features(df: DataFrame) -> DataFrame:
     """WIN1 + WIN2: 5/10-row rolling means by operator and by machine (StartTime order)."""
     op_metrics = ["efficiency", "parts_per_hour", "total_downtime"]
-    df = over_sequence(
+    out = over_sequence(
         df, ["OperatorName"],
         lambda w: {f"operator_{m}_rolling_{k}": rolling_mean(m, k, w) for k in (5, 10) for m in op_metrics},
         before=9,
     )
     return over_sequence(
-        df, ["machine"],
+        out, ["machine"],
         lambda w: {f"machine_{m}_rolling_{k}": rolling_mean(m, k, w) for k in (5, 10) for m in ("efficiency", "JobDuration")},
-        before=9,
+        before=9, base=df,
     )
 
 
@@ -191,19 +192,17 @@ def performance_projection(df: DataFrame) -> DataFrame:
 
 
 def extreme_flags(df: DataFrame) -> DataFrame:
-    """DRV19: flags against global quantiles (one aggregate row, broadcast): efficiency above
+    """DRV19: flags against global quantiles (exact, computed first): efficiency above
     q95 / below q05, duration above 2 x q95 / below q05 / 2, downtime above 2 x q95."""
-    q = df.agg(F.percentile("efficiency", 0.95).alias("_e95"), F.percentile("efficiency", 0.05).alias("_e05"),
-               F.percentile("JobDuration", 0.95).alias("_d95"), F.percentile("JobDuration", 0.05).alias("_d05"),
-               F.percentile("total_downtime", 0.95).alias("_t95"))
-    d = df.crossJoin(F.broadcast(q))
-    return d.withColumns({
-        "efficiency_extreme_high": (F.col("efficiency") > F.col("_e95")).cast("int"),
-        "efficiency_extreme_low": (F.col("efficiency") < F.col("_e05")).cast("int"),
-        "duration_extreme_long": (F.col("JobDuration") > F.col("_d95") * 2).cast("int"),
-        "duration_extreme_short": (F.col("JobDuration") < F.col("_d05") / 2).cast("int"),
-        "downtime_extreme_high": (F.col("total_downtime") > F.col("_t95") * 2).cast("int"),
-    }).drop("_e95", "_e05", "_d95", "_d05", "_t95")
+    q = {c: [literal(v) for v in found] for c, found in exact_quantiles(
+        df, {"efficiency": [0.95, 0.05], "JobDuration": [0.95, 0.05], "total_downtime": [0.95]}).items()}
+    return df.withColumns({
+        "efficiency_extreme_high": (F.col("efficiency") > q["efficiency"][0]).cast("int"),
+        "efficiency_extreme_low": (F.col("efficiency") < q["efficiency"][1]).cast("int"),
+        "duration_extreme_long": (F.col("JobDuration") > q["JobDuration"][0] * 2).cast("int"),
+        "duration_extreme_short": (F.col("JobDuration") < q["JobDuration"][1] / 2).cast("int"),
+        "downtime_extreme_high": (F.col("total_downtime") > q["total_downtime"][0] * 2).cast("int"),
+    })
 
 
 def quality_indicators(df: DataFrame) -> DataFrame:

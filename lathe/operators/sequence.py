@@ -37,11 +37,16 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def with_position(df: DataFrame, keys, order=ORDER, ts: str = "StartTime", pos_col: str = "_pos") -> DataFrame:
-    """Add the 0-based position of each row within its key, ordered by `order`."""
+def with_position(df: DataFrame, keys, order=ORDER, ts: str = "StartTime", pos_col: str = "_pos",
+                  base: DataFrame | None = None) -> DataFrame:
+    """Add the 0-based position of each row within its key, ordered by `order`.
+
+    `base`: a frame with the same rows, keys and times to count from (default `df`). Chained
+    steps pass their common input, so each step adds one narrow scan of it instead of
+    evaluating all earlier steps a second time."""
     keys = list(keys)
     d = df.withColumn("_b", hour_bucket(ts))
-    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = (df if base is None else base).select(*keys, hour_bucket(ts).alias("_b")).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_off"))
     d = _null_safe_join(d, offsets, keys + ["_b"])
@@ -54,8 +59,8 @@ WindowFactory = Callable[..., Window]
 
 def over_sequence(df: DataFrame, keys, build: Callable[[WindowFactory], dict], before: int = 0,
                   after: int = 0, order=ORDER, chunk_rows: int = DEFAULT.chunk_rows,
-                  pos_col: str | None = None, keep_pos: bool = False) -> DataFrame:
-    """Evaluate window columns over each key's ordered sequence.
+                  pos_col: str | None = None, keep_pos: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """Evaluate window columns over each key's ordered sequence (`base`: see `with_position`).
 
     `build(w)` returns {name: Column}; `w()` is the ordered window and
     `w(lo, hi)` the same with `rowsBetween(lo, hi)`. `before`/`after` are the
@@ -65,7 +70,7 @@ def over_sequence(df: DataFrame, keys, build: Callable[[WindowFactory], dict], b
     if max(before, after) > chunk_rows:
         raise ValueError("frame wider than a chunk")
     if pos_col is None:
-        d = with_position(df, keys, order)
+        d = with_position(df, keys, order, base=base)
         pos_col = "_pos"
     else:
         d = df
@@ -80,10 +85,10 @@ def over_sequence(df: DataFrame, keys, build: Callable[[WindowFactory], dict], b
         copies = F.when(off < after, F.array_append(copies, F.lit(-1))).otherwise(copies)
     u = d.withColumn("_copy", F.explode(copies)).withColumns({
         "_chunk": F.floor(pos / chunk_rows) + F.col("_copy"), "_halo": F.col("_copy") != 0}).drop("_copy")
-    base = Window.partitionBy(*keys, "_chunk").orderBy(pos_col)
+    ordered = Window.partitionBy(*keys, "_chunk").orderBy(pos_col)
 
     def w(lo=None, hi=None):
-        return base if lo is None else base.rowsBetween(lo, hi)
+        return ordered if lo is None else ordered.rowsBetween(lo, hi)
 
     cols = build(w)
     out = u.select("*", *[c.alias(n) for n, c in cols.items()]).where(~F.col("_halo")).drop("_chunk", "_halo")

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles, literal
 from ..functions.exprs import (avg_rank_desc, cap1, cut, floor_days_between, not_unknown, perf_score,
                                rel_consistency, rnd, row_sum, sdiv, trunc_ntz)
 from ..schema import DOWNTIME
@@ -314,11 +315,11 @@ def downtime_summary(F_: DataFrame) -> DataFrame:
 
 def top_performers(F_: DataFrame, group_col: str, metric_col: str = "efficiency", top_n: int = 5,
                    min_rows: int = 3, digits: int = 3) -> DataFrame:
-    """TOP3: groups with at least `min_rows` rows ranked by mean metric (ties: key asc)."""
+    """TOP3: groups with at least `min_rows` rows ranked by their rounded mean metric (ties: key asc)."""
     g = F_.groupBy(group_col).agg(F.avg(metric_col).alias("_m"), F.count(F.lit(1)).alias("job_count")).where(
         F.col("job_count") >= min_rows)
-    return g.orderBy(F.col("_m").desc(), F.col(group_col)).limit(top_n).select(
-        group_col, rnd("_m", digits).alias(f"avg_{metric_col}"), "job_count")
+    out = f"avg_{metric_col}"
+    return g.select(group_col, rnd("_m", digits).alias(out), "job_count").orderBy(F.col(out).desc(), F.col(group_col)).limit(top_n)
 
 
 def period_metrics(F_: DataFrame, level: str = "day", machines=None, operators=None) -> DataFrame:
@@ -379,8 +380,7 @@ def histogram(F_: DataFrame, c: str = "efficiency", bins: int = 30, log1p: bool
     x = F.log1p(F.col(c)) if log1p else F.col(c)
     d = F_.select(x.alias("x")).where(F.col("x").isNotNull())
     if upper_quantile is not None:
-        q = d.agg(F.percentile("x", upper_quantile).alias("_q"))
-        d = d.crossJoin(F.broadcast(q)).where(F.col("x") <= F.col("_q")).drop("_q")
+        d = d.where(F.col("x") <= literal(exact_quantiles(d, {"x": [upper_quantile]})["x"][0]))
     r = d.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     b = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(b)
@@ -406,11 +406,12 @@ def describe_numeric(F_: DataFrame, cols) -> DataFrame:
     """AGG29: count, mean, std, min, quartiles (exact), max per numeric column (long)."""
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     longf = F_.select(F.expr(f"stack({len(cols)}, {stack}) AS (`column`, value)"))
-    return longf.groupBy("column").agg(
+    found = exact_quantiles(F_, {c: [0.25, 0.5, 0.75] for c in cols})
+    of = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*map(literal, found[c])))])[F.col("column")]
+    plain = longf.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.percentile("value", 0.25).alias("q25"),
-        F.percentile("value", 0.5).alias("q50"), F.percentile("value", 0.75).alias("q75"),
-        F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    return plain.select("column", "count", "mean", "std", "min", of[0].alias("q25"), of[1].alias("q50"), of[2].alias("q75"), "max")
 
 
 def value_counts(F_: DataFrame, cols) -> DataFrame:

@@ -25,7 +25,7 @@ def downtime_history(df: DataFrame, window: int = 5) -> DataFrame:
                         before=window - 1)
     return over_sequence(out, ["OperatorName"],
                          lambda w: {f"{c}_operator_avg": rolling_mean(c, window, w) for c in DOWNTIME},
-                         before=window - 1)
+                         before=window - 1, base=df)
 
 
 def jobs_since_downtime(df: DataFrame, never: int = 999) -> DataFrame:
@@ -47,9 +47,10 @@ def next_downtime(df: DataFrame) -> DataFrame:
 
 def sequence_counters(df: DataFrame, keysets: dict[str, list[str]]) -> DataFrame:
     """WIN9: 1-based job counters per key set ({out: keys})."""
+    d = df
     for out, keys in keysets.items():
-        df = with_position(df, keys, pos_col="_p").withColumn(out, F.col("_p") + 1).drop("_p")
-    return df
+        d = with_position(d, keys, pos_col="_p", base=df).withColumn(out, F.col("_p") + 1).drop("_p")
+    return d
 
 
 EXPERIENCE_EDGES = [0, 1, 5, 15, float("inf")]
@@ -79,7 +80,7 @@ def duration_rolling(df: DataFrame, target: str = "JobDuration",
     }, before=9)
     return over_sequence(out, ["OperatorName"],
                          lambda w: {f"operator_{target}_rolling_{k}": rolling_mean(target, k, w) for k in (3, 5, 10)},
-                         before=9)
+                         before=9, base=df)
 
 
 def efficiency_history(df: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def efficiency_history(df: DataFrame) -> DataFrame:
     out = over_sequence(df, ["machine"], lambda w: {
         f"machine_efficiency_rolling_{k}": rolling_mean("efficiency", k, w) for k in (5, 10, 20)}, before=19)
     out = over_sequence(out, ["OperatorName"], lambda w: {
-        f"operator_efficiency_rolling_{k}": rolling_mean("efficiency", k, w) for k in (5, 10, 20)}, before=19)
+        f"operator_efficiency_rolling_{k}": rolling_mean("efficiency", k, w) for k in (5, 10, 20)}, before=19, base=df)
 
     def pair(w):
         f5 = w(-4, 0)
@@ -99,7 +100,7 @@ def efficiency_history(df: DataFrame) -> DataFrame:
                                        F.regr_slope(F.col("efficiency"), F.col("_pos").cast("double")).over(f5)),
             "efficiency_volatility": F.coalesce(rolling_std("efficiency", 10, w, min_periods=2), F.lit(0.0)),
         }
-    d = with_position(out, MO)
+    d = with_position(out, MO, base=df)
     return over_sequence(d, MO, pair, before=9, pos_col="_pos")
 
 
@@ -107,8 +108,8 @@ def gaps(df: DataFrame) -> DataFrame:
     """WIN15: seconds since the previous job on the machine (first: 0), in the
     (machine, operator) pair (first: 0) and in the (machine, part) pair (first: 86400)."""
     out = over_sequence(df, ["machine"], lambda w: {"_pm": F.lag("StartTime").over(w())}, before=1)
-    out = over_sequence(out, MO, lambda w: {"_pmo": F.lag("StartTime").over(w())}, before=1)
-    out = over_sequence(out, ["machine", "PartNumber"], lambda w: {"_pmp": F.lag("StartTime").over(w())}, before=1)
+    out = over_sequence(out, MO, lambda w: {"_pmo": F.lag("StartTime").over(w())}, before=1, base=df)
+    out = over_sequence(out, ["machine", "PartNumber"], lambda w: {"_pmp": F.lag("StartTime").over(w())}, before=1, base=df)
     return out.withColumns({
         "time_since_last_machine_job": F.coalesce(seconds_between("_pm", "StartTime"), F.lit(0.0)),
         "time_since_last_job": F.coalesce(seconds_between("_pmo", "StartTime"), F.lit(0.0)),
@@ -152,7 +153,7 @@ def notebook_rolling(df: DataFrame) -> DataFrame:
         "machine_efficiency_std_5": F.coalesce(rolling_std("efficiency", 5, w, min_periods=2), F.lit(0.0)),
     }, before=9)
     out = over_sequence(out, ["OperatorName"], lambda w: {
-        f"operator_{m}_roll_{k}": rolling_mean(m, k, w) for m in ("efficiency", "SetupTime") for k in (3, 5)}, before=4)
+        f"operator_{m}_roll_{k}": rolling_mean(m, k, w) for m in ("efficiency", "SetupTime") for k in (3, 5)}, before=4, base=df)
     return out.withColumns({
         "efficiency_vs_machine_roll": F.col("efficiency") - F.col("machine_efficiency_roll_5"),
         "efficiency_vs_operator_roll": F.col("efficiency") - F.col("operator_efficiency_roll_3"),

@@ -275,7 +275,7 @@ def _top_sql(group: str, metric: str, n: int, min_rows: int = 3) -> str:
     return sql(f"""
 SELECT {group}, {rn('m', 3)} AS avg_{metric}, job_count FROM (
   SELECT {group}, avg({metric}) AS m, count(*) AS job_count FROM F GROUP BY {group} HAVING count(*) >= {min_rows}
-) ORDER BY m DESC, {group} LIMIT {n}""")
+) ORDER BY avg_{metric} DESC, {group} LIMIT {n}""")
 
 
 @query("top3_top_machines", _top_sql("machine", "efficiency", 5))

@@ -170,7 +170,8 @@ def job_requests(spark, d):
         F_.col("PartsProduced").cast("int").alias("quantity"),
         (F_.col("NotFeedingTime") / 60.0).alias("setup_time"),
         (F_.col("OpNumber") * 2).cast("double").alias("complexity_score"),
-        F_.when(F_.col("OpNumber") == 7, "cost").otherwise("efficiency").alias("prediction_type"),
+        F_.when(F_.col("OpNumber") == 7, "cost").when(F_.col("OpNumber") == 6, "duration").when(F_.col("OpNumber") == 5, "all")
+        .when(F_.col("OpNumber") == 4, "both").otherwise("efficiency").alias("prediction_type"),
     )
 
 
@@ -178,7 +179,7 @@ _REQ_SQL = """requests AS (
 SELECT JobNumber AS job_id, concat(' ', lower(machine), ' ') AS machine, PartNumber AS part, OperatorName AS operator,
   RunningTime / 60.0 - 10.0 AS planned_cycle_time, CAST(PartsProduced AS INTEGER) AS quantity,
   NotFeedingTime / 60.0 AS setup_time, CAST(OpNumber * 2 AS DOUBLE) AS complexity_score,
-  CASE WHEN OpNumber = 7 THEN 'cost' ELSE 'efficiency' END AS prediction_type
+  CASE WHEN OpNumber = 7 THEN 'cost' WHEN OpNumber = 6 THEN 'duration' WHEN OpNumber = 5 THEN 'all' WHEN OpNumber = 4 THEN 'both' ELSE 'efficiency' END AS prediction_type
 FROM joblog)"""
 
 
@@ -191,7 +192,7 @@ SELECT *, array_to_string(list_filter([
     CASE WHEN NOT coalesce(quantity > 0, false) THEN 'quantity must be > 0' END,
     CASE WHEN setup_time < 0 THEN 'setup_time must be >= 0' END,
     CASE WHEN complexity_score < 1 OR complexity_score > 10 THEN 'complexity_score must be in 1..10' END,
-    CASE WHEN NOT prediction_type IN ('efficiency', 'downtime', 'duration', 'all') THEN 'unknown prediction_type' END
+    CASE WHEN NOT prediction_type IN ('efficiency', 'downtime', 'both') THEN 'unknown prediction_type' END
   ], lambda x: x IS NOT NULL), '; ') AS errors
 FROM requests) r""", "joblog", _REQ_SQL))
 def cln13(spark, d):

@@ -29,17 +29,18 @@ from ..sources.fixture import joblog_from_tpch
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def _exists(path: str) -> bool:
-    return "://" in path or os.path.exists(os.path.join(path, "_SUCCESS"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def materialized(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write `build()` once per (application, input folder, stage) under the shared
     checkpoint folder and return a DataFrame reading it."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), stage)
+    key = (spark.sparkContext.applicationId, sf_dir if "://" in sf_dir else os.path.abspath(sf_dir), stage)
     path = _WRITTEN.get(key)
-    if path is None or not _exists(path):
-        tag = hashlib.sha1("|".join(key[1:]).encode()).hexdigest()[:12]
+    if path is None or not _exists(spark, path):
+        tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:12]  # the application is part of it: folders may be shared
         path = shared_path(spark, f"{stage}_{tag}")
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path

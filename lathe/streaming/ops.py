@@ -69,15 +69,14 @@ def rate_limit_all(events: DataFrame, limit: int = 100, window_s: int = 60) -> D
     """STR1, all-attempts variant: requests by the same client in (ts - window, ts);
     rejected when that count reaches `limit`; retry after window - (ts - oldest).
 
-    Sliding counts run per (client, hour bucket); the last `window_s` seconds of
-    each bucket are copied into the next bucket as a halo, so the result is exact
-    and a busy client is spread over its buckets instead of one task."""
+    Sliding counts run per (client, hour bucket); every request is also copied, as a
+    halo, into each later bucket that its window reaches, so the result is exact for
+    windows of any length and a busy client is spread over its buckets instead of one task."""
     w_us = window_s * 1_000_000
     hour_us = 3_600_000_000
-    d = events.withColumns({"_us": micros("ts"), "_b": hour_bucket("ts"), "_halo": F.lit(False)})
-    halo = (d.where(F.col("_us") + w_us > (F.col("_b") + 1) * hour_us)
-            .withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True)))
-    u = d.unionByName(halo)
+    d = events.withColumns({"_us": micros("ts"), "_own": hour_bucket("ts")})
+    last = F.expr(f"(_us + {w_us - 1}) div {hour_us}")  # bucket of the latest moment that still counts this request
+    u = d.withColumn("_b", F.explode(F.sequence("_own", F.greatest("_own", last)))).withColumn("_halo", F.col("_b") != F.col("_own"))
     w = Window.partitionBy("user_id", "_b").orderBy("_us").rangeBetween(-(w_us - 1), -1)
     out = u.select("*", F.count(F.lit(1)).over(w).alias("prior_requests"), F.min("_us").over(w).alias("_oldest"))
     out = out.where(~F.col("_halo"))
@@ -97,8 +96,9 @@ def _accept_fn(limit: int, window_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         accepted = list(state.get[0]) if state.exists else []
         out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["_us", "event_id"])
+        # a client's rows of one micro-batch (bounded by its trigger) come in several Arrow batches: order them together
+        got = list(pdfs)
+        for pdf in [pd.concat(got).sort_values(["_us", "event_id"])] if got else []:
             for eid, ts, us in zip(pdf["event_id"], pdf["ts"], pdf["_us"]):
                 cutoff = us - window_us
                 while accepted and accepted[0] < cutoff:
