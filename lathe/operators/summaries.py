@@ -322,6 +322,30 @@ def top_performers(F_: DataFrame, group_col: str, metric_col: str = "efficiency"
     return g.select(group_col, rnd("_m", digits).alias(out), "job_count").orderBy(F.col(out).desc(), F.col(group_col)).limit(top_n)
 
 
+def performance_overview(F_: DataFrame, days: int = 30, end=None, top_n: int = 5) -> DataFrame:
+    """AGG22: one row about the jobs of the `days` before `end` (default: the latest start): jobs, mean
+    efficiency, trend (WIN20), best machines and operators (TOP3, as "name:score:jobs, ..."), downtime (AGG21),
+    jobs above 80 % and consistency."""
+    from .windows import trend_label
+
+    # as text, since a Python datetime would pass through the session's time zone
+    last = F.lit(str(end) if end is not None else F_.agg(F.max("StartTime").cast("string")).first()[0]).cast("timestamp_ntz")
+    recent = F_.where((F.col("StartTime") <= last) & (F.col("StartTime") >= last - F.make_dt_interval(F.lit(days))))
+
+    def best(group: str) -> DataFrame:
+        top = top_performers(recent, group, "efficiency", top_n)
+        entry = F.struct((-F.col("avg_efficiency")).alias("o"), F.col(group).alias("g"),
+                         F.concat_ws(":", F.col(group), F.format_number("avg_efficiency", 3), F.col("job_count")).alias("t"))
+        return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), ", ").alias(f"top_{group}"))  # top_n rows
+
+    head = headline_metrics(recent).select(
+        F.lit(days).alias("period_days"), "total_jobs", F.col("avg_efficiency").alias("average_efficiency"),
+        F.col("high_efficiency_jobs").alias("jobs_above_80_efficiency"), (1 / (1 + F.col("efficiency_std"))).alias("consistency_score"))
+    for one_row in (trend_label(recent, "efficiency").select(F.col("trend").alias("efficiency_trend")), best("machine"), best("OperatorName"), downtime_summary(recent)):
+        head = head.crossJoin(F.broadcast(one_row))
+    return head
+
+
 def period_metrics(F_: DataFrame, level: str = "day", machines=None, operators=None) -> DataFrame:
     """AGG38: efficiency, downtime minutes and jobs per period, per machine and operator."""
     unit = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month"}.get(level, level)

@@ -45,6 +45,16 @@ def next_downtime(df: DataFrame) -> DataFrame:
     return out.where(F.col("next_downtime").isNotNull())
 
 
+def downtime_sequences(df: DataFrame, top_n: int = 10) -> DataFrame:
+    """WIN8: the most common pairs (dominant downtime of a job, of the next job on its machine);
+    ties by pair. An all-zero job counts as the first category here."""
+    d = dominant_downtime(df, "current_downtime", False)
+    out = over_sequence(d.select("machine", "StartTime", "JobNumber", "current_downtime"), ["machine"],
+                        lambda w: {"next_downtime": F.lead("current_downtime").over(w())}, after=1)
+    pairs = out.where(F.col("next_downtime").isNotNull()).groupBy("current_downtime", "next_downtime").agg(F.count(F.lit(1)).alias("count"))
+    return pairs.orderBy(F.desc("count"), "current_downtime", "next_downtime").limit(top_n)
+
+
 def sequence_counters(df: DataFrame, keysets: dict[str, list[str]]) -> DataFrame:
     """WIN9: 1-based job counters per key set ({out: keys})."""
     d = df
@@ -138,10 +148,11 @@ def pair_means(df: DataFrame, target: str = "JobDuration") -> DataFrame:
         f"operator_avg_{target}": ["OperatorName"],
         f"part_avg_{target}": ["PartNumber"],
     }
-    for out, keys in specs.items():
-        df = df.join(df.groupBy(*keys).agg(F.avg(target).alias(out)), keys, "left")
+    d = df
+    for out, keys in specs.items():  # means of the input, not of the joins so far
+        d = d.join(df.groupBy(*keys).agg(F.avg(target).alias(out)), keys, "left")
     m = df.groupBy("machine").agg(F.avg("efficiency").alias("_me"))
-    return df.join(m, "machine", "left").withColumn(
+    return d.join(m, "machine", "left").withColumn(
         "efficiency_vs_machine_avg", F.col("efficiency") - F.col("_me")).drop("_me")
 
 

@@ -278,6 +278,27 @@ SELECT {group}, {rn('m', 3)} AS avg_{metric}, job_count FROM (
 ) ORDER BY avg_{metric} DESC, {group} LIMIT {n}""")
 
 
+def _best_sql(group: str) -> str:
+    return f"""(SELECT string_agg(concat({group}, ':', printf('%.3f', a), ':', n), ', ' ORDER BY a DESC, {group}) FROM (
+  SELECT {group}, {rn('avg(efficiency)', 3)} AS a, count(*) AS n FROM recent GROUP BY {group} HAVING count(*) >= 3 ORDER BY a DESC, {group} LIMIT 5))"""
+
+
+@query("agg22_performance_overview", sql(f"""
+SELECT 365 AS period_days, total_jobs, {r6('e')} AS average_efficiency, high AS jobs_above_80_efficiency, {r6('1 / (1 + s)')} AS consistency_score,
+  CASE WHEN total_jobs < 2 THEN 'stable' WHEN late > early * 1.05 THEN 'improving' WHEN late < early * 0.95 THEN 'declining' ELSE 'stable' END AS efficiency_trend,
+  {_best_sql('machine')} AS top_machine, {_best_sql('OperatorName')} AS "top_OperatorName",
+  {r6('SetupTime / 3600')} AS total_setup_hours, {r6('MaintenanceTime / 3600')} AS total_maintenance_hours,
+  {r6('IdleTime / 3600')} AS total_idle_hours, {_ARGMAX} AS top_downtime_category
+FROM (SELECT count(*) AS total_jobs, avg(efficiency) AS e, stddev_samp(efficiency) AS s, count(CASE WHEN efficiency > 0.8 THEN 1 END) AS high,
+  avg(CASE WHEN pos >= n - floor(n / 3) THEN efficiency END) AS late, avg(CASE WHEN pos < floor(n / 3) THEN efficiency END) AS early,
+  {', '.join(f'sum({c}) AS {c}' for c in _CATS.split(', '))}
+  FROM (SELECT *, row_number() OVER (ORDER BY StartTime, JobNumber) - 1 AS pos, count(*) OVER () AS n FROM recent))""", "F",
+    "recent AS (SELECT * FROM F WHERE StartTime >= (SELECT max(StartTime) FROM F) - INTERVAL 365 DAY)"))
+def agg22(spark, d):
+    """The last year of the log (the fixture has a handful of jobs in its last month)."""
+    return S.performance_overview(F(spark, d), days=365)
+
+
 @query("top3_top_machines", _top_sql("machine", "efficiency", 5))
 def top3_machines(spark, d):
     return S.top_performers(F(spark, d), "machine", "efficiency", 5)

@@ -7,19 +7,31 @@ from pyspark.sql import functions as F_
 from ..streaming import ops as ST
 from .oracle import r6, sql
 from .registry import query
-from .tables import F, materialized
+from .tables import F
 
 
 def events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-@query("str2_endpoint_metrics", sql(f"""
+def folded(closed, batch, keys, time_cols):
+    """A finished replay's whole answer: the windows that the stream closed, and those still open at its end,
+    which the batch form of the same operator computes."""
+    for c in time_cols:  # event times are wall clocks read as UTC
+        closed = closed.withColumn(c, F_.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_micros({c}) / 1000000.0BD)"))
+    batch = batch.withColumns({c: F_.col(c).cast("timestamp_ntz") for c in time_cols})
+    return closed.unionByName(batch.join(closed.select(*keys), keys, "left_anti"))
+
+
+_ENDPOINTS = sql(f"""
 SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end,
   event_type AS endpoint, count(*) AS "count", {r6('sum(value)')} AS total_time, {r6('avg(value)')} AS avg_time,
   min(value) AS min_time, max(value) AS max_time, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors,
   {r6("sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / count(*)")} AS error_rate
-FROM events GROUP BY time_bucket(INTERVAL '5 minutes', ts), event_type""", "joblog"))
+FROM events GROUP BY time_bucket(INTERVAL '5 minutes', ts), event_type""", "joblog")
+
+
+@query("str2_endpoint_metrics", _ENDPOINTS)
 def str2(spark, d):
     return ST.endpoint_metrics(events(spark, d))
 
@@ -32,9 +44,10 @@ def str2_summary(spark, d):
     return ST.metrics_summary(events(spark, d))
 
 
-@query("str2_endpoint_metrics_stream")
+@query("str2_endpoint_metrics_stream", _ENDPOINTS)
 def str2_stream(spark, d):
-    return ST.run_available(ST.endpoint_metrics(ST.event_stream(spark, d)), "endpoint_metrics")
+    closed = ST.run_available(ST.endpoint_metrics(ST.event_stream(spark, d)), "endpoint_metrics")
+    return folded(closed, ST.endpoint_metrics(events(spark, d)), ["window_start", "endpoint"], ["window_start", "window_end"])
 
 
 # The limit is the reference's requests-per-minute setting scaled to the fixture's traffic
@@ -58,21 +71,22 @@ def str1_accepted(spark, d):
     return ST.run_available(ST.rate_limit_accepted(ST.event_stream(spark, d), RATE_LIMIT), "rate_limit_accepted")
 
 
-@query("str3_daily_rollup_stream")
+_DAILY = sql(f"""
+SELECT CAST(CAST(StartTime AS DATE) AS TIMESTAMP) AS day, count(*) AS jobs, {r6('avg(efficiency)')} AS avg_efficiency,
+  sum(total_downtime) AS total_downtime FROM F GROUP BY CAST(StartTime AS DATE)""")
+
+
+@query("str3_daily_rollup_stream", _DAILY)
 def str3(spark, d):
     base = F(spark, d)  # the stored derived table, replayed as a file stream
     path = None
     for p in base.inputFiles()[:1]:
         path = p.rsplit("/", 1)[0]
     stream = ST.joblog_stream(spark, path, base.schema)
-    return ST.run_available(ST.daily_rollup(stream), "daily_rollup")
+    return folded(ST.run_available(ST.daily_rollup(stream), "daily_rollup"), ST.daily_rollup(base), ["day"], ["day"])
 
 
-@query("str3_daily_rollup", sql(f"""
-SELECT CAST(CAST(StartTime AS DATE) AS TIMESTAMP) AS day, count(*) AS jobs, {r6('avg(efficiency)')} AS avg_efficiency,
-  sum(total_downtime) AS total_downtime FROM F GROUP BY CAST(StartTime AS DATE)"""))
+@query("str3_daily_rollup", _DAILY)
 def str3_batch(spark, d):
     return ST.daily_rollup(F(spark, d))
 
-
-del materialized, F_

@@ -48,6 +48,18 @@ def win7(spark, d):
         "JobNumber", "StartTime", "machine", "OperatorName", "dominant_downtime", "next_downtime")
 
 
+_FIRST = "CASE " + " ".join(f"WHEN {c} = greatest({', '.join(DOWNTIME)}) THEN '{c}'" for c in DOWNTIME) + " END"
+
+
+@query("win8_downtime_sequences", sql(f"""
+SELECT current_downtime, next_downtime, count(*) AS "count" FROM (
+  SELECT current_downtime, lead(current_downtime) OVER (PARTITION BY machine {ORD}) AS next_downtime
+  FROM (SELECT *, {_FIRST} AS current_downtime FROM F)) WHERE next_downtime IS NOT NULL
+GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 10"""))
+def win8(spark, d):
+    return W.downtime_sequences(F(spark, d))
+
+
 _COUNTERS = {
     "operator_machine_jobs": ["OperatorName", "machine"],
     "operator_job_number": ["OperatorName"],
