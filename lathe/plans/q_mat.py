@@ -159,7 +159,7 @@ sop AS (SELECT OperatorName, avg(avg_setup_time) AS cur, array_to_string(list_so
 smach AS (SELECT machine, avg(avg_setup_time) AS ms FROM om GROUP BY machine),
 ct AS (SELECT sop.OperatorName AS operator, smach.machine AS recommended_machine, 1 / (1 + abs(cur - ms) / 100) AS similarity_score,
   cs AS current_strong_machines,
-  format('Similar setup complexity ({}s vs {}s avg)', CAST(round_even(ms, 0) AS BIGINT), CAST(round_even(cur, 0) AS BIGINT)) AS reason
+  format('mean setup {} s there, {} s on known machines', CAST(round_even(ms, 0) AS BIGINT), CAST(round_even(cur, 0) AS BIGINT)) AS reason
   FROM sop CROSS JOIN smach
   WHERE NOT EXISTS (SELECT 1 FROM strong s WHERE s.OperatorName = sop.OperatorName AND s.machine = smach.machine)),
 ct3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY operator ORDER BY similarity_score DESC, recommended_machine) AS r
