@@ -31,4 +31,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_agg, q_ano, q_clean, q_mat, q_misc, q_ml, q_ops, q_rec, q_stream, q_win  # noqa: F401
+    from . import q_agg, q_ano, q_clean, q_fea, q_mat, q_misc, q_ml, q_ops, q_rec, q_stream, q_win  # noqa: F401
