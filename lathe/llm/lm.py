@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import folder, mounted, release, written
+from .store import discard, folder, mounted, release, written
 from .text import Words, buffers, mix, owners, pieces
 
 CHUNK = 1_500_000  # tokens sorted together by a task
@@ -213,7 +213,7 @@ def _collect_shard(path: str, known: int):
         upto = np.concatenate([[0], np.cumsum(count[order])])
         total = np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
         _save(f"{path}/pairs-{grp}-key", kinds)
-        _save(f"{path}/pairs-{grp}-count", total.astype(np.uint32))
+        _save(f"{path}/pairs-{grp}-count", total.astype(np.min_scalar_type(int(total.max(initial=0)))))
         context, word = (kinds // _U(known + 2)).astype(np.int64), (kinds % _U(known + 2)).astype(np.int64)
         rows = [(grp, COUNTS, "", [np.array([(total == k).sum() for k in (1, 2, 3, 4)], dtype=np.int64).tobytes()])]
         ids, where = np.unique(np.concatenate([context, word]), return_inverse=True)
@@ -333,6 +333,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
     n_parts = max(1, -(-known // RANGE))
     parts = counted.repartitionByRange(n_parts, "h").sortWithinPartitions("h").mapInArrow(store, "part long, n long, first long")
     parts = [tuple(r) for r in sorted(parts.collect())]  # a row per RANGE words
+    discard(counted)
     release(spark)
 
     shards = max(1, -(-int(tokens * 1.3) // SHARD))
