@@ -90,18 +90,20 @@ class Encoder:
                 fresh = np.zeros(2 * len(self.memo), dtype=old.dtype)
                 fresh[:len(old)] = old
                 self.tables[name] = fresh
+        special = any(s in "\n".join(new) for s in self.special)  # seldom, so looked for in all keys at once
         kind, word, odd = [], [], []
+        begins = {" ": BLANK, ".": SOFT, ",": SOFT}
         for key in new:
             first, last = key[:1], key[-1:]
-            if first == WHOLE:
-                kind.append(PLAIN)
+            if first == WHOLE or key == "\n":
+                kind.append(PLAIN if first == WHOLE else FEED)
                 word.append(False)
                 odd.append(False)
                 continue
-            kind.append(BLANK if first == " " else SOFT if first == "." or first == "," else FEED if key == "\n" else PLAIN)
+            kind.append(begins.get(first, PLAIN))
             word.append(last < "\u0250" and (last.isalpha() or "0" <= last <= "9"))
-            body = key[1:] if first == " " else key
-            odd.append(key != "\n" and (not body or body[0].isspace() or last.isspace()) or any(s in key for s in self.special))
+            inner = key[1:2] if first == " " else first  # a piece of a blank and more white space, or of nothing, is odd
+            odd.append(not inner or inner.isspace() or last.isspace() or special and any(s in key for s in self.special))
         where = slice(n, n + len(new))
         self.tables["kind"][where], self.tables["word"][where], self.tables["odd"][where], self.tables["uses"][where] = kind, word, odd, 0
         sure, other = [], []
