@@ -91,15 +91,16 @@ def cross_training_potential(F_: DataFrame, top_n: int = 3) -> DataFrame:
     """MAT13: for each operator, the machines never run ranked by setup-time similarity
     1 / (1 + |operator setup level - machine mean setup| / 1000), top `top_n`.
 
-    The candidate pairs are (operators x machines) minus the pairs seen: both
-    sides are per-key aggregates (keys^2 rows, never jobs^2).
+    Candidates are the machines nearest in setup time only (`nearest_machines`).
     """
+    from .matrices import nearest_machines
+
     om = F_.groupBy("OperatorName", "machine").agg(F.avg("SetupTime").alias("_s"))
     op = om.groupBy("OperatorName").agg(F.avg("_s").alias("current_avg_setup"),
                                         F.count(F.lit(1)).alias("_cur"))
     mach = F_.groupBy("machine").agg(F.avg("SetupTime").alias("machine_avg_setup"))
     n_all = mach.agg(F.count(F.lit(1)).alias("_all"))
-    cand = op.crossJoin(mach).join(om.select("OperatorName", "machine"), ["OperatorName", "machine"], "left_anti")
+    cand = nearest_machines(op, mach, om.select("OperatorName", "machine"), top_n)
     cand = cand.crossJoin(F.broadcast(n_all))
     cand = cand.withColumns({
         "similarity": 1 / (1 + F.abs(F.col("current_avg_setup") - F.col("machine_avg_setup")) / 1000),
