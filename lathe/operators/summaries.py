@@ -259,31 +259,39 @@ def sql_operator_summary(J: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- AGG16/AGG17
 
 def efficiency_factors(F_: DataFrame) -> DataFrame:
-    """AGG16: efficiency mean/std/count by machine and operator, mean by hour and weekday (long)."""
-    def by(key, with_std):
-        aggs = [F.avg("efficiency").alias("mean"),
-                (F.stddev_samp("efficiency") if with_std else F.lit(None).cast("double")).alias("std"),
-                (F.count("efficiency") if with_std else F.lit(None).cast("bigint")).alias("count")]
-        return F_.groupBy(F.col(key).cast("string").alias("key")).agg(*aggs).select(
-            F.lit(key).alias("factor"), "key", "mean", "std", "count")
-    parts = [by("machine", True), by("OperatorName", True), by("hour", False), by("day_of_week", False)]
-    return reduce(DataFrame.unionByName, parts)
+    """AGG16: efficiency mean/std/count by machine and operator, mean by hour and weekday (long).
+    One grouping-sets pass for the four keys."""
+    keys = ["machine", "OperatorName", "hour", "day_of_week"]
+    g = F_.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id().alias("_gid"), F.avg("efficiency").alias("mean"), F.stddev_samp("efficiency").alias("_std"), F.count("efficiency").alias("_n"))
+    full = 2 ** len(keys) - 1
+    which = {k: F.col("_gid") == full - 2 ** (len(keys) - 1 - i) for i, k in enumerate(keys)}
+    factor, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, is_k in which.items():
+        factor, key = F.when(is_k, F.lit(k)).otherwise(factor), F.when(is_k, F.col(k).cast("string")).otherwise(key)
+    with_std = which["machine"] | which["OperatorName"]
+    return g.select(factor.alias("factor"), key.alias("key"), "mean", F.when(with_std, F.col("_std")).alias("std"), F.when(with_std, F.col("_n")).alias("count"))
 
 
 def downtime_patterns(F_: DataFrame) -> DataFrame:
-    """AGG17: category totals, and category means by machine, operator (excl. Unknown) and hour (long)."""
-    stack = ", ".join(f"'{c}', `{c}`" for c in DOWNTIME)
-    longf = F_.select("machine", "OperatorName", F.col("hour").cast("string").alias("hour"),
-                      F.expr(f"stack({len(DOWNTIME)}, {stack}) AS (category, seconds)"))
-    total = longf.groupBy("category").agg(F.sum("seconds").alias("value")).select(
-        F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("key"), "category", "value")
-    def mean_by(dim, frame):
-        return frame.groupBy(F.col(dim).alias("key"), "category").agg(F.avg("seconds").alias("value")).select(
-            F.lit(dim).alias("dimension"), "key", "category", "value")
-    return reduce(DataFrame.unionByName, [
-        total, mean_by("machine", longf),
-        mean_by("OperatorName", longf.where(not_unknown("OperatorName"))),
-        mean_by("hour", longf)])
+    """AGG17: category totals, and category means by machine, operator (excl. Unknown) and hour (long).
+    One grouping-sets pass over wide rows; only its small result is turned into long form."""
+    keys = ["machine", "OperatorName", "hour"]
+    g = F_.groupingSets([[], *[[k] for k in keys]], *keys).agg(
+        F.grouping_id().alias("_gid"), *[F.avg(c).alias(f"_a_{c}") for c in DOWNTIME], *[F.sum(c).alias(f"_s_{c}") for c in DOWNTIME])
+    total = F.col("_gid") == 7
+    stack = ", ".join(f"'{c}', CASE WHEN _gid = 7 THEN _s_{c} ELSE _a_{c} END" for c in DOWNTIME)
+    dimension = F.when(total, "total").when(F.col("_gid") == 3, "machine").when(F.col("_gid") == 5, "OperatorName").otherwise("hour")
+    key = F.when(F.col("_gid") == 3, F.col("machine")).when(F.col("_gid") == 5, F.col("OperatorName")).when(F.col("_gid") == 6, F.col("hour").cast("string"))
+    known = (F.col("_gid") != 5) | not_unknown("OperatorName")
+    return g.where(known).select(dimension.alias("dimension"), key.alias("key"), F.expr(f"stack({len(DOWNTIME)}, {stack}) AS (category, value)"))
+
+
+def _column_statistics(F_: DataFrame, cols, stats: dict) -> DataFrame:
+    """One row per column with `stats` ({name: Column -> aggregate}): one wide aggregate, its single row then turned long."""
+    wide = F_.agg(*[make(F.col(c).cast("double")).alias(f"{name}__{i}") for i, c in enumerate(cols) for name, make in stats.items()])
+    stack = ", ".join(f"'{c}', " + ", ".join(f"{name}__{i}" for name in stats) for i, c in enumerate(cols))
+    return wide.select(F.expr(f"stack({len(cols)}, {stack}) AS (`column`, {', '.join(f'`{n}`' for n in stats)})"))
 
 
 # --------------------------------------------------------------------------- AGG20-AGG23
@@ -428,13 +436,9 @@ def pivot_operator_machine(F_: DataFrame, top_n: int = 10) -> DataFrame:
 
 def describe_numeric(F_: DataFrame, cols) -> DataFrame:
     """AGG29: count, mean, std, min, quartiles (exact), max per numeric column (long)."""
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    longf = F_.select(F.expr(f"stack({len(cols)}, {stack}) AS (`column`, value)"))
     found = exact_quantiles(F_, {c: [0.25, 0.5, 0.75] for c in cols})
     of = F.create_map(*[x for c in cols for x in (F.lit(c), F.array(*map(literal, found[c])))])[F.col("column")]
-    plain = longf.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    plain = _column_statistics(F_, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     return plain.select("column", "count", "mean", "std", "min", of[0].alias("q25"), of[1].alias("q50"), of[2].alias("q75"), "max")
 
 
@@ -444,21 +448,21 @@ def value_counts(F_: DataFrame, cols) -> DataFrame:
     stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     longf = F_.select(F.expr(f"stack({len(cols)}, {stack}) AS (`column`, value)"))
     vc = longf.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    # ten best of each hash slice, then of each column; no task sees all values of a column
+    slices = Window.partitionBy("column", F.pmod(F.xxhash64("value"), F.lit(256))).orderBy(F.col("count").desc(), F.col("value"))
+    best = vc.withColumn("_s", F.row_number().over(slices)).where(F.col("_s") <= 10).drop("_s")
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
-    nuniq = F.count(F.lit(1)).over(Window.partitionBy("column"))
-    vc = vc.withColumns({"rank": F.row_number().over(w), "n_unique": nuniq})
-    return vc.where(F.col("rank") <= F.when(F.col("n_unique") < 20, 10).otherwise(5))
+    number = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    best = best.withColumn("rank", F.row_number().over(w)).join(F.broadcast(number), "column")  # a row per column
+    return best.where(F.col("rank") <= F.when(F.col("n_unique") < 20, 10).otherwise(5))
 
 
 def feature_statistics(F_: DataFrame, cols) -> DataFrame:
     """AGG31: mean, std, min, max, missing ratio, zero ratio per numeric column (long)."""
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    longf = F_.select(F.expr(f"stack({len(cols)}, {stack}) AS (`column`, value)"))
-    return longf.groupBy("column").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_ratio"),
-        F.avg((F.coalesce(F.col("value") == 0, F.lit(False))).cast("double")).alias("zeros_ratio"))
+    return _column_statistics(F_, cols, {
+        "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+        "missing_ratio": lambda c: F.avg(c.isNull().cast("double")),
+        "zeros_ratio": lambda c: F.avg(F.coalesce(c == 0, F.lit(False)).cast("double"))})
 
 
 def correlations_with(F_: DataFrame, target: str, cols) -> DataFrame:
