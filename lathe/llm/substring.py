@@ -149,10 +149,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     ids = written(base.select("doc", "fp").distinct(), "ids")
     classes = written(ids.groupBy("fp").agg(F.min("doc").alias("first")), "classes")
     runs = base.where(F.size("runs") > 0).select("fp", F.explode("runs").alias("h"))
-    repeated = runs.groupBy("h").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("h")
+    repeated = written(runs.groupBy("h").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("h"), "repeated")
+    release(spark)
     survivors = runs.join(repeated, "h", "left_semi").groupBy("fp").agg(F.collect_set("h").alias("runs"))  # at most a text's runs
     survivors = written(survivors.join(classes, "fp").select(F.col("first").alias("doc"), "fp", "runs"), "survivors")
-    discard(base)
+    discard(base, repeated)
     release(spark)
 
     # level 2: windows around surviving runs, by segments, then those of first segments one by one
