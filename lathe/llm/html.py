@@ -1,19 +1,22 @@
 """HTML extraction by layout-aware rendering: a small tree builder, then a text layout.
 
 The builder handles what pages leave out: end tags implied by the next start tag or the parent's end, an implied
-body, void elements, unclosed and misplaced end tags, raw text in script and style, comments, and entities. The renderer emits
+body, void elements, unclosed and misplaced end tags, raw text in script and style, comments, and entities; the same rules
+hold inside elements that are not displayed. The renderer emits
 all visible text: nothing in head, script, style, template and the like, in elements with `hidden` or an inline
-style of display:none or visibility:hidden (until an element that is visible again), and no form values. Blocks begin on
+style of display:none or visibility:hidden (until an element that is visible again), and no form values; of SVG the
+text elements and foreign objects that are drawn, of MathML all but annotations. Blocks begin on
 a new line, paragraphs and headings stand between blank lines (which collapse), lists get bullets or numbers and an indent,
 `pre` keeps its blanks, and the cells of a table are padded to columns.
 
-Work and memory are linear in the page; nesting is no recursion, and depth over MAX_DEPTH is kept flat. A null page
+Work and memory are linear in the page; nesting is no recursion, and displayed depth over MAX_DEPTH is kept flat. A null page
 has a null title and an empty text; an empty page, or one without visible text, an empty text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +31,7 @@ MAX_COLUMN = 80  # cells are padded up to this width
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset(("title", "textarea"))
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea title".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist select textarea title".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 BLOCK = SPACED | frozenset("""html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main menu
 nav option search section summary caption thead tbody tfoot tr td th""".split())
@@ -48,6 +51,15 @@ ENDS = {
     "tfoot": (frozenset(("thead", "tbody", "tfoot", "caption", "tr", "td", "th")), frozenset(("table",))),
 }
 WALLS = frozenset("table td th caption html body".split())  # an end tag inside does not close what is outside
+APART = frozenset(("template", "object"))  # nor does any tag inside these
+TABLE = frozenset("table tr td th thead tbody tfoot caption".split())
+FOREIGN = frozenset(("svg", "math"))
+INTEGRATION = frozenset("foreignobject mi mo mn ms mtext".split())  # hold HTML in foreign elements
+BREAKOUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby
+s small span strong strike sub sup table tt u ul var""".split())  # end foreign elements
+DRAWN = frozenset(("text", "foreignobject"))
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+SHOWN, MUTE, DARK = range(3)  # MUTE: SVG outside DRAWN
 
 _TOKEN = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
@@ -57,10 +69,10 @@ _INVISIBLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b
 
 
 class Node:
-    __slots__ = ("tag", "children", "shown", "start")
+    __slots__ = ("tag", "children", "shown", "start", "light")
 
-    def __init__(self, tag: str, shown: bool | None = None, start: int = 1):
-        self.tag, self.children, self.shown, self.start = tag, [], shown, start  # shown: None as the parent
+    def __init__(self, tag: str, shown: bool | None = None, start: int = 1, light: int = SHOWN):
+        self.tag, self.children, self.shown, self.start, self.light = tag, [], shown, start, light  # shown: None as the parent
 
 
 def _visibility(tag: str, rest: str) -> tuple[bool, bool | None, int]:
@@ -86,26 +98,35 @@ def _visibility(tag: str, rest: str) -> tuple[bool, bool | None, int]:
 
 
 def build(page: str) -> tuple[Node, str | None]:
-    """(tree, title) of a page. Undisplayed elements hold no children."""
+    """(tree, title) of a page. Undisplayed elements are open like others, but hold no children and are in no tree."""
     root = Node("html")
     stack: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # open elements by tag, ascending
     title: str | None = None
-    dark = 0  # open undisplayed elements, counted in `unseen`
-    unseen: list[str] = []
     at, n = 0, len(page)
 
+    def last(tags) -> int:
+        return max((places[x][-1] for x in tags if places.get(x)), default=0)
+
+    def cut(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop().tag].pop()
+
     def close(names: frozenset, stops: frozenset) -> None:
-        outermost = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in names:
-                outermost = i
-        if outermost is not None:
-            del stack[outermost:]
+        stop = max(last(stops), last(APART))
+        inside = [x[i] for x in map(places.get, names) if x and (i := bisect_right(x, stop)) < len(x)]
+        if inside:
+            cut(min(inside))
+
+    def foreign() -> bool:
+        return last(FOREIGN) > last(INTEGRATION)
 
     def text(piece: str) -> None:
-        if piece and not dark:
+        if not piece:
+            return
+        if stack[-1].tag == "head" and not _BLANKS.fullmatch(piece):
+            cut(len(stack) - 1)
+        if stack[-1].light == SHOWN:
             stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
     while at < n:
@@ -119,58 +140,59 @@ def build(page: str) -> tuple[Node, str | None]:
         if not name:
             continue
         tag = name.lower()
-        if unseen and unseen[-1] == "head" and not found["end"] and tag not in HEAD_ONLY and tag != "head":
-            unseen.pop()  # a head without an end
-            dark = len(unseen)
+        if stack[-1].tag == "head" and not found["end"] and tag not in HEAD_ONLY and tag != "head":
+            cut(len(stack) - 1)  # a head without an end
+        top = stack[-1]
         if found["end"]:
-            if dark:
-                if tag in unseen:
-                    del unseen[len(unseen) - 1 - unseen[::-1].index(tag):]
-                    dark = len(unseen)
-            elif tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(x.tag == "p" for x in stack[-MAX_DEPTH:]):
-                stack[-1].children.append(Node("p"))
-            elif tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in WALLS and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption"):
-                        break
-                    if stack[i].tag == "table" and tag != "table":
-                        break
+            if tag == "br" or tag == "p" and not places.get("p"):
+                if top.light == SHOWN:
+                    top.children.append(Node(tag))
+            elif places.get(tag):
+                place = places[tag][-1]
+                if place >= last(APART) and place >= last(("table",) if tag in TABLE else WALLS) or tag == "table" and place >= last(APART):
+                    cut(place)
             continue
         rest = found["rest"]
+        alien = bool(places.get("svg") or places.get("math")) and foreign()
+        if alien and tag in BREAKOUT:
+            while foreign():
+                cut(last(FOREIGN))
+            alien, top = False, stack[-1]
         if tag in RAW or tag in ESCAPABLE:
+            if alien and rest.endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             inner, at = (page[at:end.start()], end.end()) if end else (page[at:], n)
-            if tag == "title" and title is None:
+            if tag == "title" and title is None and not alien:
                 title = _BLANKS.sub(" ", unescape(inner)).strip(" ")
             continue
-        if dark:
-            if tag not in VOID and not rest.endswith("/"):
-                unseen.append(tag)
-                dark = len(unseen)
-            continue
         if tag in ("html", "body"):
             continue
         displayed, shown, start = _visibility(tag, rest)
-        if tag in CLOSES_P:
+        if not alien and tag in CLOSES_P:
             close(frozenset(("p",)), WALLS)
-        if tag in ENDS:
+        if not alien and tag in ENDS:
             close(*ENDS[tag])
+        top = stack[-1]
+        if top.light == DARK or not displayed or alien and tag in UNDRAWN:
+            light = DARK
+        elif tag == "svg":
+            light = MUTE
+        else:
+            light = SHOWN if tag in DRAWN else top.light
         if tag in VOID:
-            if displayed:
-                stack[-1].children.append(Node(tag, shown))
+            if light == SHOWN:
+                top.children.append(Node(tag, shown))
             continue
-        if not displayed:
-            unseen.append(tag)
-            dark = len(unseen)
+        node = Node(tag, shown, start, light)
+        if light != DARK:
+            if light < top.light:
+                top.children.append(" ")
+            top.children.append(node)
+        if alien and rest.endswith("/"):
             continue
-        node = Node(tag, shown, start)
-        stack[-1].children.append(node)
-        if len(stack) < MAX_DEPTH:
+        if light or top.light or len(stack) < MAX_DEPTH:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root, title
 

@@ -313,6 +313,31 @@ def test_html_pages(spark):
     assert html.extract_text(frame.limit(0)).count() == 0
 
 
+HIDDEN_PAGES = [
+    ("<ul><li hidden>a<li>b</ul><p>rest</p>", "- b\n\nrest"),
+    ("<ul><li>a<li hidden>b</ul><p>rest", "- a\n\nrest"),
+    ("<div><p hidden>a</div>b", "b"),
+    ("<p hidden>a<p>b", "b"),
+    ("<p style='display:none'>a<b>x<div>b</div>", "b"),
+    ("<table><tr><td style=display:none>a<td>b<tr hidden><td>c<td>d<tr><td>e</table>f", "b\ne\n\nf"),
+    ("<table><tr hidden><td>a</table>f", "f"),
+    ("<dl><dt hidden>a<dd>b<dd hidden>c<dt>d</dl>e", "  b\nd\n\ne"),
+    ("<div><span hidden>a</div>b", "b"),
+    ("<div hidden>a<div>b</div>c</div>d", "d"),
+    ("<div hidden>" + "<div>" * 600 + "a" + "</div>" * 600 + "b</div>c", "c"),
+    ("<div><template><p>a</div>b</template>c</div>d", "c\nd"),
+    ("<head><title>T</title>a<p>b", "a\n\nb"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+    ("a <svg><title>t</title><defs><text>no</text></defs><g>no<text x=1>one</text><path d=''/><text>two</text></g></svg> b", "a one two b"),
+    ("<svg hidden><text>a</text></svg>b<svg><path/><p>c", "b\n\nc"),
+]
+
+
+def test_html_implied_ends_of_undisplayed_elements():
+    for page, want in HIDDEN_PAGES:
+        assert html.extract(page)[1] == want, page
+
+
 def test_language_model_frames(docs, none):
     rows = lm.score_texts(docs, F.col("id") < 9, text="body", doc_id="id").collect()
     assert len(rows) == len(ROWS) and all(np.isfinite(r.score) and r.score <= 0 for r in rows)
