@@ -8,11 +8,13 @@ of sorted arrays in the shared folder, which workers memory-map:
 - `words-*`: by range of ids, what the pairs say about a word: count as a context, successors seen once, twice and more often, and
   the number of different words before it.
 
-Texts are cut into chunks of about CHUNK tokens. A chunk sends each shard (a hash range of pairs, uniform however
-frequent a word is) its different pairs once, with the documents they occur in, packed; the shard counts the training
-occurrences, stores its arrays and keeps the packed pairs. When the arrays over words are complete, shards score their pairs and
-return sums by document. Counts cover all training texts; nothing is pruned. The number of shards grows with the
-tokens, so a task's memory does not.
+Texts are cut into chunks of about CHUNK tokens and read twice. To count, a chunk sends each shard (a hash range of pairs)
+its different training pairs once, with their counts, packed; these are merged by FAN chunks at a time until one group a shard
+is left, which stores its arrays. What shards say about words is merged likewise, SPREAD shards at a time. So a pair counts once
+a chunk in a group, however frequent it is. To score, a chunk sends its pairs with the documents they occur in to their shard's
+rows, which are read as a stream; pairs that occur often in a chunk go by shard and a salt of the chunk, so that their documents
+are split. Sums return by chunk. Counts cover all training texts; nothing is pruned. The number of shards grows with the tokens,
+and no group's memory does.
 
 Discounts come from the counts of counts (Chen and Goodman); where those are too few, 0.5, 1 and 1.5. The lowest order
 mixes continuation counts with the uniform distribution over the known words and one unknown, so each context's probabilities sum to one.
@@ -35,12 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, folder, mounted, release, written
+from .store import discard, mounted, release, written
 from .text import Words, buffers, mix, owners, pieces
 
 CHUNK = 1_500_000  # tokens sorted together by a task
 SHARD = 2_000_000  # tokens of a shard
 RANGE = 1 << 18  # word ids of a file of word statistics
+FAN = 1024  # chunks whose counts of a shard are merged at once
+SPREAD = 64  # shards whose word statistics of a range are merged at once
+SALTED = 16  # chunks that share a salt; pairs seen less often in a chunk are never salted
+SHARE = 256  # a pair that is so large a part of a chunk is salted
 END = -6148914691236517206  # hash of the end token
 _U = np.uint64
 
@@ -116,106 +122,108 @@ def _vocabulary(path: str, parts: list) -> Vocabulary:
     return _OPEN[path]
 
 
-PACKED = "grp long, kind int, chunk string, payload array<binary>"
+PACKED = "grp long, kind int, chunk string, salt long, payload array<binary>"
+COUNTED = "grp long, kind int, bucket long, payload array<binary>"
+PAIRS, DOCS, STATS, COUNTS = range(4)
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[], [], [], []]
+    columns = list(zip(*rows)) if rows else [[], [], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()),
-                                       pa.array(columns[3], pa.list_(pa.binary()))], names=["grp", "kind", "chunk", "payload"])
+                                       pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.binary()))], names=["grp", "kind", "chunk", "salt", "payload"])
 
 
-PAIRS, DOCS, STATS, COUNTS = range(4)
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
+                                       pa.array(columns[3], pa.list_(pa.binary()))], names=["grp", "kind", "bucket", "payload"])
 
 
-def _chunks(path: str, parts: list, known: int, tokens: int, shards: int):
-    """(doc_id, text, train) -> packed pairs by shard, and a row of the documents of each chunk."""
-    begin, unknown = known, known + 1
+def _small(array: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them."""
+    return array.astype(np.min_scalar_type(int(array.max(initial=0))))
+
 
+def _pairs(vocabulary: Vocabulary, texts: pa.Array, known: int):
+    """(pair of each token, the token's count, words of each text, bounds of the texts with their ends)."""
+    begin, unknown = known, known + 1
+    end_id, end_count = (int(x[0]) for x in vocabulary.look_up(np.array([END]), unknown)) if known else (unknown, 0)
+    words = Words(*buffers(texts), lower=True)
+    ids, counts = vocabulary.look_up(words.hashes.view(np.int64), unknown) if known else (np.full(len(words), unknown), np.zeros(len(words), np.int64))
+    n = words.counts()
+    bounds = words.offsets + np.arange(len(n) + 1)  # with an end after each text
+    token, count = np.full(len(ids) + len(n), end_id, dtype=np.int64), np.full(len(ids) + len(n), end_count, dtype=np.int64)
+    inner = np.arange(len(ids)) + owners(words.offsets)
+    token[inner], count[inner] = ids, counts
+    context = np.concatenate([[begin], token[:-1]])
+    context[bounds[:-1]] = begin
+    return context.astype(_U) * _U(known + 2) + token.astype(_U), count, n, bounds
+
+
+def _by_shard(kinds: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of ascending pairs by shard, each shard's edges in it)."""
+    shard = (mix(kinds) % _U(shards)).astype(np.int64)
+    by = np.argsort(shard, kind="stable")
+    return by, np.searchsorted(shard[by], np.arange(shards + 1))
+
+
+def _pair_counts(path: str, parts: list, known: int, shards: int, buckets: int, chunk: int):
+    """(text) -> packed counts of each chunk's different pairs, by shard and bucket of chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path, parts)
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
         size, number = 0, 0
-        end_id, end_count = (int(x[0]) for x in vocabulary.look_up(np.array([END]), unknown)) if known else (unknown, 0)
 
         def flush():
             nonlocal held, size, number
-            key, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            chunk = f"{TaskContext.get().partitionId()}-{number}"
-            docs = [np.concatenate([h[i] for h in held]) for i in range(2, 8)]
-            order = np.argsort(key)
-            kinds, counts = _runs(key[order])
-            doc = doc[order].astype(np.uint32)
-            shard = (mix(kinds) % _U(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            starts = np.cumsum(counts) - counts
-            sizes = counts[by]
-            ends = np.cumsum(sizes)
-            doc = doc[np.repeat(starts[by] - (ends - sizes), sizes) + np.arange(len(doc))]
-            kinds, shard = kinds[by], shard[by]
-            edges = np.searchsorted(shard, np.arange(shards + 1))
-            upto = np.concatenate([[0], ends])
-            rows = [(-1 - zlib.crc32(chunk.encode()), DOCS, chunk, [np.ascontiguousarray(x).tobytes() for x in docs])]
+            kinds, counts = _runs(np.sort(np.concatenate(held)))
+            by, edges = _by_shard(kinds, shards)
+            kinds, counts = kinds[by], counts[by]
+            bucket = zlib.crc32(f"{TaskContext.get().partitionId()}-{number}".encode()) % buckets
+            rows = []
             for s in np.flatnonzero(np.diff(edges)).tolist():
-                a, b = edges[s], edges[s + 1]
-                rows.append((s, PAIRS, chunk, [_pack(np.diff(kinds[a:b], prepend=_U(0))), _pack(sizes[a:b].astype(np.uint32)), _pack(doc[upto[a]:upto[b]]),
-                                               np.packbits(docs[5] != 0).tobytes()]))
+                at = slice(edges[s], edges[s + 1])
+                rows.append((s, PAIRS, bucket, [_pack(np.diff(kinds[at], prepend=_U(0))), _pack(_small(counts[at]))]))
             held, size, number = [], 0, number + 1
-            return _record(rows)
+            return _counted(rows)
 
         for batch in pieces(batches, "text"):
-            words = Words(*buffers(batch.column(1)), lower=True)
-            ids, counts = vocabulary.look_up(words.hashes.view(np.int64), unknown) if known else (np.full(len(words), unknown), np.zeros(len(words), np.int64))
-            n = words.counts()
-            bounds = words.offsets + np.arange(len(n) + 1)  # with an end after each text
-            token, count = np.full(len(ids) + len(n), end_id, dtype=np.int64), np.full(len(ids) + len(n), end_count, dtype=np.int64)
-            inner = np.arange(len(ids)) + owners(words.offsets)
-            token[inner], count[inner] = ids, counts
-            context = np.concatenate([[begin], token[:-1]])
-            context[bounds[:-1]] = begin
-            base = np.add.reduceat(np.log10((count + 0.5) / (tokens + 0.5 * (known + 1))), bounds[:-1])
-            seen = np.concatenate([[0], np.cumsum(count > 0)])
-            first = sum(len(h[2]) for h in held)
-            doc_ids = batch.column(0)
-            held.append((context.astype(_U) * _U(known + 2) + token.astype(_U), np.repeat(first + np.arange(len(n)), n + 1),
-                         np.asarray(doc_ids.fill_null(0)), np.asarray(doc_ids.is_valid()).astype(np.uint8), n + 1,
-                         seen[bounds[1:]] - seen[bounds[:-1]], base, np.asarray(batch.column(2)).astype(np.uint8)))
-            size += len(token)
-            if size >= CHUNK:
+            held.append(_pairs(vocabulary, batch.column(0), known)[0])
+            size += len(held[-1])
+            if size >= chunk:
                 yield flush()
         if held:
             yield flush()
     return run
 
 
-def _expand(payload: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, occurrences of each, their documents, training flags of the chunk's documents)."""
-    return np.cumsum(_unpack(payload[0])), _unpack(payload[1]).astype(np.int64), _unpack(payload[2]).astype(np.int64), np.unpackbits(np.frombuffer(payload[3], np.uint8))
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending pairs, counts) of packed counts."""
+    found = [x.as_py() for x in table.column("payload")]
+    key, count = np.concatenate([np.cumsum(_unpack(x[0])) for x in found]), np.concatenate([_unpack(x[1]).astype(np.int64) for x in found])
+    order = np.argsort(key)
+    kinds, sizes = _runs(key[order])
+    return kinds, np.add.reduceat(count[order], np.cumsum(sizes) - sizes)
 
 
-def _collect_shard(path: str, known: int):
-    """All chunks' pairs of a shard -> its arrays (stored), and what they say about words."""
+def _merge_counts(fan: int):
+    """Counts of one shard and bucket -> one row, for the bucket of `fan` buckets."""
+    def run(table: pa.Table) -> pa.Table:
+        kinds, counts = _merged(table)
+        return pa.Table.from_batches([_counted([(table.column("grp")[0].as_py(), PAIRS, table.column("bucket")[0].as_py() // fan,
+                                                 [_pack(np.diff(kinds, prepend=_U(0))), _pack(_small(counts))])])])
+    return run
+
+
+def _collect_shard(path: str, known: int, spread: int):
+    """All counts of a shard -> its arrays (stored), and what they say about words."""
     def run(table: pa.Table) -> pa.Table:
         grp = table.column("grp")[0].as_py()
-        if grp < 0:
-            return table
-        keys, counts = [], []
-        for payload in (x.as_py() for x in table.column("payload")):
-            kinds, sizes, doc, train = _expand(payload)
-            upto = np.concatenate([[0], np.cumsum(train[doc])])
-            ends = np.cumsum(sizes)
-            trained = upto[ends] - upto[ends - sizes]
-            keys.append(kinds[trained > 0])
-            counts.append(trained[trained > 0])
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(key)
-        kinds, sizes = _runs(key[order])
-        upto = np.concatenate([[0], np.cumsum(count[order])])
-        total = np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
+        kinds, total = _merged(table)
         _save(f"{path}/pairs-{grp}-key", kinds)
-        _save(f"{path}/pairs-{grp}-count", total.astype(np.min_scalar_type(int(total.max(initial=0)))))
+        _save(f"{path}/pairs-{grp}-count", _small(total))
         context, word = (kinds // _U(known + 2)).astype(np.int64), (kinds % _U(known + 2)).astype(np.int64)
-        rows = [(grp, COUNTS, "", [np.array([(total == k).sum() for k in (1, 2, 3, 4)], dtype=np.int64).tobytes()])]
+        rows = [(grp, COUNTS, 0, [np.array([(total == k).sum() for k in (1, 2, 3, 4)], dtype=np.int64).tobytes()])]
         ids, where = np.unique(np.concatenate([context, word]), return_inverse=True)
         as_context, as_word = where[:len(context)], where[len(context):]
         columns = [np.bincount(as_context, weights=total, minlength=len(ids)), *(np.bincount(as_context[m], minlength=len(ids)) for m in (total == 1, total == 2, total > 2)),
@@ -223,27 +231,92 @@ def _collect_shard(path: str, known: int):
         edges = np.searchsorted(ids, np.arange(0, (known + 2) // RANGE + 2) * RANGE)
         for r in np.flatnonzero(np.diff(edges)).tolist():
             at = slice(edges[r], edges[r + 1])
-            rows.append((r, STATS, str(grp), [_pack((ids[at] - r * RANGE).astype(np.uint32)), _pack(columns[0][at].astype(np.uint64)), *(_pack(c[at].astype(np.uint32)) for c in columns[1:])]))
-        return pa.concat_tables([table, pa.Table.from_batches([_record(rows)])])
+            rows.append((r, STATS, grp // spread, [_pack((ids[at] - r * RANGE).astype(np.uint32)), *(_pack(_small(c[at].astype(np.uint64))) for c in columns)]))
+        return pa.Table.from_batches([_counted(rows)])
+    return run
+
+
+def _dense(table: pa.Table) -> np.ndarray:
+    """Sums of packed word statistics of one range."""
+    dense = np.zeros((5, RANGE), dtype=np.int64)
+    for payload in (x.as_py() for x in table.column("payload")):
+        ids = _unpack(payload[0])
+        for i in range(5):
+            dense[i, ids] += _unpack(payload[i + 1]).astype(np.int64)
+    return dense
+
+
+def _merge_range(spread: int):
+    """Statistics of one range and bucket of shards -> one row, for the bucket of `spread` buckets."""
+    def run(table: pa.Table) -> pa.Table:
+        dense = _dense(table)
+        ids = np.flatnonzero(dense.any(axis=0))
+        return pa.Table.from_batches([_counted([(table.column("grp")[0].as_py(), STATS, table.column("bucket")[0].as_py() // spread,
+                                                 [_pack(ids.astype(np.uint32)), *(_pack(_small(d[ids])) for d in dense)])])])
     return run
 
 
 def _collect_range(path: str):
-    """Statistics of one range of word ids from all shards -> one array (stored) and sums over its words."""
+    """All statistics of one range of word ids -> one array (stored) and sums over its words."""
     def run(table: pa.Table) -> pa.Table:
-        r = table.column("grp")[0].as_py()
-        dense = np.zeros((5, RANGE), dtype=np.int64)
-        for payload in (x.as_py() for x in table.column("payload")):
-            ids = _unpack(payload[0])
-            for i in range(5):
-                dense[i, ids] += _unpack(payload[i + 1]).astype(np.int64)
-        _save(f"{path}/words-{r}", dense)
+        dense = _dense(table)
+        _save(f"{path}/words-{table.column('grp')[0].as_py()}", dense)
         before = dense[4]
         return pa.table({"total": pa.array([int(before.sum())]), **{f"n{k}": pa.array([int((before == k).sum())]) for k in (1, 2, 3, 4)},
                          "more": pa.array([int((before > 2).sum())])})
     return run
 
 
+def _chunks(path: str, parts: list, known: int, tokens: int, shards: int, chunk: int):
+    """(doc_id, text, train) -> packed pairs by shard with their documents, and a row of the documents of each chunk."""
+    many = max(1, tokens // chunk)  # chunks, about
+    often, salts = SHARD // 8 // many, max(SHARE, many // SALTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path, parts)
+        held: list[tuple] = []
+        size, number = 0, 0
+
+        def flush():
+            nonlocal held, size, number
+            key, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            name = f"{TaskContext.get().partitionId()}-{number}"
+            salt = zlib.crc32(name.encode())
+            docs = [np.concatenate([h[i] for h in held]) for i in range(2, 8)]
+            order = np.argsort(key)
+            kinds, counts = _runs(key[order])
+            doc = doc[order].astype(np.uint32)
+            starts = np.cumsum(counts) - counts
+            rows = [(-1 - salt, DOCS, name, 0, [np.ascontiguousarray(x).tobytes() for x in docs])]
+            for hot in (False, True):
+                some = np.flatnonzero((counts >= max(SALTED, min(often, len(doc) // SHARE))) == hot)
+                by, edges = _by_shard(kinds[some], shards)
+                some = some[by]
+                sizes = counts[some]
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                at = doc[np.repeat(starts[some] - upto[:-1], sizes) + np.arange(upto[-1])]
+                for s in np.flatnonzero(np.diff(edges)).tolist():
+                    a, b = edges[s], edges[s + 1]
+                    rows.append((s, PAIRS, name, 1 + salt % salts if hot else 0, [_pack(np.diff(kinds[some[a:b]], prepend=_U(0))), _pack(_small(sizes[a:b])), _pack(at[upto[a]:upto[b]])]))
+            held, size, number = [], 0, number + 1
+            return _record(rows)
+
+        for batch in pieces(batches, "text"):
+            key, count, n, bounds = _pairs(vocabulary, batch.column(1), known)
+            base = np.add.reduceat(np.log10((count + 0.5) / (tokens + 0.5 * (known + 1))), bounds[:-1])
+            seen = np.concatenate([[0], np.cumsum(count > 0)])
+            first = sum(len(h[2]) for h in held)
+            doc_ids = batch.column(0)
+            held.append((key, np.repeat(first + np.arange(len(n)), n + 1), np.asarray(doc_ids.fill_null(0)), np.asarray(doc_ids.is_valid()).astype(np.uint8), n + 1,
+                         seen[bounds[1:]] - seen[bounds[:-1]], base, np.asarray(batch.column(2)).astype(np.uint8)))
+            size += len(key)
+            if size >= chunk:
+                yield flush()
+        if held:
+            yield flush()
+    return run
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and more."""
     if not (n1 and n2 and n3 and n4):
@@ -259,7 +332,7 @@ def _less(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 def _score(path: str, known: int, high: tuple, low: tuple, total: int, spread: float):
-    """Packed pairs -> (chunk, documents, sums of log10 probabilities)."""
+    """Packed pairs, ordered by shard -> (chunk, documents, sums of log10 probabilities); rows of documents as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, np.ndarray] = {}
 
@@ -273,11 +346,18 @@ def _score(path: str, known: int, high: tuple, low: tuple, total: int, spread: f
                 out[:, at] = ranges[r][:, ids[at] - r * RANGE]
             return out
 
+        opened, stored, counts = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                grp, chunk, payload = (batch.column(c)[i].as_py() for c in range(3))
-                kinds, sizes, doc, _ = _expand(payload)
-                stored, counts = (np.load(f"{path}/pairs-{grp}-{x}.npy", mmap_mode="r") for x in ("key", "count"))
+                grp, kind, chunk, payload = (batch.column(c)[i].as_py() for c in ("grp", "kind", "chunk", "payload"))
+                if kind == DOCS:
+                    yield _record([(0, DOCS, chunk, 0, payload)])
+                    continue
+                kinds, sizes, doc = np.cumsum(_unpack(payload[0])), _unpack(payload[1]).astype(np.int64), _unpack(payload[2]).astype(np.int64)
+                if grp != opened:  # rows come by shard; one without training pairs has no arrays
+                    there = os.path.exists(f"{path}/pairs-{grp}-key.npy")
+                    stored, counts = (np.load(f"{path}/pairs-{grp}-{x}.npy", mmap_mode="r") if there else np.zeros(0, _U) for x in ("key", "count"))
+                    opened = grp
                 count = np.zeros(len(kinds), dtype=np.float64)
                 if len(stored):
                     at = np.minimum(np.searchsorted(stored, kinds), len(stored) - 1)
@@ -290,7 +370,7 @@ def _score(path: str, known: int, high: tuple, low: tuple, total: int, spread: f
                 p = np.where(of > 0, _less(count, high) / np.maximum(of, 1) + share * lower, lower)
                 sums = np.bincount(doc, weights=np.repeat(np.log10(p), sizes))
                 docs = np.flatnonzero(np.bincount(doc))
-                yield _record([(0, PAIRS, chunk, [docs.astype("<u4").tobytes(), sums[docs].astype("<f8").tobytes()])])
+                yield _record([(0, PAIRS, chunk, 0, [docs.astype("<u4").tobytes(), sums[docs].astype("<f8").tobytes()])])
     return run
 
 
@@ -309,7 +389,8 @@ def _finish(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, mask=valid == 0), "n_tokens": n, "n_known": seen, "base_score": base, "score": score, "learned": pa.array(train != 0)})
 
 
-def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, shard: int = SHARD,
+                fan: int = FAN, spread: int = SPREAD) -> DataFrame:
     """Fit on the texts `learn` names and score all: doc_id, n_tokens, n_known, train_tokens, base_score, score, learned.
 
     base_score is the additive unigram model's log10 probability, score the Kneser-Ney model's."""
@@ -336,23 +417,31 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", doc_id: str
     discard(counted)
     release(spark)
 
-    shards = max(1, -(-int(tokens * 1.3) // SHARD))
-    packed = rows.mapInArrow(_chunks(path, parts, known, tokens, shards), PACKED)
-    stage = folder(spark, "pairs")
-    packed.groupBy("grp").applyInArrow(_collect_shard(path, known), PACKED).write.partitionBy("kind").option("compression", "uncompressed").parquet(stage)
+    shards = max(1, -(-int(tokens * 1.3) // shard))
+    buckets = max(1, -(-int(tokens) // (chunk * fan)))
+    pairs = rows.where("train").select("text").mapInArrow(_pair_counts(path, parts, known, shards, buckets, chunk), COUNTED)
+    while buckets > 1:
+        pairs = pairs.groupBy("grp", "bucket").applyInArrow(_merge_counts(fan), COUNTED)
+        buckets = -(-buckets // fan)
+    stored = written(pairs.groupBy("grp").applyInArrow(_collect_shard(path, known, spread), COUNTED), "word-stats")
     release(spark)
-    stored = spark.read.schema(PACKED).parquet(stage)
     n = [0, 0, 0, 0]
     for r in stored.where(F.col("kind") == COUNTS).select("payload").toLocalIterator():  # four numbers a shard
         n = [a + int(b) for a, b in zip(n, np.frombuffer(r["payload"][0], np.int64))]
-    sums = stored.where(F.col("kind") == STATS).select("grp", "payload").groupBy("grp").applyInArrow(_collect_range(path), "total long, n1 long, n2 long, n3 long, n4 long, more long")
+    stats = stored.where(F.col("kind") == STATS)
+    buckets = -(-shards // spread)
+    while buckets > 1:
+        stats = stats.groupBy("grp", "bucket").applyInArrow(_merge_range(spread), COUNTED)
+        buckets = -(-buckets // spread)
+    sums = stats.groupBy("grp").applyInArrow(_collect_range(path), "total long, n1 long, n2 long, n3 long, n4 long, more long")
     got = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "n1", "n2", "n3", "n4", "more")]).first()
+    discard(stored)
     high, low = discounts(*n), discounts(got["n1"], got["n2"], got["n3"], got["n4"])
     total = got["total"]
-    spread = (low[0] * got["n1"] + low[1] * got["n2"] + low[2] * got["more"]) / total if total else 1.0
+    spread_mass = (low[0] * got["n1"] + low[1] * got["n2"] + low[2] * got["more"]) / total if total else 1.0
     release(spark)
 
-    scored = stored.where(F.col("kind") == PAIRS).select("grp", "chunk", "payload").mapInArrow(_score(path, known, high, low, total, spread), PACKED)
-    both = scored.select("chunk", "kind", "payload").unionByName(stored.where(F.col("kind") == DOCS).select("chunk", "kind", "payload"))
-    out = both.groupBy("chunk").applyInArrow(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double, learned boolean")
+    packed = rows.mapInArrow(_chunks(path, parts, known, tokens, shards, chunk), PACKED).repartition("grp", "salt").sortWithinPartitions("grp")
+    scored = packed.mapInArrow(_score(path, known, high, low, total, spread_mass), PACKED)
+    out = scored.select("chunk", "kind", "payload").groupBy("chunk").applyInArrow(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double, learned boolean")
     return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

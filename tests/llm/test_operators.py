@@ -349,6 +349,23 @@ def test_language_model_frames(docs, none):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in untrained)
 
 
+def test_language_model_groups_do_not_grow_with_a_pair(spark, docs):
+    """A frequent pair is one entry a chunk when counted; merging in levels and salted rows change no score."""
+    hot = spark.createDataFrame([(i, "x " * 20_000) for i in range(4)], "doc_id long, text string").repartition(1)
+    sent = hot.select("text").mapInArrow(lm._pair_counts("", [], 0, 4, 1, 40_000), lm.COUNTED).collect()
+    assert sum(int(lm._unpack(r.payload[1]).astype(int).sum()) for r in sent) == 4 * 20_001
+    assert len(sent) <= 4 and sum(len(p) for r in sent for p in r.payload) < 60 * len(sent)
+    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i)) + " x x" * 40) for i in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+    def scores(**sizes):
+        return {r.doc_id: (r.n_known, r.score) for r in lm.score_texts(frame, F.col("doc_id") % 5 != 1, **sizes).collect()}
+    plain, cut = scores(), scores(chunk=200, shard=100, fan=2, spread=2)
+    assert plain.keys() == cut.keys() == set(range(60))
+    for i in plain:
+        assert cut[i][0] == plain[i][0] and cut[i][1] == pytest.approx(plain[i][1])
+
+
 def test_url_frames(spark):
     rules = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/")]
     texts = [None, "", "no scheme", "http://EXAMPLE.com/en/x?a=1#f", "http://www.example.com/en/", "http://notexample.com/en/", "https://a.example.com/de", "x://example.com",
