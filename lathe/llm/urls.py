@@ -4,12 +4,13 @@ DataFrame and SQL functions only. A rule (host, path prefix) fits its host and a
 when the URL's path starts with the rule's prefix; the longest rule wins. URLs that no rule
 fits get the verdict of gradient-boosted trees (`pyspark.ml`) trained on labelled URLs: by default those
 that a rule decides. The trees see only lexical features: lengths, depth, digit ratio, entropy, parameter
-counts, and smoothed block rates of suffixes and path segments counted over all labelled URLs.
+counts, and smoothed block rates of suffixes, domains and path segments counted over all labelled URLs.
 
-Training uses at most `train_rows` labelled rows, picked by hash (a documented bound); suffix
-statistics count every labelled row. Rates are kept for values seen `min_count` times or more, at most
-`max_values` of them per kind (the most frequent; that table is broadcast, its size is this bound); a value
-without a rate has the overall rate.
+Training uses about `train_rows` different labelled URLs at most, picked by hash and weighted by their copies; the
+rates count every labelled row, and every value of a labelled URL has one. Rates of training URLs leave out the URL's own
+fifth of all URLs (by hash), so no URL's label is in its own features. Rates are joined by value; values in more
+than 1 / HOT_SHARE of all rows (fewer than HOT_SHARE of a kind) come as a broadcast of that bound, and their rows are spread
+by a salt in the join for the others. A value that no labelled URL has gets the overall rate.
 
 Defined results: a null URL or one without "://" has an empty host and path; no labelled rows, or
 one class only, give the majority class (allow when there is none) as the method's verdict; repeated rows get equal
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .store import written
 
 TRAIN_ROWS = 20_000
+FOLDS = 5
+HOT_SHARE = 256
 RESULTS = ("host", "path", "rule", "verdict", "score", "by")
 
 
@@ -87,27 +90,44 @@ def _lexical(df: DataFrame) -> DataFrame:
 _KINDS = ("suffix", "domain", "segment")
 
 
-def _rates(labelled: DataFrame, overall: float, min_count: int, max_values: int) -> DataFrame:
-    """Smoothed block rate by kind and value, counted over all labelled rows."""
-    counted = (labelled.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s_{k}").alias("value")) for k in _KINDS])).alias("x"))
-               .groupBy("x.kind", "x.value").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).where(F.col("n") >= min_count))
-    parts = [counted.where(F.col("kind") == k).orderBy(F.desc("n"), "value").limit(max_values) for k in _KINDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("kind", "value", ((F.col("blocked") + 4 * overall) / (F.col("n") + 4)).alias("rate"))
+def _rates(every: DataFrame, overall: float) -> DataFrame:
+    """By kind and value: rows that have it, and smoothed block rates without each fold, then over all labelled rows."""
+    def rate(blocked: F.Column, n: F.Column) -> F.Column:
+        return (blocked + 4 * overall) / (n + 4)
 
+    of_fold = [F.when(F.col("u_fold") == f, F.col("label")) for f in range(FOLDS)]
+    counted = (every.select("label", "u_fold", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s_{k}").alias("value")) for k in _KINDS])).alias("x"))
+               .groupBy("x.kind", "x.value").agg(F.count("*").alias("seen"), F.count("label").alias("n"), F.sum("label").alias("blocked"),
+                                                 *[F.count(x).alias(f"n{f}") for f, x in enumerate(of_fold)], *[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"b{f}") for f, x in enumerate(of_fold)])
+               .where("n > 0"))
+    return counted.select("kind", "value", "seen", F.array(*[rate(F.col("blocked") - F.col(f"b{f}"), F.col("n") - F.col(f"n{f}")) for f in range(FOLDS)],
+                                                           rate(F.col("blocked"), F.col("n"))).alias("rates"))
 
-def _with_rates(df: DataFrame, rates: DataFrame, overall: float) -> DataFrame:
+
+def _with_rates(df: DataFrame, rates: DataFrame, overall: float, total: int, fold: F.Column) -> DataFrame:
+    """Features f_suffix, f_domain and f_segment: the rates at place `fold`."""
+    hot = F.col("seen") * HOT_SHARE > total
     for k in _KINDS:
-        side = rates.where(F.col("kind") == k).select(F.col("value").alias(f"s_{k}"), F.col("rate").alias(f"f_{k}"))
-        df = df.join(F.broadcast(side), f"s_{k}", "left").fillna({f"f_{k}": overall})  # max_values rows at most
+        side = rates.where(F.col("kind") == k)
+        often = side.where(hot).select(F.col("value").alias(f"s_{k}"), F.col("rates").alias("r_often"))
+        other = side.where(~hot).select(F.col("value").alias(f"s_{k}"), F.lit(0).cast("long").alias("u_salt"), F.col("rates").alias("r_other"))
+        df = df.join(F.broadcast(often), f"s_{k}", "left")  # fewer than HOT_SHARE rows
+        df = df.withColumn("u_salt", F.when(F.col("r_often").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("u_url", F.monotonically_increasing_id()), F.lit(1 << 20))).cast("long"))
+        df = df.join(other, [f"s_{k}", "u_salt"], "left")
+        df = df.withColumn(f"f_{k}", F.coalesce(F.element_at(F.coalesce("r_often", "r_other"), fold + 1), F.lit(overall))).drop("r_often", "r_other", "u_salt")
     return df
 
 
+def _training(labelled: DataFrame, train_rows: int, seed: int) -> DataFrame:
+    """About `train_rows` different labelled URLs at most, each once per label, with the number of its rows as u_weight."""
+    n = labelled.agg(F.count_distinct(F.xxhash64("u_url", "label"))).first()[0]
+    share = min(1.0, train_rows / max(n, 1))
+    picked = labelled.where(F.pmod(F.xxhash64("u_url", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return picked.groupBy("u_url", "u_host", "u_path", "u_fold", "label").agg(F.count("*").cast("double").alias("u_weight"))
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", labels: F.Column | None = None, keep: list[str] | None = None,
-               train_rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 4, min_count: int = 5, max_values: int = 2_000,
-               seed: int = 7) -> DataFrame:
+               train_rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """`pages` (or its columns `keep`) with host, path, rule, verdict, score (of "block") and by ("rule" or "model").
 
     `labels`: an expression over `pages`, 1.0 block, 0.0 allow, null unlabelled; default the rules' verdicts."""
@@ -120,20 +140,20 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     ruled = ruled.withColumns({"u_rule": rule, "u_verdict": verdict})
     if labels is None:
         ruled = ruled.withColumn("label", F.when(F.col("u_verdict").isNotNull(), (F.col("u_verdict") == "block").cast("double")))
+    ruled = ruled.withColumn("u_fold", F.pmod(F.xxhash64("u_url", F.lit(seed + 1)), F.lit(FOLDS)).cast("int"))
     every = _lexical(ruled)
-    labelled = every.where("label is not null")
-    n, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
+    labelled = ruled.where("label is not null")
+    total, n, blocked = ruled.agg(F.count("*"), F.count("label"), F.sum("label")).first()
     overall = (blocked or 0.0) / n if n else 0.0
     if n and 0 < blocked < n:
-        rates = written(_rates(labelled, overall, min_count, max_values), "url-rates")
+        rates = written(_rates(every, overall), "url-rates")
         features = [f"f_{k}" for k in ("length", "host_length", "path_length", "labels", "depth", "digits", "entropy", "parameters", "https", "fragment", "slash", *_KINDS)]
         assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-        share = min(1.0, train_rows / n)
-        picked = labelled.where(F.pmod(F.xxhash64("u_url", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
         # bounded by train_rows; stored once, since boosting reads it many times
-        train = written(assemble.transform(_with_rates(picked, rates, overall)).select("features", "label").repartition(4), "url-train")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(train)
-        scored = model.transform(assemble.transform(_with_rates(every, rates, overall)))
+        picked = _with_rates(_lexical(_training(labelled, train_rows, seed)), rates, overall, total, F.col("u_fold"))
+        train = written(assemble.transform(picked).select("features", "label", "u_weight").repartition(4), "url-train")
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2, weightCol="u_weight").fit(train)
+        scored = model.transform(assemble.transform(_with_rates(every, rates, overall, total, F.lit(FOLDS))))
         scored = scored.withColumn("u_score", vector_to_array("probability")[1])
     else:
         scored = every.withColumn("u_score", F.lit(overall))

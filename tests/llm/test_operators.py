@@ -387,3 +387,17 @@ def test_url_trees_on_held_out_labels(spark):
     known = F.when(F.col("page_id") < 400, (F.col("page_id") % 3 == 0).cast("double"))
     got = urls.judge_urls(frame, [], labels=known).where("page_id >= 400").collect()
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in got) > 0.97 * len(got)
+
+
+def test_url_rates_of_every_domain_and_hot_urls(spark):
+    """Each domain has its own verdict: more domains than a bounded table of rates held before."""
+    verdict = F.pmod(F.xxhash64(F.col("id") % 3000), F.lit(2)).cast("double")
+    frame = spark.range(18_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://d"), F.lpad((F.col("id") % 3000).cast("string"), 4, "0"), F.lit(".org/x"), (F.col("id") % 7).cast("string"), F.lit("/"),
+                                                                              F.lpad(F.col("id").cast("string"), 5, "0")).alias("url"), verdict.alias("truth"))
+    got = urls.judge_urls(frame, [], labels=F.when(F.col("page_id") < 15_000, F.col("truth"))).where("page_id >= 15000").collect()
+    assert len(got) == 3000 and sum((r.verdict == "block") == (r.truth == 1) for r in got) > 0.97 * len(got)
+    hot = spark.range(5_000).select(F.when(F.col("id") < 4_000, "http://hot.org/").otherwise(F.concat(F.lit("http://a.org/"), F.col("id").cast("string"))).alias("u_url"),
+                                    F.lit("h").alias("u_host"), F.lit("/").alias("u_path"), F.lit(0).alias("u_fold"), F.lit(1.0).alias("label"))
+    every = urls._training(hot, 2_000, 7).collect()
+    assert len(every) == 1001 and sum(r.u_weight for r in every) == 5_000
+    assert 50 < urls._training(hot, 100, 7).count() < 200
