@@ -9,7 +9,8 @@ of both neighbours in every curve, exact products rerank them, and the curves' l
 The index is fitted on bounded samples: axes and range borders on `sample_rows` rows, and the number of ranges on
 `sample_queries` queries answered exactly over all rows: the most ranges whose recall on them is `target` or more.
 With vectors that have no close neighbours this goes down to few ranges. Every row is indexed. A range's
-candidates and queries are dealt into chunks, so a group's size is bounded however many equal vectors there are.
+candidates and queries, equal rows taken once, are dealt into chunks by id and vector, so a group's size is bounded however
+many equal vectors there are or rows an id has.
 
 Defined results: vectors that are null, empty, zero, hold a null, NaN or infinite component, or have not the usual
 number of components, take no part, as queries or candidates; a null id likewise; rows sharing an id are one candidate with
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
+from .text import mix
 
 CURVES, AXES, BITS = 8, 6, 10
 SAMPLE_ROWS, SAMPLE_QUERIES, TARGET = 8_192, 256, 0.95
@@ -105,15 +107,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, product) of each query's k best others in a block, ties to smaller ids."""
+    """(query, candidate, product) of each query's k best others in a block, each id with the best of its rows, ties to smaller ids."""
+    by = np.argsort(ids, kind="stable")
+    ids, vectors = ids[by], vectors[by]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     room = 1e-9 * max(1.0, float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * vectors.shape[1])
     for at in range(0, len(queries), 256):
         products = queries[at:at + 256] @ vectors.T
         products[query_ids[at:at + 256, None] == ids[None, :]] = -np.inf
-        least = np.partition(products, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))] - room
-        q, c = np.nonzero((products >= least[:, None]) & np.isfinite(products))
+        best = np.maximum.reduceat(products, first, axis=1) if len(first) < len(ids) else products
+        least = np.partition(best, len(first) - min(k, len(first)), axis=1)[:, len(first) - min(k, len(first))] - room
+        near = (products >= least[:, None]) & np.isfinite(products)
+        if len(first) < len(ids):
+            near &= products >= best[:, owner] - room
+        q, c = np.nonzero(near)
         exact = (queries[at + q] * vectors[c]).sum(axis=1)  # one order of summation, whatever the block
+        if len(first) < len(ids):
+            order = np.lexsort((-exact, owner[c], q))
+            q, c, exact = q[order], c[order], exact[order]
+            new = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[c[1:]] != ids[c[:-1]])]) if len(q) else np.zeros(0, bool)
+            q, c, exact = q[new], c[new], exact[new]
         order = np.lexsort((ids[c], -exact, q))
         q, c, exact = q[order], c[order], exact[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -145,6 +160,31 @@ def exact_search(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k:
     return _merge(rows.select("vec_id", "vec").mapInArrow(run, _FOUND), k)
 
 
+def _nearest(rows: DataFrame, truth: pd.DataFrame, queries: np.ndarray) -> DataFrame:
+    """(query_id, vec_id, vec) of the rows that reach the products in `truth` (vec_id, place in `queries`, query_id, score)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = _matrix(batch.column(1))
+            met = pd.DataFrame({"vec_id": np.asarray(batch.column(0)), "row": np.arange(batch.num_rows)}).merge(truth, on="vec_id")
+            for at in range(0, len(met), 1 << 16):
+                some = met.iloc[at:at + (1 << 16)]
+                products = (queries[some["place"].to_numpy()] * points[some["row"].to_numpy()]).sum(axis=1)
+                some = some[products >= some["score"].to_numpy() - 1e-9 * np.maximum(1, np.abs(some["score"].to_numpy()))]
+                yield pa.RecordBatch.from_arrays([pa.array(some["query_id"].to_numpy()), pa.array(some["vec_id"].to_numpy()), batch.column(1).take(pa.array(some["row"].to_numpy()))],
+                                                 names=["query_id", "vec_id", "vec"])
+
+    return rows.select("vec_id", "vec").mapInArrow(run, "query_id long, vec_id long, vec array<double>")
+
+
+def _hashes(ids: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of ids with their vectors."""
+    bits = np.ascontiguousarray(points + 0.0).view(np.uint64)
+    odd = mix(np.arange(1, bits.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
+    return mix(mix(ids.astype(np.int64).view(np.uint64)) + (mix(bits) * odd).sum(axis=1, dtype=np.uint64))
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, vec) of the rows that take part."""
     plain = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vec")).where(
@@ -157,14 +197,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
            target: float = TARGET, sample_rows: int = SAMPLE_ROWS, sample_queries: int = SAMPLE_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that `is_query` (over vec_id) names, the k largest inner products found."""
     spark = vectors.sparkSession
-    rows = written(usable(vectors, vec_id, vector), "vectors")
+    rows = written(usable(vectors, vec_id, vector).distinct(), "vectors")
     total, longest = rows.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def sample(df: DataFrame, n: int, most: int) -> DataFrame:
         share = int(min(1.0, most / max(n, 1)) * (1 << 40))
-        return df.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40)) < share)  # about `most` rows
+        return df.where(F.pmod(F.xxhash64("vec_id", "vec", F.lit(3)), F.lit(1 << 40)) < share)  # about `most` rows
 
     picked = sample(rows, total, sample_rows).limit(2 * sample_rows).select("vec").toArrow()
     picked = picked if picked.num_rows else rows.limit(1).select("vec").toArrow()
@@ -181,10 +221,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     n = 1
     if tried.num_rows:
         ids, points = np.asarray(tried["vec_id"]), _matrix(tried["vec"].combine_chunks())
-        truth = exact_search(rows, points, ids, k)
-        near = truth.select("query_id", "vec_id").join(rows, "vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec").toArrow()  # sample_queries x k rows
+        place = {int(i): p for p, i in enumerate(ids)}
+        truth = exact_search(rows, points, ids, k).toPandas()  # sample_queries x k rows
+        truth["place"] = truth["query_id"].map(place).astype("int64")
+        near = _nearest(rows, truth[["vec_id", "place", "query_id", "score"]], points).dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec").toArrow()
         if near.num_rows:
-            place = {int(i): p for p, i in enumerate(ids)}
             which = np.array([place[int(i)] for i in np.asarray(near["query_id"])])
             asked_keys = index.keys(index.queries(points))[:, which]
             near_keys = index.keys(index.candidates(_matrix(near["vec"].combine_chunks())))
@@ -212,7 +253,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 ids, points = np.asarray(batch.column(0)), _matrix(batch.column(1))
                 spot = index.ranges(index.keys(index.queries(points) if of_queries else index.candidates(points))[:parts], cut)
                 own, other = (query_chunks, row_chunks) if of_queries else (row_chunks, query_chunks)
-                mine = (ids * 2654435761 % (1 << 32)) % own
+                mine = (_hashes(ids, points) % np.uint64(own)).astype(np.int64)
                 for curve in range(parts):
                     for step in ((-1, 0, 1) if of_queries and n > 1 else (0,)):
                         there = spot[curve] + step

@@ -284,6 +284,27 @@ def test_search_frames(spark):
     assert ann.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_with_rows_repeated_more_than_k_times(spark):
+    """Copies of a row and the many vectors of one id take one of the k places."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(12)] + [(7, (3 * v).tolist()) for v in rng.normal(size=(300, 8))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    every = [(i, np.array(v)) for i, v in rows]
+    got = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {0, 20, 40}
+    for q, found in got.items():
+        best = {}
+        for i, v in every:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float((x[q] * v).sum()))
+        assert found == sorted(best, key=lambda i: (-best[i], i))[:5]
+    hashes = ann._hashes(np.full(1000, 7), rng.normal(size=(1000, 8)))
+    assert np.bincount((hashes % np.uint64(4)).astype(int), minlength=4).min() > 200
+
+
 def test_hilbert_order_has_no_jumps():
     for axes, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * axes, indexing="ij"), axis=-1).reshape(-1, axes)
