@@ -156,3 +156,34 @@ def op9(spark, sf_dir):
 
     scored = score_texts(table(spark, sf_dir, "documents"), learn=fold("doc_id") != 1)
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+crc_step AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS step FROM range(256) t(i)),
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS body, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+k AS MATERIALIZED (SELECT doc_id, body, size, CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS key, CAST('0x' || substr(md5(concat_ws(':', digest, CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) AS place FROM d),
+g AS MATERIALIZED (SELECT key, sum(size) AS bytes FROM k GROUP BY key),
+big AS MATERIALIZED (SELECT key, CAST(i - 1 AS INTEGER) AS shard FROM (SELECT *, bool_and(bytes * (25 - i) > left_over) OVER (ORDER BY i) AS alone FROM
+  (SELECT key, bytes, row_number() OVER (ORDER BY bytes DESC, key) AS i, sum(bytes) OVER (ORDER BY bytes, key DESC) AS left_over FROM g)) WHERE alone AND i < 24),
+c AS MATERIALIZED (SELECT key, bytes, sum(bytes) OVER (ORDER BY key) AS upto FROM g WHERE key NOT IN (SELECT key FROM big)),
+all_sizes AS MATERIALIZED (SELECT list(CAST(bytes AS HUGEINT) ORDER BY key) AS sizes, 24 - (SELECT count(*) FROM big) AS shards, max(bytes) AS largest, sum(bytes) AS whole FROM c),
+search(low, high, shards, sizes) AS (SELECT CAST(largest AS HUGEINT), CAST(whole AS HUGEINT), shards, sizes FROM all_sizes
+  UNION ALL SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END, shards, sizes FROM
+  (SELECT low, high, shards, sizes, middle, (list_reduce(list_prepend(CAST(0 AS HUGEINT), sizes), lambda a, b: CASE WHEN a % 1000000000000000 + b <= middle THEN a + b ELSE a - a % 1000000000000000 + 1000000000000000 + b END) // 1000000000000000) + 1 <= shards AS fits FROM
+  (SELECT low, high, shards, sizes, (low + high) // 2 AS middle FROM search WHERE low < high))),
+cap AS MATERIALIZED (SELECT low AS capacity FROM search WHERE low = high),
+cut(n, upto) AS (SELECT 0, CAST(0 AS HUGEINT) UNION ALL SELECT n + 1, best FROM (SELECT cut.n, max(c.upto) AS best FROM cut, cap, c WHERE c.upto <= cut.upto + capacity AND cut.n < 24 GROUP BY cut.n, cut.upto)),
+placed AS (SELECT c.key, CAST((SELECT count(*) FROM big) + min(cut.n) - 1 AS INTEGER) AS shard FROM c JOIN cut ON c.upto <= cut.upto GROUP BY c.key UNION ALL SELECT key, shard FROM big)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 8), lambda i: CAST('0x' || substr(hex(encode(body)), 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM k JOIN placed USING (key), crc_step"""
+
+
+@query("op13_sharding", OP13_SQL)
+def op13(spark, sf_dir):
+    from .sharding import shard_documents
+
+    placed = shard_documents(table(spark, sf_dir, "documents"), 24, keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
