@@ -187,3 +187,28 @@ def op13(spark, sf_dir):
 
     placed = shard_documents(table(spark, sf_dir, "documents"), 24, keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+OP11_SQL = r"""
+WITH crc_step AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS step FROM range(256) t(i)),
+own AS (SELECT conv_id AS c, md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, ''))) AS m, length(coalesce(text, '')) AS n,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(CAST(c AS VARCHAR))), lambda k: CAST(ascii(substr(CAST(c AS VARCHAR), k + 1, 1)) AS BIGINT))),
+  lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM own), crc_step),
+built AS (SELECT ids.c, 0 AS whose, own.i, m, n FROM ids JOIN own ON own.c = base AND own.i <= h UNION ALL SELECT ids.c, 1, own.i, m, n FROM ids JOIN own ON own.c = ids.c AND own.i > h),
+path AS MATERIALIZED (SELECT c, n, row_number() OVER w AS d, string_agg(m, ',') OVER w AS key FROM built WINDOW w AS (PARTITION BY c ORDER BY whose, i) UNION ALL SELECT c, 0, 0, '' FROM ids),
+ends AS (SELECT key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS members FROM (SELECT c, arg_max(key, d) AS key FROM path GROUP BY c) GROUP BY key),
+node AS MATERIALIZED (SELECT key, d, min(c) AS c, count(*) AS n_convs, max(n) AS n, CASE WHEN d = 1 THEN '' WHEN d > 1 THEN left(key, length(key) - 33) END AS up FROM path GROUP BY key, d),
+kids AS (SELECT up, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up),
+below AS (SELECT p.key, sum(CASE WHEN kids.up IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.n) AS saved FROM node u LEFT JOIN kids ON kids.up = u.key JOIN path p ON p.c = u.c AND p.d <= u.d GROUP BY p.key)
+SELECT node.c AS conv_id, node.d AS depth, top.c AS parent_conv_id, node.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(members, '')) AS ends_sha256
+FROM node JOIN below USING (key) LEFT JOIN kids ON kids.up = node.key LEFT JOIN ends ON ends.key = node.key LEFT JOIN node top ON top.key = node.up AND top.d = node.d - 1"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    from .trie import prefix_trie
+
+    conv = F.col("conv")
+    return prefix_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 100, head=fold("conv", 6), head_limit=5)
