@@ -212,3 +212,24 @@ def op11(spark, sf_dir):
 
     conv = F.col("conv")
     return prefix_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 100, head=fold("conv", 6), head_limit=5)
+
+
+OP12_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(g, ' ') AS s, g, count(*) AS f FROM
+  (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) t(k) WHERE len(w) >= k)) GROUP BY lang, k, g HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.s, c.k, c.f AS a, x.k AS j, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.f) // (x.f + y.f) AS score FROM c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.s = array_to_string(c.g[1:x.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - x.k AND y.s = array_to_string(c.g[x.k + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, s, k ORDER BY score, j) = 1),
+sub AS (SELECT lang, array_to_string(g[i:i + t - 1], ' ') AS s, max(f) AS longer FROM (SELECT *, unnest(range(1, k - t + 2)) AS i FROM c, range(2, 4) u(t) WHERE t < k) GROUP BY 1, 2)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM low LEFT JOIN sub USING (lang, s) JOIN n ON n.lang = low.lang WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000"""
+
+
+@query("op12_phrases", OP12_SQL)
+def op12(spark, sf_dir):
+    from .phrases import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
