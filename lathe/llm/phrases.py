@@ -38,10 +38,11 @@ from .text import Words, buffers, mix, owners, pieces
 from .trie import _find
 
 LONGEST = 4
-CHUNK = 2_000_000  # n-grams of a chunk
+CHUNK = 4_000_000  # n-grams of a chunk
 SHARD = 2_000_000  # n-grams of a shard, about
-RADIX = 6  # bits of a shard dealt in a round
-FAN = 256  # chunks merged at once, at most
+RADIX = 8  # bits of a shard dealt in a round
+SLICE = 1 << 20  # bytes of text handled at once
+FAN = 256  # chunks merged at once, about
 VOCABULARY = 1 << 20  # words of a file
 _U = np.uint64
 _CUT = np.zeros(256, dtype=bool)  # bytes that end a piece
@@ -159,17 +160,35 @@ def restore(a: np.ndarray, b: np.ndarray, half: int) -> tuple[np.ndarray, np.nda
     return a, b
 
 
-def counted(a: np.ndarray, b: np.ndarray, counts: np.ndarray | None, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Permuted keys in order, each once, with its counts added up."""
-    if 2 * half <= 64 and counts is None:
-        key = np.sort((a << _U(half)) | b)
+class Chunk:
+    """Permuted keys of n-grams, gathered until they are counted; a key that fits into 64 bits is held as one number."""
+
+    def __init__(self, half: int):
+        self.half, self.size = half, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append(((a << _U(self.half)) | b,) if 2 * self.half <= 64 else (a, b))
+        self.size += len(a)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*self.held)]
+        self.held, self.size = [], 0
+        if len(columns) == 2:
+            return counted(*columns, np.ones(len(columns[0]), np.int64), self.half)
+        key = columns[0]
+        key.sort()
         new = np.flatnonzero(_new(key))
-        return key[new] >> _U(half), key[new] & _U((1 << half) - 1), np.diff(np.concatenate([new, [len(key)]]))
+        counts = np.diff(np.concatenate([new, [len(key)]]))
+        key = key[new]
+        return key >> _U(self.half), key & _U((1 << self.half) - 1), counts
+
+
+def counted(a: np.ndarray, b: np.ndarray, counts: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Permuted keys in order, each once, with its counts added up."""
     order = np.argsort((a << _U(half)) | b, kind="stable") if 2 * half <= 64 else np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.flatnonzero(_new(a, b))
-    if counts is None:
-        return a[new], b[new], np.diff(np.concatenate([new, [len(a)]]))
     return a[new], b[new], np.add.reduceat(counts[order], new) if len(new) else counts[:0]
 
 
@@ -188,7 +207,7 @@ def _numbers(data: bytes, bits: int, n: int) -> np.ndarray:
 def pack_filter(a: np.ndarray, b: np.ndarray, counts: np.ndarray, known: int, half: int) -> list[bytes]:
     """A counting quotient filter of sorted keys whose first `known` bits are alike.
 
-    [number of entries, run lengths, remainders of the first half, second halves, counters, large counters]"""
+    [number of entries, run lengths, remainders, counters, large counters]"""
     n = len(a)
     q = min(max(n.bit_length() - 1, 0), half - known)
     low = half - known - q
@@ -198,7 +217,9 @@ def pack_filter(a: np.ndarray, b: np.ndarray, counts: np.ndarray, known: int, ha
     large = counts >= 255
     counters = np.where(large, 255, counts).astype(np.uint8)
     shrink = zstandard.ZstdCompressor(level=1).compress
-    return [n.to_bytes(8, "little"), np.packbits(runs).tobytes(), _bytes(a & _U((1 << low) - 1), low), _bytes(b, half), shrink(counters.tobytes()), shrink(counts[large].astype("<u8").tobytes())]
+    rest = a & _U((1 << low) - 1)
+    rest = _bytes((rest << _U(half)) | b, low + half) if low + half <= 64 else _bytes(rest, low) + _bytes(b, half)
+    return [n.to_bytes(8, "little"), np.packbits(runs).tobytes(), rest, shrink(counters.tobytes()), shrink(counts[large].astype("<u8").tobytes())]
 
 
 def open_filter(parts: list[bytes], prefix: int, known: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,13 +229,19 @@ def open_filter(parts: list[bytes], prefix: int, known: int, half: int) -> tuple
     low = half - known - q
     runs = np.unpackbits(np.frombuffer(parts[1], dtype=np.uint8), count=n + (1 << q)).astype(bool)
     quotient = (np.flatnonzero(runs) - np.arange(n)).astype(_U)
-    a = (quotient << _U(low)) | _numbers(parts[2], low, n)
+    if low + half <= 64:
+        rest = _numbers(parts[2], low + half, n)
+        rest, b = rest >> _U(half) if low else np.zeros(n, _U), rest & _U((1 << half) - 1)
+    else:
+        border = n * -(-low // 8)
+        rest, b = _numbers(parts[2][:border], low, n), _numbers(parts[2][border:], half, n)
+    a = (quotient << _U(low)) | rest
     if known:
         a |= _U(prefix) << _U(half - known)
     grow = zstandard.ZstdDecompressor().decompress
-    counts = np.frombuffer(grow(parts[4]), dtype=np.uint8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(grow(parts[5]), dtype="<u8")
-    return a, _numbers(parts[3], half, n), counts
+    counts = np.frombuffer(grow(parts[3]), dtype=np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(grow(parts[4]), dtype="<u8")
+    return a, b, counts
 
 
 FILTERS = "prefix long, chunk long, filter array<binary>"
@@ -234,17 +261,14 @@ def _count_grams(path: str, parts: list, bits: int, more: int, chunk: int):
     half = 2 * bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path, parts)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, number = 0, 0
+        vocabulary, held, number = _vocabulary(path, parts), Chunk(half), 0
 
         def flush():
-            nonlocal held, size, number
-            a, b = (np.concatenate(x) for x in zip(*held))
-            held, size, number = [], 0, number + 1
-            return _dealt(*counted(*permute(a, b, half), None, half), 0, more, half, zlib.crc32(f"{TaskContext.get().partitionId()}-{number}".encode()))
+            nonlocal number
+            number += 1
+            return _dealt(*held.counted(), 0, more, half, zlib.crc32(f"{TaskContext.get().partitionId()}-{number}".encode()))
 
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             data, offsets = buffers(batch.column(0))
             words = Words(data, offsets, lower=True, second=True, gap=_GAP)
             ids = vocabulary.ids(*_hashes(words, batch.column(1).to_pylist())).astype(_U)
@@ -258,12 +282,15 @@ def _count_grams(path: str, parts: list, bits: int, more: int, chunk: int):
                 for j in range(k):
                     ok &= ids[j:j + n] > 0
                 at = np.flatnonzero(ok)
-                shift = _U(bits)
-                held.append(((ids[at] << shift) | ids[at + 1], (ids[at + 2] << shift if k > 2 else np.zeros(len(at), _U)) | (ids[at + 3] if k > 3 else _U(0))))
-                size += len(at)
-            if size >= chunk:
+                first, second = (ids[at] << _U(bits)) | ids[at + 1], np.zeros(len(at), _U)
+                if k > 2:
+                    second |= ids[at + 2] << _U(bits)
+                if k > 3:
+                    second |= ids[at + 3]
+                held.add(*permute(first, second, half))
+            if held.size >= chunk:
                 yield flush()
-        if size:
+        if held.size:
             yield flush()
     return run
 
@@ -315,20 +342,18 @@ def count_phrases(docs: DataFrame, least: int, chunk: int = CHUNK, shard: int =
 
     bits = max(before.bit_length(), 1)
     deep = min((3 * (about.tokens or 0) // shard).bit_length(), 2 * bits)
-    known = min(radix, deep)
-    filters = written(docs.mapInArrow(_count_grams(path, parts, bits, known, chunk), FILTERS), "filters", "none") if parts else spark.createDataFrame([], FILTERS)
-    discard(words)
-    while known < deep:  # deal the next bits, fewer chunks at each round
-        more = min(radix, deep - known)
-        groups = max(filters.select("chunk").distinct().count() // fan, 1)
-        merged = filters.groupBy("prefix", (F.col("chunk") % groups).alias("chunk_group")).applyInArrow(_merge(known, more, 2 * bits), FILTERS)
-        filters, old, known = written(merged, "filters", "none"), filters, known + more
+    known, chunks, stored = min(radix, deep), 3 * (about.tokens or 0) // chunk + 1, []
+    filters = docs.mapInArrow(_count_grams(path, parts, bits, known, chunk), FILTERS) if parts else spark.createDataFrame([], FILTERS)
+    while known < deep:  # deal the next bits, from fewer chunks at each round
+        more, chunks = min(radix, deep - known), -(-chunks // fan)
+        merged = filters.groupBy("prefix", F.pmod("chunk", F.lit(chunks)).alias("chunk")).applyInArrow(_merge(known, more, 2 * bits), FILTERS)
+        filters, known = written(merged, "filters", "none"), known + more
         release(spark)
-        discard(old)
+        discard(*stored)
+        stored = [filters]
     phrases = written(filters.groupBy("prefix").applyInArrow(_frequent(known, bits, least), "w1 long, w2 long, w3 long, w4 long, f long"), "phrases")
     release(spark)
-    if parts:
-        discard(filters)
+    discard(*stored)
     return totals, vocabulary, phrases
 
 
