@@ -39,7 +39,7 @@ from .store import discard, written
 
 PART = 200_000  # turns of a range
 HEIGHT = 1024  # levels of a path
-LOAD = 1 << 15  # steps of paths in a shard, at least
+LOAD = 1 << 10  # steps of paths in a shard, at least
 HEAVY = 1 << 17  # heavy nodes of a slab, at most
 QUEUE = 1 << 20  # messages that a queue holds in memory
 ENDS = 4096  # member ids hashed in one group, at least
