@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .held import held
 from .store import discard, mounted, release, written
 from .text import Words, buffers, mix, owners, pieces
 from .trie import _find
@@ -133,14 +134,8 @@ class Vocabulary:
         return out
 
 
-_OPEN: dict = {}
-
-
 def _vocabulary(path: str, parts: list) -> Vocabulary:
-    if path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[path] = Vocabulary(path, parts)
-    return _OPEN[path]
+    return held(("phrases", path), lambda: Vocabulary(path, parts))
 
 
 def permute(a: np.ndarray, b: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,8 @@ import os
 import numpy as np
 from tokenizers import Tokenizer
 
+from .held import held
+
 MEMO = 400_000  # pieces a worker keeps
 WHOLE = "\x01"  # begins keys of chunks outside the usual cuts
 CUT = "\x02"  # stands at the cuts of a text
@@ -197,12 +199,6 @@ class Encoder:
         return out, offsets
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, end: int | None) -> Encoder:
-    """The worker's encoder for a tokenizer file (kept between tasks)."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]
+    """The worker's encoder for a tokenizer file (kept between tasks, until another operator needs the memory)."""
+    return held(("encoder", path, end), lambda: Encoder(path, end))

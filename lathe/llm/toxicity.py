@@ -7,7 +7,7 @@ lexicon hits, a hit in a short text, shouting). The label model gives each voter
 the labelled rows are the targets of a logistic regression with an L1 penalty on word and beginning features,
 which scores every text. Labels serve to mine voters and to start the EM.
 
-Fitting reads at most `train_rows` labelled rows, picked by hash, of the folds allowed (`learn`); mining keeps at most
+Fitting reads about `train_rows` labelled rows (at most twice as many), picked by hash, of the folds allowed (`learn`), equal ones once; mining keeps at most
 `FEATURES` features. Everything kept on the driver or sent to tasks is bounded by these two. Scoring reads every text.
 
 Defined results: null and empty texts have the score of a text without any feature; labels that are null, or whose
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .held import let_go
 from .rows import with_columns
 from .store import written
 from .text import Words, buffers, owners, pieces
@@ -33,6 +34,7 @@ from .text import Words, buffers, owners, pieces
 TRAIN_ROWS = 20_000
 FEATURES = 4_096
 MINED = 256
+MINE_BYTES = 1 << 20  # bytes of text mined at once
 PREFIXES = (4, 5, 6)
 LEXICON = ("idiot stupid moron loser clown trash scum worthless pathetic disgusting dumb ugly garbage filth vermin "
            "imbecile cretin scumbag freak creep coward liar crap hate kill").split()
@@ -76,16 +78,18 @@ class Vocabulary:
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> documents by feature hash and class, summed within the task's slices."""
-    for batch in pieces(batches, "text", 16 << 20):
+    let_go()
+    for batch in pieces(batches, "text", MINE_BYTES):
         toxic = np.asarray(batch.column(1)).astype(np.int64)
         doc, hashes, _, _ = _features(batch.column(0))
-        order = np.lexsort((doc, hashes))
+        order = np.argsort(hashes, kind="stable")  # documents stay in order within a hash
         doc, hashes = doc[order], hashes[order]
+        del order
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) & (hashes != 0) if len(doc) else np.zeros(0, bool)
         doc, hashes = doc[new], hashes[new]
-        kinds, where = np.unique(hashes, return_inverse=True)
-        bad = np.bincount(where, weights=toxic[doc], minlength=len(kinds)).astype(np.int64)
-        every = np.bincount(where, minlength=len(kinds))
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        kinds, every = hashes[first], np.diff(np.concatenate([first, [len(hashes)]]))
+        bad = np.add.reduceat(toxic[doc], first) if len(first) else first
         yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(bad), pa.array(every - bad)], names=["h", "bad", "good"])
 
 
@@ -188,7 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", d
     share = int(min(1.0, train_rows / max(count, 1)) * (1 << 40))
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share)  # about train_rows rows, hence the broadcast
     sample = written(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
-                     .join(F.broadcast(picked), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+                     .join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    rows = sample.count()
+    if rows > 2 * train_rows:  # ids that many different texts share: pick among rows
+        sample = written(sample.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(train_rows / rows * (1 << 40))), "labelled")
+    sample = sample.select("text", "toxic")
     total, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not bad or bad == total:
         return _lexicon_model()
