@@ -422,3 +422,14 @@ def test_url_rates_of_every_domain_and_hot_urls(spark):
     every = urls._training(hot, 2_000, 7).collect()
     assert len(every) == 1001 and sum(r.u_weight for r in every) == 5_000
     assert 50 < urls._training(hot, 100, 7).count() < 200
+
+
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    seen = []
+    plain = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, *a: seen.append(len(votes)) or plain(votes, *a))
+    texts = [(1, f"you idiot number {i}") for i in range(3000)] + [(1, "same words")] * 500 + [(i, f"calm words {i % 7}" if i % 2 else f"stupid trash {i % 7}") for i in range(2, 100)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 1 - i % 2) for i in range(2, 100)], "doc_id long, toxic int")
+    toxicity.fit(frame, labels, learn=F.lit(True), train_rows=200)
+    assert 0 < seen[0] <= 400
