@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _HELD: dict[Hashable, Any] = {}
 
 
@@ -17,5 +21,11 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def let_go() -> None:
-    """Free what earlier operators left in this worker."""
+    """Free what earlier operators left in this worker, and give the pages back."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries give pages back on their own
+        pass

@@ -34,7 +34,7 @@ from .text import Words, buffers, owners, pieces
 TRAIN_ROWS = 20_000
 FEATURES = 4_096
 MINED = 256
-MINE_BYTES = 1 << 20  # bytes of text mined at once
+MINE_BYTES = 1 << 20  # bytes of text handled at once
 PREFIXES = (4, 5, 6)
 LEXICON = ("idiot stupid moron loser clown trash scum worthless pathetic disgusting dumb ugly garbage filth vermin "
            "imbecile cretin scumbag freak creep coward liar crap hate kill").split()
@@ -214,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", d
     is_voter = np.isin(hashes, voters)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         vocabulary = Vocabulary(hashes)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", MINE_BYTES):
             doc, feature, counts = vocabulary.present(batch.column(0))
             lexical = np.bincount(doc[is_voter[feature]], minlength=len(counts))
             patterns = _pattern_votes(batch.column(0), lexical, counts)
@@ -243,8 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", d
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) with score (0 to 1) and predicted (1 from 0.5)."""
+    found: list[Vocabulary] = []
+
     def compute(column: pa.Array) -> list[pa.Array]:
-        scores = model.scores(Vocabulary(model.hashes), column)
+        if not found:  # once a task
+            let_go()
+            found.append(Vocabulary(model.hashes))
+        scores = model.scores(found[0], column)
         return [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
 
-    return with_columns(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, keep)
+    return with_columns(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, keep, limit=MINE_BYTES)
