@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cap1, floor_days_between, perf_score, rnd, sdiv
+from ..functions.quantiles import grouped_quantiles
 from .sequence import over_sequence, rolling_mean
 
 
@@ -47,10 +48,9 @@ def basic_metrics(F_: DataFrame) -> DataFrame:
 def consistency(F_: DataFrame) -> DataFrame:
     """AGG10: efficiency std, mean, exact quartiles, 1/(1+std) and IQR per operator."""
     m = F_.groupBy("OperatorName").agg(
-        F.stddev_samp("efficiency").alias("efficiency_std"), F.avg("efficiency").alias("efficiency_mean"),
-        F.percentile("efficiency", 0.25).alias("efficiency_q25"),
-        F.percentile("efficiency", 0.75).alias("efficiency_q75"))
-    return m.withColumns({
+        F.stddev_samp("efficiency").alias("efficiency_std"), F.avg("efficiency").alias("efficiency_mean"))
+    quartiles = grouped_quantiles(F_, ["OperatorName"], "efficiency", [0.25, 0.75], ["efficiency_q25", "efficiency_q75"])
+    return m.join(quartiles, "OperatorName", "left").withColumns({
         "consistency_score": 1 / (1 + F.col("efficiency_std")),
         "interquartile_range": F.col("efficiency_q75") - F.col("efficiency_q25"),
     })
@@ -240,9 +240,9 @@ def operator_profile(F_: DataFrame, clusters: DataFrame | None = None) -> DataFr
     base = basic_metrics(F_)
     extra = F_.groupBy("OperatorName").agg(
         F.array_join(F.array_sort(F.collect_set("machine")), ",").alias("machines"),
-        F.array_join(F.array_sort(F.collect_set("PartNumber")), ",").alias("parts"),
-        F.median("efficiency").alias("median_efficiency"))
-    out = base.join(extra, "OperatorName")
+        F.array_join(F.array_sort(F.collect_set("PartNumber")), ",").alias("parts"))
+    median = grouped_quantiles(F_, ["OperatorName"], "efficiency", [0.5], ["median_efficiency"])
+    out = base.join(extra, "OperatorName").join(median, "OperatorName", "left")
     if clusters is not None:
         out = out.join(clusters.select("OperatorName", "cluster_label"), "OperatorName", "left")
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F_
+
 from ..operators import features as FE
 from ..schema import DOWNTIME
 from .oracle import r6, sql
@@ -53,3 +55,31 @@ def drv22(spark, d):
     """The cleaned log without parts and setup times."""
     lacking = C(spark, d).drop("PartsProduced", "SetupTime", "total_downtime", "efficiency")
     return FE.column_defaults(lacking).select("JobNumber", "StartTime", "total_downtime", "efficiency", "PartsProduced", "SetupTime")
+
+
+_HIST_JOIN = """F LEFT JOIN (SELECT machine AS km, avg(efficiency) AS machine_hist_efficiency, stddev_samp(efficiency) AS machine_hist_efficiency_std, avg(JobDuration) AS machine_hist_duration,
+    avg(SetupTime) AS machine_hist_setup, avg(total_downtime) AS machine_hist_downtime FROM F GROUP BY machine) ON km = machine
+  LEFT JOIN (SELECT OperatorName AS ko, avg(efficiency) AS operator_hist_efficiency, stddev_samp(efficiency) AS operator_hist_efficiency_std, avg(SetupTime) AS operator_hist_setup,
+    count(DISTINCT machine) AS operator_machines, count(DISTINCT PartNumber) AS operator_parts FROM F GROUP BY OperatorName) ON ko = OperatorName"""
+_HIST = ", ".join(f"""{r6(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM h))")} AS {c}""" for c in FE.HISTORY)
+
+
+@query("fea4_history_features", sql(f"SELECT JobNumber, StartTime, {_HIST}, operator_machines, operator_parts FROM h", "F", f"h AS MATERIALIZED (SELECT * FROM {_HIST_JOIN})"))
+def fea4(spark, d):
+    return FE.history_features(F(spark, d)).select("JobNumber", "StartTime", *FE.HISTORY, "operator_machines", "operator_parts")
+
+
+_FILL = ["SetupTime", "JobDuration", "PartsProduced", "holes"]
+_MODES = ["shift", "OperatorName", "gaps"]
+_HOLES = """holed AS MATERIALIZED (SELECT JobNumber, StartTime, SetupTime, JobDuration, PartsProduced, shift, OperatorName,
+  CASE WHEN hour(StartTime) % 3 = 0 THEN NULL ELSE RunningTime END AS holes, CASE WHEN hour(StartTime) % 4 = 1 THEN NULL ELSE machine END AS gaps FROM F)"""
+
+
+@query("fea9_imputed", sql("SELECT JobNumber, StartTime, " + ", ".join(
+    [f"""{r6(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM holed), 0.0)")} AS {c}""" for c in _FILL]
+    + [f"coalesce({c}, (SELECT {c} FROM holed WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in _MODES]) + " FROM holed", "F", _HOLES))
+def fea9(spark, d):
+    """Medians and modes filled in on columns with holes (the hour of the job decides where)."""
+    hour = F_.hour("StartTime")
+    holed = F(spark, d).withColumns({"holes": F_.when(hour % 3 != 0, F_.col("RunningTime")), "gaps": F_.when(hour % 4 != 1, F_.col("machine"))})
+    return FE.impute(holed, _FILL, _MODES).select("JobNumber", "StartTime", *_FILL, *_MODES)
