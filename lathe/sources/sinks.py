@@ -66,11 +66,22 @@ def feature_report(df: DataFrame, feature_groups: dict[str, list[str]], path: st
     return rep
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """SNK6: persist a fitted pipeline (its stages keep their feature lists)."""
-    model.write().overwrite().save(path)
-    return path
+def save_model(model, path: str) -> str:
+    """SNK6: persist a fitted model. A classifier or regressor of `models.training` is stored whole (preparation with medians and
+    feature order, learner, flags); a bare pipeline as it is."""
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+        return path
+    from ..models.training import save
 
+    return save(model, path)
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+
+def load_model(path: str):
+    """The model that `save_model` stored under `path`."""
+    from ..models.training import SETTINGS, load
+
+    spark = SparkSession.getActiveSession()
+    told = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{SETTINGS}")
+    whole = told.getFileSystem(spark._jsc.hadoopConfiguration()).exists(told)
+    return load(path) if whole else PipelineModel.load(path)
