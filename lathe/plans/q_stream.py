@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F_
-
 from ..streaming import ops as ST
 from .oracle import r6, sql
 from .registry import query
@@ -14,15 +12,6 @@ def events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-def folded(closed, batch, keys, time_cols):
-    """A finished replay's whole answer: the windows that the stream closed, and those still open at its end,
-    which the batch form of the same operator computes."""
-    for c in time_cols:  # event times are wall clocks read as UTC
-        closed = closed.withColumn(c, F_.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_micros({c}) / 1000000.0BD)"))
-    batch = batch.withColumns({c: F_.col(c).cast("timestamp_ntz") for c in time_cols})
-    return closed.unionByName(batch.join(closed.select(*keys), keys, "left_anti"))
-
-
 _ENDPOINTS = sql(f"""
 SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, time_bucket(INTERVAL '5 minutes', ts) + INTERVAL '5 minutes' AS window_end,
   event_type AS endpoint, count(*) AS "count", {r6('sum(value)')} AS total_time, {r6('avg(value)')} AS avg_time,
@@ -46,8 +35,8 @@ def str2_summary(spark, d):
 
 @query("str2_endpoint_metrics_stream", _ENDPOINTS)
 def str2_stream(spark, d):
-    closed = ST.run_available(ST.endpoint_metrics(ST.event_stream(spark, d)), "endpoint_metrics")
-    return folded(closed, ST.endpoint_metrics(events(spark, d)), ["window_start", "endpoint"], ["window_start", "window_end"])
+    """All windows come from the stream's stored partial sums."""
+    return ST.endpoint_metrics_of(ST.run_stored(ST.event_stream(spark, d), "endpoint_metrics", ST.endpoint_rollup()))
 
 
 # The limit is the reference's requests-per-minute setting scaled to the fixture's traffic
@@ -83,7 +72,7 @@ def str3(spark, d):
     for p in base.inputFiles()[:1]:
         path = p.rsplit("/", 1)[0]
     stream = ST.joblog_stream(spark, path, base.schema)
-    return folded(ST.run_available(ST.daily_rollup(stream), "daily_rollup"), ST.daily_rollup(base), ["day"], ["day"])
+    return ST.daily_rollup_of(ST.run_stored(stream, "daily_rollup", ST.daily_partials()))
 
 
 @query("str3_daily_rollup", _DAILY)

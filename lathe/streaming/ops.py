@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exprs import hour_bucket
 from ..session import ensure_checkpoint_dir, shared_path
+from .rollup import Rollup, Store, run_rollup
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -142,6 +143,32 @@ def daily_rollup(jobs: DataFrame, watermark: str = "1 day") -> DataFrame:
     return g.select(F.col("w.start").alias("day"), "jobs", "avg_efficiency", "total_downtime")
 
 
+# ----------------------------------------------------------------------------------- stored rollups
+
+def endpoint_rollup(window: str = "5 minutes") -> Rollup:
+    """STR2 as partial sums by tumbling window and endpoint."""
+    w = F.window("ts", window)
+    return Rollup({"window_start": w["start"], "window_end": w["end"], "endpoint": F.col("event_type")},
+                  {"count": (F.count(F.lit(1)), "sum"), "timed": (F.count("value"), "sum"), "total_time": (F.sum("value"), "sum"), "min_time": (F.min("value"), "min"),
+                   "max_time": (F.max("value"), "max"), "errors": (F.sum((F.col("event_type") == "error").cast("int")), "sum")})
+
+
+def endpoint_metrics_of(rollup: DataFrame) -> DataFrame:
+    """The columns of `endpoint_metrics` from its stored rollup."""
+    return rollup.select("window_start", "window_end", "endpoint", "count", "total_time", (F.col("total_time") / F.col("timed")).alias("avg_time"), "min_time", "max_time", "errors",
+                         (F.col("errors") / F.col("count")).alias("error_rate"))
+
+
+def daily_partials() -> Rollup:
+    """STR3 as partial sums by day."""
+    return Rollup({"day": F.window("StartTime", "1 day")["start"]},
+                  {"jobs": (F.count(F.lit(1)), "sum"), "rated": (F.count("efficiency"), "sum"), "efficiency": (F.sum("efficiency"), "sum"), "total_downtime": (F.sum("total_downtime"), "sum")})
+
+
+def daily_rollup_of(rollup: DataFrame) -> DataFrame:
+    return rollup.select("day", "jobs", (F.col("efficiency") / F.col("rated")).alias("avg_efficiency"), "total_downtime")
+
+
 # ----------------------------------------------------------------------------------- running
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
@@ -156,3 +183,11 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "append") ->
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def run_stored(stream: DataFrame, name: str, rollup: Rollup) -> DataFrame:
+    """Replay everything available into a new stored rollup under the shared checkpoint folder and read it."""
+    import uuid
+    spark, run = stream.sparkSession, f"{name}_{uuid.uuid4().hex[:8]}"
+    ensure_checkpoint_dir(spark)
+    return run_rollup(stream, Store(spark, shared_path(spark, f"stream_rollup/{run}"), rollup), shared_path(spark, f"stream_ckpt/{run}"))
