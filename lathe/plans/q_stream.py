@@ -55,11 +55,50 @@ def str1_all(spark, d):
     return ST.rate_limit_all(events(spark, d), RATE_LIMIT)
 
 
-@query("str1_rate_limit_accepted_stream")
+# The greedy choice by recursion: each client's requests in order, (a1, a2) the last accepted ones (RATE_LIMIT of them).
+_ACCEPTED = f"""WITH RECURSIVE seq AS (SELECT event_id, ts, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+walk AS (SELECT event_id, ts, user_id, p, true AS allowed, 0.0::DOUBLE AS retry_after, NULL::TIMESTAMP AS a1, ts AS a2 FROM seq WHERE p = 1
+  UNION ALL SELECT event_id, ts, user_id, p, NOT coalesce(full_, false),
+    CASE WHEN full_ THEN greatest(60.0 - datesub('microsecond', a1, ts) / 1e6, 1.0) ELSE 0.0 END,
+    CASE WHEN full_ THEN a1 ELSE a2 END, CASE WHEN full_ THEN a2 ELSE ts END
+  FROM (SELECT n.event_id, n.ts, n.user_id, n.p, w.a1, w.a2, w.a1 >= n.ts - INTERVAL 60 SECOND AS full_
+        FROM walk w JOIN seq n ON n.user_id IS NOT DISTINCT FROM w.user_id AND n.p = w.p + 1))
+SELECT event_id, ts, user_id AS client_id, allowed, {r6('retry_after')} AS retry_after FROM walk"""
+
+
+@query("str1_rate_limit_accepted", _ACCEPTED)
+def str1_accepted_batch(spark, d):
+    return ST.rate_limit_accepted_batch(events(spark, d), RATE_LIMIT)
+
+
+@query("str1_rate_limit_accepted_stream", _ACCEPTED)
 def str1_accepted(spark, d):
     return ST.run_available(ST.rate_limit_accepted(ST.event_stream(spark, d), RATE_LIMIT), "rate_limit_accepted")
 
 
+_PERIODS = f"""WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS us FROM events),
+after AS (SELECT DISTINCT event_type, us, min(us) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 300000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM e),
+resets AS (SELECT event_type, min(us) AS us FROM e GROUP BY event_type
+  UNION ALL SELECT r.event_type, a.next FROM resets r JOIN after a ON a.event_type = r.event_type AND a.us = r.us WHERE a.next IS NOT NULL),
+spans AS (SELECT *, lead(us, 1, 9000000000000000000) OVER (PARTITION BY event_type ORDER BY us) AS until FROM resets),
+p AS (SELECT r.event_type AS endpoint, r.us AS reset_us, max(e.us) AS last_us, count(*) AS n, sum(value) AS total_time, avg(value) AS avg_time, min(value) AS lo, max(value) AS hi,
+    count(*) FILTER (WHERE e.event_type = 'error') AS errors
+  FROM e JOIN spans r ON r.event_type = e.event_type AND e.us >= r.us AND e.us < r.until GROUP BY r.event_type, r.us)
+SELECT endpoint, reset_us, last_us, n AS "count", {r6('total_time')} AS total_time, {r6('avg_time')} AS avg_time, min(lo) OVER w AS min_time, max(hi) OVER w AS max_time, errors,
+  {r6('errors / n')} AS error_rate
+FROM p WINDOW w AS (PARTITION BY endpoint ORDER BY reset_us ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("str2_endpoint_periods", _PERIODS)
+def str2_periods(spark, d):
+    return ST.endpoint_periods(events(spark, d))
+
+
+@query("str2_endpoint_periods_stream", _PERIODS)
+def str2_periods_stream(spark, d):
+    return ST.endpoint_periods_stream(ST.event_stream(spark, d))
+
+
 _DAILY = sql(f"""
 SELECT CAST(CAST(StartTime AS DATE) AS TIMESTAMP) AS day, count(*) AS jobs, {r6('avg(efficiency)')} AS avg_efficiency,
   sum(total_downtime) AS total_downtime FROM F GROUP BY CAST(StartTime AS DATE)""")

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exprs import hour_bucket
 from ..session import ensure_checkpoint_dir, shared_path
+from ..operators.greedy import accept_within_limit, reset_windows
+from .resets import RESET_S, ResetStore, period_rollup, periods
 from .rollup import Rollup, Store, run_rollup
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -126,6 +128,29 @@ def rate_limit_accepted(events: DataFrame, limit: int = 100, window_s: int = 60)
         _accept_fn(limit, window_s * 1_000_000), ACCEPT_SCHEMA, ACCEPT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def rate_limit_accepted_batch(events: DataFrame, limit: int = 100, window_s: int = 60) -> DataFrame:
+    """STR1, accepted-only variant over a table: chains of time buckets instead of a task per client."""
+    d = accept_within_limit(events.select("event_id", "user_id", micros("ts").alias("_us")), "user_id", "_us", "event_id", limit, window_s)
+    at = events.select(F.col("event_id").alias("_e"), F.col("user_id").alias("_c"), "ts")
+    return d.join(at, (F.col("event_id") == F.col("_e")) & F.col("user_id").eqNullSafe(F.col("_c"))).select("event_id", "ts", F.col("user_id").alias("client_id"), "allowed", "retry_after")
+
+
+# ----------------------------------------------------------------------------------- STR2 (periods that reset themselves)
+
+def endpoint_periods(events: DataFrame, window_s: int = RESET_S) -> DataFrame:
+    """STR2 with its lazy reset, over a table: one row per endpoint and period."""
+    return periods(period_rollup().partial(reset_windows(events.withColumn("_us", micros("ts")), "event_type", "_us", window_s)))
+
+
+def endpoint_periods_stream(stream: DataFrame, window_s: int = RESET_S) -> DataFrame:
+    """The same from a replayed stream: all rows come from its stored partial sums."""
+    import uuid
+    spark, run = stream.sparkSession, f"endpoint_periods_{uuid.uuid4().hex[:8]}"
+    ensure_checkpoint_dir(spark)
+    store = ResetStore(spark, shared_path(spark, f"stream_rollup/{run}"), window_s)
+    return periods(run_rollup(stream.withColumn("_us", micros("ts")), store, shared_path(spark, f"stream_ckpt/{run}"), {"window_us": "long"}))
+
+
 # ----------------------------------------------------------------------------------- STR3
 
 def joblog_stream(spark: SparkSession, path: str, schema) -> DataFrame:

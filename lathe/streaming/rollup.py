@@ -82,9 +82,12 @@ class Store:
         return self.rollup.merged(self._partials(upto, later)) if upto >= 0 or later else None
 
 
-def run_rollup(stream: DataFrame, store: Store, checkpoint: str) -> DataFrame:
-    """Take in everything available, from where `checkpoint` stands, and return the rollup."""
+def run_rollup(stream: DataFrame, store: Store, checkpoint: str, added: dict[str, str] | None = None) -> DataFrame:
+    """Take in everything available, from where `checkpoint` stands, and return the rollup. `added`: columns and types that the store itself adds."""
     query = stream.writeStream.foreachBatch(store.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     found = store.read()
-    return found if found is not None else store.rollup.merged(store.rollup.partial(stream.sparkSession.createDataFrame([], stream.schema)))
+    if found is not None:
+        return found
+    empty = stream.sparkSession.createDataFrame([], stream.schema).withColumns({n: F.lit(None).cast(t) for n, t in (added or {}).items()})
+    return store.rollup.merged(store.rollup.partial(empty))
