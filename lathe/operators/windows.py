@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cut, seconds_between
+from ..functions.exprs import cut, hour_bucket, seconds_between
 from ..schema import DOWNTIME
 from .derive import dominant_downtime
-from .sequence import cumulative_last, over_sequence, rolling_mean, rolling_std, with_position
+from .sequence import ORDER, cumulative_last, over_sequence, rolling_mean, rolling_std, with_position
 
 MO = ["machine", "OperatorName"]
 
@@ -174,16 +174,37 @@ def notebook_rolling(df: DataFrame) -> DataFrame:
 
 def trend_label(df: DataFrame, column: str = "efficiency", keys=()) -> DataFrame:
     """WIN20: mean of the last n // 3 rows vs the first n // 3 rows (StartTime order):
-    > 1.05x improving, < 0.95x declining, else stable (fewer than 2 rows: stable)."""
+    > 1.05x improving, < 0.95x declining, else stable (fewer than 2 rows: stable).
+
+    Counts and sums by hour tell which hours lie wholly in a third; only the rows of the (at most two) hours that a border
+    cuts are ordered."""
     keys = list(keys)
-    d = with_position(df, keys)
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else d.agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, keys) if keys else d.crossJoin(F.broadcast(n))
-    third = F.floor(F.col("_n") / 3)
-    agg = (d.groupBy(*keys) if keys else d.groupBy()).agg(
-        F.first("_n").alias("rows"),
-        F.avg(F.when(F.col("_pos") >= F.col("_n") - third, F.col(column))).alias("recent_avg"),
-        F.avg(F.when(F.col("_pos") < third, F.col(column))).alias("older_avg"))
+    x = F.col(column).cast("double")
+    d = df.select(*keys, *[c for c in ORDER if c not in keys], x.alias("_x"), hour_bucket("StartTime").alias("_b"))
+    hours = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"), F.count("_x").alias("_c"))
+    whole = Window.partitionBy(*keys)  # over a row for each hour
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.withColumns({"_off": before, "_all": F.sum("_n").over(whole)})
+    third = F.floor(F.col("_all") / 3)
+    hours = hours.withColumns({  # rows of the hour in the first and in the last third
+        "_old": F.greatest(F.least(third - F.col("_off"), F.col("_n")), F.lit(0)),
+        "_new": F.greatest(F.least(F.col("_off") + F.col("_n") - (F.col("_all") - third), F.col("_n")), F.lit(0))})
+    cut_by = ((F.col("_old") > 0) & (F.col("_old") < F.col("_n"))) | ((F.col("_new") > 0) & (F.col("_new") < F.col("_n")))
+    border = hours.where(cut_by).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), F.col("_n").alias("_kn"), F.col("_old").alias("_ko"), F.col("_new").alias("_kw"))
+    same = F.col("_b").eqNullSafe(F.col("_kb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*ORDER))
+    ranked = d.join(border, same).withColumn("_p", place)
+    sides = {"_old": F.col("_p") <= F.col("_ko"), "_new": F.col("_p") > F.col("_kn") - F.col("_kw")}
+    rows = ranked.select(*keys, F.lit(0).alias("rows"), *[F.when(at, F.col("_x")).alias(f"_s{s}") for s, at in sides.items()],
+                         *[F.when(at & F.col("_x").isNotNull(), 1).otherwise(0).alias(f"_c{s}") for s, at in sides.items()])
+    full = {s: (F.col(s) == F.col("_n")) & ~cut_by for s in sides}
+    parts = hours.select(*keys, F.col("_n").alias("rows"), *[F.when(at, F.col("_s")).alias(f"_s{s}") for s, at in full.items()],
+                         *[F.when(at, F.col("_c")).otherwise(0).alias(f"_c{s}") for s, at in full.items()])
+    parts = parts.unionByName(rows)
+    agg = (parts.groupBy(*keys) if keys else parts.groupBy()).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), (F.sum("_s_new") / F.nullif(F.sum("_c_new"), F.lit(0))).alias("recent_avg"), (F.sum("_s_old") / F.nullif(F.sum("_c_old"), F.lit(0))).alias("older_avg"))
     label = (F.when(F.col("rows") < 2, "stable")
              .when(F.col("recent_avg") > F.col("older_avg") * 1.05, "improving")
              .when(F.col("recent_avg") < F.col("older_avg") * 0.95, "declining").otherwise("stable"))
