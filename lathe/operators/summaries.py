@@ -394,6 +394,16 @@ def machine_frame(F_: DataFrame) -> DataFrame:
     )
 
 
+def downtime_hours(F_: DataFrame) -> DataFrame:
+    """AGG25: hours of downtime by category, of each machine and of all (`level` machine, all; machine is null for all), with the
+    category's share of that level's downtime (null where there is none). One pass of partial sums; missing times count as none."""
+    sums = F_.groupingSets([["machine"], []], "machine").agg(F.grouping("machine").alias("_all"), *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in DOWNTIME])
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in DOWNTIME])
+    each = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("s")) for c in DOWNTIME])
+    return sums.select(F.when(F.col("_all") == 1, "all").otherwise("machine").alias("level"), "machine", total.alias("_t"), F.explode(each).alias("e")).select(
+        "level", "machine", "e.category", (F.col("e.s") / 3600).alias("hours"), F.try_divide(F.col("e.s"), F.col("_t")).alias("share"))
+
+
 def operator_frame(F_: DataFrame, min_jobs: int = 5) -> DataFrame:
     """AGG26: operators with at least `min_jobs` jobs: mean, std, count, consistency, versatility."""
     return (
@@ -515,3 +525,20 @@ def daily_report(F_: DataFrame, report_date: str) -> DataFrame:
         F.count(F.lit(1)).alias("jobs"), rnd(F.avg("efficiency"), 3).alias("avg_efficiency"),
         F.sum("total_downtime").alias("total_downtime"),
     ).withColumn("rank", F.row_number().over(Window.orderBy(F.col("avg_efficiency").desc(), F.col("machine"))))
+
+
+def daily_report_sections(F_: DataFrame, report_date: str | None = None, top_operators: int = 5) -> DataFrame:
+    """AGG23: one day's report as rows of `section` total (one row), operator (the best `top_operators` by mean efficiency) and machine (all,
+    best first): name, rank, jobs, avg_efficiency (3 dp), total_downtime (2 dp). Default: the log's last day; a day without jobs has
+    no rows. Ranks go by the unrounded mean (missing last), ties by name. One grouping-sets pass over the day."""
+    if report_date is None:
+        last = F_.agg(F.to_date(F.max("StartTime")).cast("string").alias("d")).first()
+        report_date = last["d"] if last else None
+    day = F_.where(F.to_date("StartTime") == F.lit(report_date).cast("date")).select(F.col("OperatorName").alias("_o"), F.col("machine").alias("_m"), "efficiency", "total_downtime")
+    sums = day.groupingSets([["_o"], ["_m"], []], "_o", "_m").agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("jobs"), F.avg("efficiency").alias("_e"), F.sum("total_downtime").alias("_d")).where("jobs > 0")
+    section = F.when(F.col("_g") == 1, "operator").when(F.col("_g") == 2, "machine").otherwise("total")
+    named = sums.select(section.alias("section"), F.when(F.col("_g") == 1, F.col("_o")).when(F.col("_g") == 2, F.col("_m")).alias("name"), "jobs", "_e", "_d")
+    best = Window.partitionBy("section").orderBy(F.col("_e").desc_nulls_last(), "name")  # the names of one day
+    return named.withColumn("rank", F.row_number().over(best)).where((F.col("section") != "operator") | (F.col("rank") <= top_operators)).select(
+        "section", "name", "rank", "jobs", rnd("_e", 3).alias("avg_efficiency"), rnd("_d", 2).alias("total_downtime"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import summaries as S
+from ..schema import DOWNTIME
 from .oracle import avg_rank_desc, cap1, perf, r6, rel_cons, rn, sql
 from .registry import query
 from .tables import F, J
@@ -346,6 +347,31 @@ def agg25(spark, d):
     return S.machine_frame(F(spark, d))
 
 
+_SUMS = ", ".join(f"coalesce(sum({c}), 0.0) AS {c}" for c in DOWNTIME)
+
+
+@query("agg25_downtime_hours", sql(f"""
+SELECT level, machine, category, {r6('s / 3600')} AS hours, {r6('s / nullif(t, 0)')} AS share
+FROM (SELECT level, machine, {' + '.join(DOWNTIME)} AS t, unnest([{', '.join(f"{{'category': '{c}', 's': CAST({c} AS DOUBLE)}}" for c in DOWNTIME)}], recursive := true)
+  FROM (SELECT 'machine' AS level, machine, {_SUMS} FROM F GROUP BY machine UNION ALL SELECT 'all', NULL, {_SUMS} FROM F))"""))
+def agg25_hours(spark, d):
+    return S.downtime_hours(F(spark, d))
+
+
+_DAY = "SELECT * FROM F WHERE CAST(StartTime AS DATE) = (SELECT max(CAST(StartTime AS DATE)) FROM F)"
+
+
+@query("agg23_daily_report_sections", sql(f"""
+SELECT section, name, row_number() OVER (PARTITION BY section ORDER BY e DESC NULLS LAST, name) AS rank, jobs, {rn('e', 3)} AS avg_efficiency, {rn('t', 2)} AS total_downtime
+FROM (SELECT 'total' AS section, CAST(NULL AS VARCHAR) AS name, count(*) AS jobs, avg(efficiency) AS e, sum(total_downtime) AS t FROM day
+  UNION ALL SELECT 'operator', OperatorName, count(*), avg(efficiency), sum(total_downtime) FROM day GROUP BY OperatorName
+  UNION ALL SELECT 'machine', machine, count(*), avg(efficiency), sum(total_downtime) FROM day GROUP BY machine)
+WHERE jobs > 0 QUALIFY section <> 'operator' OR rank <= 5""", "F", f"day AS ({_DAY})"))
+def agg23_sections(spark, d):
+    """The last day of the log."""
+    return S.daily_report_sections(F(spark, d))
+
+
 @query("agg26_operator_frame", sql(f"""
 SELECT OperatorName, {r6('avg(efficiency)')} AS avg_efficiency, {r6('stddev_samp(efficiency)')} AS efficiency_std,
   count(*) AS job_count, count(DISTINCT machine) AS machines, count(DISTINCT PartNumber) AS parts,

@@ -153,6 +153,13 @@ def agg36(spark, d):
     return RC.assignment_report(RC.batch_assignment(fitted(spark, d), jobs_table(spark, d)))
 
 
+@query("agg36_high_risk_assignments", sql(f"""
+SELECT job_id, machine, part, recommended_machine, recommended_operator, {r6('expected_performance')} AS expected_performance
+FROM assign WHERE confidence = 'Low' AND expected_performance < 0.6""", "F", ",\n".join([_JOBS, _FIT, _BATCH])))
+def agg36_risk(spark, d):
+    return RC.high_risk_assignments(RC.batch_assignment(fitted(spark, d), jobs_table(spark, d)))
+
+
 @query("rec1_operator_profiles", sql(f"""
 SELECT operator AS OperatorName, {r6('a')} AS avg_efficiency, {r6('s')} AS efficiency_std, {r6('st')} AS avg_setup_time,
   {r6('pph')} AS avg_parts_per_hour, n AS total_jobs, {r6('dt')} AS avg_downtime, nm AS machines_operated,
