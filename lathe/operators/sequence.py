@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hour_bucket
 from ..schema import DEFAULT
+from ..session import cut_lineage
 
 ORDER = ("StartTime", "JobNumber")
 
@@ -127,3 +128,21 @@ def cumulative_last(df: DataFrame, keys, flags: dict, pos_col: str = "_pos",
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
     res = {o: F.coalesce(F.max(f"_m_{o}").over(inside), F.col(f"_carry_{o}")) for o in flags}
     return d.withColumns(res).drop("_chunk", *[f"_m_{o}" for o in flags], *[f"_carry_{o}" for o in flags])
+
+
+def running_count(df: DataFrame, order, flag: str, name: str) -> tuple[DataFrame, int]:
+    """(`df` with the number of rows with `flag` = 1 up to and with each row in the whole table's order, their total).
+
+    Rows are sorted into ranges, stored with their range's number, and counted within; the driver sees one count a range
+    (`spark.sql.shuffle.partitions` of them). `order` has to tell rows apart for the result to be defined; then ranges also
+    split rows that share their first key."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dict(ranged.groupBy("_range").agg(F.sum(flag)).collect())
+    before, total = [], 0
+    for i in range(n):
+        before.append(total)
+        total += counts.get(i) or 0
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_range") + 1)
+    return ranged.withColumn(name, F.sum(flag).over(w) + ahead).drop("_range"), total

@@ -222,3 +222,12 @@ def _tr(key, name, asc):
     "F", MATS))
 def top5(spark, d):
     return MX.time_trends(MX.time_matrix(F(spark, d)))
+
+
+@query("agg28_performance_score_pivot", sql(f"""
+SELECT o.OperatorName, m.machine, {r6('coalesce(c.performance_score, 0.0E0)')} AS performance_score
+FROM (SELECT DISTINCT OperatorName FROM om) o CROSS JOIN (SELECT DISTINCT machine FROM om) m
+LEFT JOIN om c ON c.OperatorName = o.OperatorName AND c.machine = m.machine""", "F", MATS))
+def agg28_scores(spark, d):
+    wide = MX.score_pivot(MX.operator_machine_matrix(F(spark, d)))
+    return wide.unpivot("OperatorName", None, "machine", "performance_score")

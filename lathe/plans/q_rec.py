@@ -130,6 +130,58 @@ assign AS (
   SELECT job_id, machine, part, 'Any', 'Any', 0.5, 'Low' FROM jobs WHERE machine IS NULL AND part IS NULL)"""
 
 
+def _two(e: str) -> str:
+    return f"format('{{:.2f}}', round_even(({e}) * 1e2, 0) / 1e2)"
+
+
+# reasons for r.operator on r.machine and r.part, and for r.machine and r.part
+_OWHY = f"""concat_ws('; ',
+  CASE WHEN wom.c IS NOT NULL THEN format('{{}} earlier jobs on {{}} at efficiency {{}}', wom.c, r.machine, {_two('wom.e')})
+    ELSE format('new to {{}}; efficiency elsewhere {{}}', r.machine, {_two('coalesce(wo.a, 0.0E0)')}) END,
+  CASE WHEN wop.c IS NOT NULL THEN format('knows part {{}} from {{}} jobs at efficiency {{}}', r.part, wop.c, {_two('wop.e')})
+    WHEN r.part IS NOT NULL THEN format('new to part {{}}', r.part) END,
+  CASE WHEN wo.cons > 0.8 THEN 'steady results' END, CASE WHEN wo.nm * wo.np > 10 THEN 'used to changing work' END)"""
+_OWHY_JOINS = """LEFT JOIN ops wo ON wo.operator = r.operator LEFT JOIN om wom ON wom.o = r.operator AND wom.m = r.machine
+LEFT JOIN opp wop ON wop.o = r.operator AND wop.p = r.part"""
+_MWHY = f"""concat_ws('; ', CASE WHEN wmp.c IS NOT NULL THEN format('made part {{}} in {{}} jobs', r.part, wmp.c) END,
+  CASE WHEN wmp.c IS NOT NULL THEN format('the part runs here at efficiency {{}}', {_two('wmp.e')}) END,
+  CASE WHEN wm.a > 0.8 THEN format('efficient machine, {{}} on average', {_two('wm.a')}) END,
+  CASE WHEN wm.util > 0.7 THEN 'little standstill' END)"""
+_MWHY_JOINS = "LEFT JOIN mach wm ON wm.machine = r.machine LEFT JOIN mp wmp ON wmp.m = r.machine AND wmp.p = r.part"
+
+
+@query("rec9_machine_reasons", sql(f"""
+SELECT r.part, r.machine, {r6('r.score')} AS score, r.confidence, r.rank, {_MWHY} AS reasons
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, machine) AS rank FROM ({_m_scores('pkeys')}))
+  WHERE rank <= 3) r {_MWHY_JOINS}""", "F", ",\n".join([_JOBS, _FIT, _PKEYS])))
+def rec9_machines(spark, d):
+    m = fitted(spark, d)
+    recs = RC.rank_machines(m, jobs_table(spark, d).where(F_.col("part").isNotNull()), 3)
+    return RC.machine_reasons(m, recs).withColumn("reasons", F_.array_join("reasons", "; "))
+
+
+_C7 = "CASE WHEN om.e IS NOT NULL THEN om.e * 0.3 END"
+_MOSCORE = _cap("((CASE WHEN mp.e IS NOT NULL THEN mp.e * 0.7 ELSE mach.a * 0.5 END) + coalesce(mp.e * 0.6, 0.0E0) "
+                f"+ mach.a * 0.4 + mach.util * 0.2 + coalesce({_C7}, 0.0E0)) / "
+                "(3 + CAST(mp.e IS NOT NULL AS INTEGER) + CAST(om.e IS NOT NULL AS INTEGER))")
+_MOCONF = _conf("om.c", "opp.c", "mp.c", "k.operator IS NOT NULL", "(k.operator IS NOT NULL AND k.part IS NOT NULL)",
+                "(k.part IS NOT NULL)")
+_MOKEYS = "mokeys AS (SELECT DISTINCT PartNumber AS part, OperatorName AS operator FROM joblog WHERE OpNumber = 2)"
+
+
+@query("rec7_machines_for_part_and_operator", sql(f"""
+SELECT part, operator, machine, {r6('score')} AS score, confidence, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY part, operator ORDER BY score DESC, machine) AS rank FROM (
+    SELECT k.part, k.operator, mach.machine, {_MOSCORE} AS score, {_MOCONF} AS confidence
+    FROM mokeys k CROSS JOIN mach LEFT JOIN mp ON mp.m = mach.machine AND mp.p = k.part
+    LEFT JOIN om ON om.m = mach.machine AND om.o = k.operator LEFT JOIN opp ON opp.o = k.operator AND opp.p = k.part))
+WHERE rank <= 3""", "F", ",\n".join([_FIT, _MOKEYS])))
+def rec7(spark, d):
+    """Machines for the jobs that arrive without one (second operations), their operator given."""
+    asked = J(spark, d).where("OpNumber = 2").select(F_.col("PartNumber").alias("part"), F_.col("OperatorName").alias("operator"))
+    return RC.rank_machines(fitted(spark, d), asked, 3)
+
+
 @query("rec12_batch_assignment", sql(f"""
 SELECT job_id, machine, part, recommended_machine, recommended_operator, {r6('expected_performance')} AS expected_performance,
   confidence FROM assign""", "F", ",\n".join([_JOBS, _FIT, _BATCH])))
@@ -137,6 +189,22 @@ def rec12(spark, d):
     return RC.batch_assignment(fitted(spark, d), jobs_table(spark, d))
 
 
+@query("rec12_assignment_reasons", sql(f"""
+SELECT r.job_id, r.machine, r.part, r.recommended_machine, r.recommended_operator,
+  coalesce(nullif(concat_ws('; ', nullif(r.machine_why, ''), nullif(r.operator_why, '')), ''), 'no history to go by') AS reasons
+FROM (SELECT a.job_id, a.machine, a.part, a.recommended_machine, a.recommended_operator,
+  CASE WHEN a.machine IS NULL THEN mw.why END AS machine_why, ow.why AS operator_why FROM assign a
+  LEFT JOIN (SELECT r.part, r.machine, {_MWHY} AS why FROM bm r {_MWHY_JOINS}) mw
+    ON mw.part = a.part AND mw.machine = a.recommended_machine
+  LEFT JOIN (SELECT r.machine, r.part, r.operator, {_OWHY} AS why FROM
+    (SELECT machine, part, operator FROM best1 UNION SELECT machine, part, operator FROM best3) r {_OWHY_JOINS}) ow
+    ON ow.machine = a.recommended_machine AND ow.part IS NOT DISTINCT FROM a.part AND ow.operator = a.recommended_operator) r""",
+                                         "F", ",\n".join([_JOBS, _FIT, _BATCH])))
+def rec12_reasons(spark, d):
+    found = RC.batch_assignment(fitted(spark, d), jobs_table(spark, d), reasons=True)
+    return found.drop("expected_performance", "confidence").withColumn("reasons", F_.array_join("reasons", "; "))
+
+
 @query("agg36_assignment_report", sql(f"""
 SELECT count(*) AS total_assignments, count(*) FILTER (WHERE expected_performance > 0.8) AS high_performance_count,
   count(*) FILTER (WHERE expected_performance >= 0.6 AND expected_performance <= 0.8) AS medium_performance_count,
@@ -198,6 +266,22 @@ def rec4(spark, d):
     return RC.pair_tables(F(spark, d))["operator_machine"]
 
 
+_PAIR_COLUMNS = """round_even(avg(efficiency) * 1e3, 0) / 1e3 AS efficiency, count(*) AS job_count,
+  round_even(avg(SetupTime) * 1e3, 0) / 1e3 AS setup_time FROM F"""
+
+
+@query("rec4_operator_part_pairs", sql(f"""SELECT OperatorName, PartNumber, {_PAIR_COLUMNS}
+WHERE OperatorName <> 'Unknown' AND PartNumber <> 'Unknown' GROUP BY OperatorName, PartNumber"""))
+def rec4_operator_part(spark, d):
+    return RC.pair_tables(F(spark, d))["operator_part"]
+
+
+@query("rec4_machine_part_pairs", sql(f"""SELECT machine, PartNumber, {_PAIR_COLUMNS}
+WHERE PartNumber <> 'Unknown' GROUP BY machine, PartNumber"""))
+def rec4_machine_part(spark, d):
+    return RC.pair_tables(F(spark, d))["machine_part"]
+
+
 @query("rec13_fit_summary", sql("""
 SELECT 'operator_profiles' AS "table", count(*) AS n FROM ops UNION ALL SELECT 'machine_profiles', count(*) FROM mach
 UNION ALL SELECT 'part_profiles', count(DISTINCT PartNumber) FROM F WHERE PartNumber <> 'Unknown'
@@ -207,7 +291,10 @@ def rec13(spark, d):
     return RC.fit_summary(fitted(spark, d))
 
 
-@query("rec9_recommendation_reasons")
+@query("rec9_recommendation_reasons", sql(f"""
+SELECT r.machine, r.part, r.operator, {r6('r.score')} AS score, r.confidence, r.rank, {_OWHY} AS reasons
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine, part ORDER BY score DESC, operator) AS rank
+  FROM ({_op_scores('keys5')})) WHERE rank <= 3) r {_OWHY_JOINS}""", "F", ",\n".join([_JOBS, _FIT, _KEYS5])))
 def rec9(spark, d):
     m = fitted(spark, d)
     recs = RC.rank_operators(m, jobs_table(spark, d).where(F_.col("machine").isNotNull()), 3)
