@@ -1,12 +1,16 @@
 """Substring dedup by level-wise doubling: words covered by a window that an earlier document has too.
 
-A window is `window` consecutive words. Level 1 looks at runs of half that length (rounded up), and of those only
-at each window's minimum-hash run: equal windows have equal minima, so nothing is lost, and about a quarter of the
-runs travel. Runs that two different texts hold survive; level 2 extends only these to windows of the full
-length. Windows around one surviving run form a segment; a segment that an earlier document holds
-as a whole settles all its windows at once, and only the windows of first segments are compared one by
+A window is `window` consecutive words. `levels` halves that length down to runs of 7 to 13 words, and the levels
+go back up: runs that two different texts hold survive, and only these are extended to twice their length (less where
+the halves were rounded up, so that the last level ends at the window), until none survive. A level looks at each next
+level's run only at its minimum-hash run: equal runs have equal minima, so nothing is lost, and about a quarter
+of the runs travel. At the window's length, windows around one surviving run form a segment; a segment that an earlier
+document holds as a whole settles all its windows at once, and only the windows of first segments are compared one by
 one. Longer repeats consist of repeated windows, so no further level changes which words are covered.
 
+A segment or window, however frequent, is spread over salts of its places: their least documents are found in two
+steps, and no join or window meets more than one salt's rows, or one row a salt, of a key.
+
 Equal word sequences are one text class: all but the least doc_id of a class are covered entirely (from
 `window` words on). Hashes have 64 bits for runs and classes and 96 for segments and windows.
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +34,15 @@ from .store import discard, release, written
 from .text import Words, buffers, inside, pieces, spans, windows
 
 WINDOW = 13
+SHORTEST = 7  # words of the first level's runs, at least (windows up to 12 words begin at half their length)
+
+
+def levels(window: int) -> list[int]:
+    """Run lengths, ascending, each at most twice the one before; the last is the window."""
+    lengths = [window, -(-window // 2)]
+    while -(-lengths[-1] // 2) >= SHORTEST:
+        lengths.append(-(-lengths[-1] // 2))
+    return lengths[::-1]
 
 
 def _class(words: Words) -> np.ndarray:
@@ -57,39 +70,62 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _level1(window: int, run: int):
+def _lists(place: np.ndarray, words: Words, runs: np.ndarray) -> pa.Array:
+    """The hashes of the runs at `place` (ascending, with repeats), a list for each document."""
+    chosen = place[np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))] if len(place) else place
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(chosen, words.offsets).astype(np.int32)), _signed(runs[chosen]))
+
+
+def _first_runs(run: int, longer: int):
     def compute(column: pa.Array) -> list[pa.Array]:
         words = Words(*buffers(column))
-        starts, place, runs = _minima(words, window, run)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
-        chosen = place[first]  # ascending, each document's together
-        bounds = np.searchsorted(chosen, words.offsets).astype(np.int32)
-        return [_signed(_class(words)), pa.array(words.counts()), pa.ListArray.from_arrays(pa.array(bounds), _signed(runs[chosen]))]
+        _, place, runs = _minima(words, longer, run)
+        return [_signed(_class(words)), pa.array(words.counts()), _lists(place, words, runs)]
     return compute
 
 
+def _alive(batch: pa.RecordBatch, words: Words, starts: np.ndarray, place: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Of the runs at `starts`, those whose minimum run (at `place`) survived in their text. Batch: text, doc, fp, survivors."""
+    doc_of = np.searchsorted(words.offsets, starts, "right") - 1
+    fps, survivors = np.asarray(batch.column(2)), batch.column(3)
+    same = _class(words).view(np.int64) == fps  # rows of that doc_id with another text are not meant
+    alive = np.zeros(len(starts), dtype=bool)
+    edges = np.searchsorted(doc_of, np.arange(len(fps) + 1))
+    flat, offsets = np.asarray(survivors.flatten()), np.concatenate([[0], np.cumsum(np.asarray(survivors.value_lengths()))])
+    signed = runs.view(np.int64)
+    for i in np.flatnonzero(same).tolist():
+        at = slice(edges[i], edges[i + 1])
+        alive[at] = np.isin(signed[place[at]], flat[offsets[i]:offsets[i + 1]])
+    return alive
+
+
+def _extend(short: int, run: int, longer: int):
+    """(text, doc, fp, surviving runs of length `short`) -> fp and its runs of length `run` around them."""
+    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words = Words(*buffers(batch.column(0)))
+            starts, place, runs = _minima(words, run, short)
+            open_ = np.zeros(len(words) + 1, dtype=bool)
+            open_[starts[_alive(batch, words, starts, place, runs)]] = True
+            _, place, runs = _minima(words, longer, run)
+            yield pa.RecordBatch.from_arrays([batch.column(2), _lists(place[open_[place]], words, runs)], names=["fp", "runs"])
+    return process
+
+
 SEGMENT = "s1 long, s2 int, fp long, doc long, at int, wins array<struct<w1:long,w2:int>>"
 _WIN = pa.struct([("w1", pa.int64()), ("w2", pa.int32())])
 
 
-def _level2(window: int, run: int):
+def _segments(window: int, run: int):
     """(text, doc, fp, surviving runs) -> segments of windows around a surviving run."""
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             words = Words(*buffers(batch.column(0)), second=True)
             starts, place, runs = _minima(words, window, run)
-            doc_of = np.searchsorted(words.offsets, starts, "right") - 1
             docs, fps = (np.asarray(batch.column(i)) for i in (1, 2))
-            same = _class(words).view(np.int64) == fps  # rows of that doc_id with another text are not meant
-            survivors = batch.column(3)
-            alive = np.zeros(len(starts), dtype=bool)
-            edges = np.searchsorted(doc_of, np.arange(len(docs) + 1))
-            flat, offsets = np.asarray(survivors.flatten()), np.concatenate([[0], np.cumsum(np.asarray(survivors.value_lengths()))])
-            signed = runs.view(np.int64)
-            for i in np.flatnonzero(same).tolist():
-                at = slice(edges[i], edges[i + 1])
-                alive[at] = np.isin(signed[place[at]], flat[offsets[i]:offsets[i + 1]])
-            starts, place, doc_of = starts[alive], place[alive], doc_of[alive]
+            alive = _alive(batch, words, starts, place, runs)
+            starts, place = starts[alive], place[alive]
+            doc_of = np.searchsorted(words.offsets, starts, "right") - 1
             if not len(starts):
                 continue
             # a segment: neighbouring windows of one minimum run
@@ -137,39 +173,62 @@ def _removal(window: int):
     return compute
 
 
+def _with_least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` (a stored table or one with few steps, read twice) with the least and greatest doc of their keys."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp", "at"), F.lit(salts)).cast("int"))
+    partial = salted.groupBy(*keys, "salt").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    whole = Window.partitionBy(*keys)  # at most a row a salt
+    partial = partial.withColumns({"least": F.min("least").over(whole), "most": F.max("most").over(whole)})
+    return salted.join(partial, [*keys, "salt"]).drop("salt")
+
+
+def _survivors(runs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """(doc, fp, runs): of the texts' runs (fp, runs), those that two different texts hold."""
+    each = runs.where(F.size("runs") > 0).select("fp", F.explode("runs").alias("h"))
+    repeated = written(each.groupBy("h").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("h"), "repeated")
+    release(runs.sparkSession)
+    left = each.join(repeated, "h", "left_semi").groupBy("fp").agg(F.collect_set("h").alias("runs"))  # at most a text's runs
+    left = written(left.join(classes, "fp").select(F.col("first").alias("doc"), "fp", "runs"), name)
+    discard(runs, repeated)
+    release(runs.sparkSession)
+    return left
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) with n_words, n_removed and kept (the words left, joined by one blank)."""
     spark = docs.sparkSession
-    run = -(-window // 2)
+    lengths = levels(window)
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).where("doc is not null")
 
-    # level 1: minimum runs of each text; runs of two texts survive
+    # first level: minimum runs of each text
     base = written(with_columns(plain, "text", [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType()))],
-                                _level1(window, run), keep=["doc"]), "runs")
+                                _first_runs(lengths[0], lengths[1]), keep=["doc"]), "runs")
     ids = written(base.select("doc", "fp").distinct(), "ids")
     classes = written(ids.groupBy("fp").agg(F.min("doc").alias("first")), "classes")
-    runs = base.where(F.size("runs") > 0).select("fp", F.explode("runs").alias("h"))
-    repeated = written(runs.groupBy("h").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("h"), "repeated")
-    release(spark)
-    survivors = runs.join(repeated, "h", "left_semi").groupBy("fp").agg(F.collect_set("h").alias("runs"))  # at most a text's runs
-    survivors = written(survivors.join(classes, "fp").select(F.col("first").alias("doc"), "fp", "runs"), "survivors")
-    discard(base, repeated)
-    release(spark)
-
-    # level 2: windows around surviving runs, by segments, then those of first segments one by one
-    around = plain.join(survivors, "doc").select("text", "doc", "fp", "runs").mapInArrow(_level2(window, run), SEGMENT)
+    survivors = _survivors(base, classes, "survivors")
+
+    # middle levels: survivors doubled, until none are left or the next level is the window
+    for short, run, longer in zip(lengths, lengths[1:], lengths[2:]):
+        if not survivors.take(1):
+            break
+        around = plain.join(survivors, "doc").select("text", "doc", "fp", "runs").mapInArrow(_extend(short, run, longer), "fp long, runs array<long>")
+        runs = written(around, "runs")
+        discard(survivors)
+        survivors = _survivors(runs, classes, "survivors")
+
+    # last level: windows around surviving runs, by segments, then those of first segments one by one
+    around = plain.join(survivors, "doc").select("text", "doc", "fp", "runs").mapInArrow(_segments(window, lengths[-2]), SEGMENT)
     segments = written(around, "segments")
     discard(survivors)
     release(spark)
-    firsts = segments.groupBy("s1", "s2").agg(F.min("doc").alias("least"))
     later = F.col("doc") > F.col("least")
-    placed = written(segments.join(firsts, ["s1", "s2"]).select("fp", "doc", "at", F.size("wins").alias("n"), later.alias("settled"),
+    placed = written(_with_least(segments, ["s1", "s2"]).select("fp", "doc", "at", F.size("wins").alias("n"), later.alias("settled"),
                                                                 F.when(~later, F.col("wins")).alias("wins")), "placed")
     discard(segments)
     release(spark)
     single = placed.where(~F.col("settled")).select("fp", "doc", "at", F.posexplode("wins").alias("i", "w")).select("fp", "doc", (F.col("at") + F.col("i")).alias("at"), "w.*")
-    shared = single.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w1", "w2", "least")
-    hits = single.join(shared, ["w1", "w2"]).where(F.col("doc") > F.col("least")).select("fp", "at", F.lit(1).alias("n"))
+    hits = _with_least(single, ["w1", "w2"]).where(later).select("fp", "at", F.lit(1).alias("n"))
     marks = placed.where("settled").select("fp", "at", "n").unionByName(hits)
     marks = marks.groupBy("fp").agg(F.collect_list(F.struct("at", "n")).alias("spans"))  # at most a text's windows
 

@@ -215,6 +215,37 @@ def test_remove_repeats_same_id(spark):
     assert got == {BASE: 0, BASE + " more": 0, "x " + BASE: 40, "y z " + BASE: 40}
 
 
+@pytest.mark.parametrize("window, lengths", [(1, [1, 1]), (4, [2, 4]), (12, [6, 12]), (13, [7, 13]), (50, [7, 13, 25, 50]), (101, [7, 13, 26, 51, 101])])
+def test_remove_repeats_at_every_window(spark, window, lengths):
+    """Level by level against plain search, with passages of all lengths around the levels shared, cut and chained."""
+    assert substring.levels(window) == lengths and all(b <= 2 * a for a, b in zip(lengths, lengths[1:]))
+    rng = np.random.default_rng(window)
+    shared = [[f"s{k}x{i}" for i in range(n)] for k, n in enumerate(sorted({*lengths, *(n - 1 for n in lengths), window + 1, 2 * window, 150}))]
+    texts = {}
+    for i in range(60):
+        words = []
+        for k in rng.integers(0, len(shared), 4).tolist():
+            passage = shared[k]
+            a = int(rng.integers(0, 3))
+            words += passage[a:] if rng.random() < 0.5 else passage
+            words += rng.choice(["of", "the", "a", f"own{i}"], rng.integers(0, 9)).tolist()
+        texts[i] = " ".join(words)
+    first, want = {}, {}
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k:k + window]), i)
+    for i, t in texts.items():
+        w = t.split()
+        gone = {k + j for k in range(len(w) - window + 1) if first[tuple(w[k:k + window])] < i for j in range(window)}
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(frame, window=window).collect()}
+    assert got == want and 0 < sum(n for _, n, _ in want.values())
+    alone = frame.where("doc_id < 1")
+    assert [r.n_removed for r in substring.remove_repeats(alone, window=window).collect()] == [0]
+
+
 def test_decontamination_frame(spark, docs, none):
     items = spark.createDataFrame([(1, " ".join(f"WORD{i}" for i in range(10, 25))), (1, "one-two"), (2, "one, two!"), (3, None), (4, "  "), (None, "tail")], "item_id long, text string")
     for size in (1 << 18, 10):  # one automaton, or several in turn
