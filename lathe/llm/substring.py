@@ -8,8 +8,8 @@ of the runs travel. At the window's length, windows around one surviving run for
 document holds as a whole settles all its windows at once, and only the windows of first segments are compared one by
 one. Longer repeats consist of repeated windows, so no further level changes which words are covered.
 
-A segment or window, however frequent, is spread over salts of its places: their least documents are found in two
-steps, and no join or window meets more than one salt's rows, or one row a salt, of a key.
+No segment or window meets in one task: least documents are partial aggregates, and very frequent keys, whose
+number is bounded, get theirs by a broadcast instead of a shuffle.
 
 Equal word sequences are one text class: all but the least doc_id of a class are covered entirely (from
 `window` words on). Hashes have 64 bits for runs and classes and 96 for segments and windows.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,7 @@ from .store import discard, release, written
 from .text import Words, buffers, inside, pieces, spans, windows
 
 WINDOW = 13
+HOT, HOT_KEYS = 10_000, 1_000  # rows of a key that is met without a shuffle, and the bound on such keys
 SHORTEST = 7  # words of the first level's runs, at least (windows up to 12 words begin at half their length)
 
 
@@ -173,14 +174,21 @@ def _removal(window: int):
     return compute
 
 
-def _with_least(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` (a stored table or one with few steps, read twice) with the least and greatest doc of their keys."""
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp", "at"), F.lit(salts)).cast("int"))
-    partial = salted.groupBy(*keys, "salt").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    whole = Window.partitionBy(*keys)  # at most a row a salt
-    partial = partial.withColumns({"least": F.min("least").over(whole), "most": F.max("most").over(whole)})
-    return salted.join(partial, [*keys, "salt"]).drop("salt")
+def _with_least(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with the least doc of their keys, null where one doc alone holds a key; a stored table to discard after use).
+
+    Keys of HOT rows or more, and of a thousandth of all shared rows (so at most HOT_KEYS of them, which are broadcast),
+    are met where their rows are; the others in a shuffle."""
+    found = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
+    shared = written(found.where("least < most").select(*keys, "least", "n"), "shared")
+    release(rows.sparkSession)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).drop("n")
+    if not hot.take(1):
+        return rows.join(shared.drop("n"), keys, "left"), shared
+    few = F.broadcast(hot)
+    rest = rows.join(few, keys, "left_anti").join(shared.drop("n"), keys, "left")
+    return rest.unionByName(rows.join(few, keys)), shared
 
 
 def _survivors(runs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
@@ -223,12 +231,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     discard(survivors)
     release(spark)
     later = F.col("doc") > F.col("least")
-    placed = written(_with_least(segments, ["s1", "s2"]).select("fp", "doc", "at", F.size("wins").alias("n"), later.alias("settled"),
-                                                                F.when(~later, F.col("wins")).alias("wins")), "placed")
-    discard(segments)
+    found, shared = _with_least(segments, ["s1", "s2"])
+    placed = written(found.withColumn("settled", F.coalesce(later, F.lit(False))).select(
+        "fp", "doc", "at", F.size("wins").alias("n"), "settled", F.when(~F.col("settled"), F.col("wins")).alias("wins")), "placed")
+    discard(segments, shared)
     release(spark)
     single = placed.where(~F.col("settled")).select("fp", "doc", "at", F.posexplode("wins").alias("i", "w")).select("fp", "doc", (F.col("at") + F.col("i")).alias("at"), "w.*")
-    hits = _with_least(single, ["w1", "w2"]).where(later).select("fp", "at", F.lit(1).alias("n"))
+    found, shared = _with_least(single, ["w1", "w2"])
+    hits = found.where(later).select("fp", "at", F.lit(1).alias("n"))
     marks = placed.where("settled").select("fp", "at", "n").unionByName(hits)
     marks = marks.groupBy("fp").agg(F.collect_list(F.struct("at", "n")).alias("spans"))  # at most a text's windows
 
@@ -237,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     infos = ids.join(classes, "fp").join(marks, "fp", "left").groupBy(F.col("doc").alias(own)).agg(
         F.collect_list(F.struct("fp", copy.alias("copy"), F.when(~copy, F.col("spans")).alias("spans"))).alias(info))
     infos = written(infos, "marks")
-    discard(placed, classes, ids)
+    discard(placed, shared, classes, ids)
     release(spark)
     joined = docs.join(infos, F.col(f"`{doc_id}`").cast("long") == F.col(own), "left")
     kept = docs.columns if keep is None else keep

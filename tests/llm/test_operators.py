@@ -246,6 +246,17 @@ def test_remove_repeats_at_every_window(spark, window, lengths):
     assert [r.n_removed for r in substring.remove_repeats(alone, window=window).collect()] == [0]
 
 
+def test_remove_repeats_with_hot_segments_and_windows(spark, monkeypatch):
+    """Passages in most documents, alone (hot segments) and between words of their own (hot windows): the same rows either way."""
+    texts = [(i, BASE if i % 3 else f"own{i} " + " ".join(BASE.split()[i % 20:]) + f" tail{i % 7} " + BASE) for i in range(1, 90)]
+    texts = [(i, f"a{i} " + t + f" b{i}") for i, t in texts]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, substring.remove_repeats(frame, keep=["doc_id"]).collect()))
+    monkeypatch.setattr(substring, "HOT", 3)
+    assert sorted(map(tuple, substring.remove_repeats(frame, keep=["doc_id"]).collect())) == want
+    assert sum(r[2] > 0 for r in want) == 88
+
+
 def test_decontamination_frame(spark, docs, none):
     items = spark.createDataFrame([(1, " ".join(f"WORD{i}" for i in range(10, 25))), (1, "one-two"), (2, "one, two!"), (3, None), (4, "  "), (None, "tail")], "item_id long, text string")
     for size in (1 << 18, 10):  # one automaton, or several in turn
