@@ -178,17 +178,20 @@ def _with_least(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]
     """(`rows` with the least doc of their keys, null where one doc alone holds a key; a stored table to discard after use).
 
     Keys of HOT rows or more, and of a thousandth of all shared rows (so at most HOT_KEYS of them, which are broadcast),
-    are met where their rows are; the others in a shuffle."""
+    are met where their rows are; the others in a shuffle. Either way a row meets at most one key."""
     found = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
     shared = written(found.where("least < most").select(*keys, "least", "n"), "shared")
     release(rows.sparkSession)
     total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = shared.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).drop("n")
+    hot = shared.where(F.col("n") >= max(HOT, -(-total // HOT_KEYS))).select(*keys, F.col("least").alias("hot"))
+    shared_keys = shared.select(*keys, "least")
     if not hot.take(1):
-        return rows.join(shared.drop("n"), keys, "left"), shared
-    few = F.broadcast(hot)
-    rest = rows.join(few, keys, "left_anti").join(shared.drop("n"), keys, "left")
-    return rest.unionByName(rows.join(few, keys)), shared
+        return rows.join(shared_keys, keys, "left"), shared
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    # rows of hot keys have their answer: they travel by their place and match nothing
+    salt = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("fp", "at"), F.lit(1 << 16)).cast("int"))
+    met = marked.withColumn("salt", salt).join(shared_keys.withColumn("salt", F.lit(0)), [*keys, "salt"], "left").drop("salt")
+    return met.withColumn("least", F.coalesce("hot", "least")).drop("hot"), shared
 
 
 def _survivors(runs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
