@@ -197,6 +197,33 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         before = after
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, sf_dir):
+    """Input columns named as operator results come back as they were; null and repeated ids, empty and null texts, no rows."""
+    import corpus_pipeline as cp
+
+    base = " ".join(f"word{i}" for i in range(30))
+    # kept texts: plain words without repeats or benchmark passages
+    rows = [(1, base), (2, base + " tail"), (2, "other words entirely"), (3, None), (None, "no id here"), (None, None), (4, ""), (5, "five " * 3)]
+    names = ["score", "predicted", "kept", "n_words", "n_removed", "n_hit", "item_ids", "spans", "n_items", "component_id", "own", "info"]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{k}" for c in names], len(t or "")) for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, " + ", ".join(f"{c} string" for c in names) + ", n_chars int")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        told = {r.score: r for r in docs.collect()}
+        found = out.collect()
+        # doc_id 2 is one document, a near copy of doc_id 1 by one of its texts
+        assert len(found) == len(rows) - 2 * (name == "near_duplicates"), name
+        for r in found:
+            was = told[r.score]
+            assert [r[c] for c in names] == [was[c] for c in names] and r.doc_id == was.doc_id, name
+            if (name, r.score) == ("substring_dedup", "score1"):
+                assert (r.text, r.n_chars) == ("tail", 4)
+            else:
+                assert (r.text, r.n_chars) == (was.text, was.n_chars), name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+
+
 def _representatives(texts):
     sets = {}
     for i, t in texts.items():
