@@ -8,7 +8,8 @@
 5. packing: the rows are the pieces of all documents left, with their places in sequences of 1024 tokens.
 
 All stages but the last return the columns of `documents`. Every stage works on all rows its predecessor kept; null texts
-and null doc_ids have each operator's defined result (a null doc_id is never a duplicate and is kept). The stages are not
+and null doc_ids have each operator's defined result (a null doc_id is never a duplicate and is kept). Columns of the documents
+keep their values also where an operator's result has their name. The stages are not
 expressible in SQL (fitted classifier, tokenizer), so ORACLE_SQL is None and tests compare them with brute force.
 """
 
@@ -29,13 +30,20 @@ from lathe.llm.toxicity import fit, score
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """(`docs` under names of no operator's result but for doc_id and text, expressions that give its columns back)."""
+    names = [c if c in ("doc_id", "text") else f"of_document_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(docs, table(spark, sf_dir, "labels"), learn=fold("doc_id") != 0)
-    return score(docs, model).where("predicted = 0").select(docs.columns)
+    rows, back = apart(docs)
+    model = fit(rows, table(spark, sf_dir, "labels"), learn=fold("doc_id") != 0)
+    return score(rows, model).where("predicted = 0").select(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component stays; of rows that share doc_id and text, one."""
+    """The least doc_id of each component stays; rows that share a doc_id are one document, of which equal texts stay once."""
     found = near_duplicates(docs.select("doc_id", "text"), keep=["doc_id"])
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -47,14 +55,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    rows, back = apart(docs)
+    changed = F.col("n_removed") > 0
+    found = remove_repeats(rows).withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        at = docs.columns.index("n_chars")
+        kind = docs.schema["n_chars"].dataType
+        back[at] = F.when(changed, F.length("text").cast(kind)).otherwise(F.col(f"of_document_{at}")).alias("n_chars")
+    return found.select(back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~contaminated()).select(docs.columns)
+    rows, back = apart(docs)
+    found = find_contamination(rows, table(spark, sf_dir, "benchmark"))
+    return found.where(~contaminated()).select(back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
