@@ -39,9 +39,9 @@ from .text import Words, buffers, mix, owners, pieces
 from .trie import _find
 
 LONGEST = 4
-CHUNK = 4_000_000  # n-grams of a chunk
-SHARD = 2_000_000  # n-grams of a shard, about
-RADIX = 8  # bits of a shard dealt in a round
+CHUNK = 1_000_000  # n-grams of a chunk; counting takes about 60 bytes each in every worker
+SHARD = 1_000_000  # n-grams of a shard, about
+RADIX = 9  # bits of a shard dealt in a round
 SLICE = 1 << 20  # bytes of text handled at once
 FAN = 256  # chunks merged at once, about
 VOCABULARY = 1 << 20  # words of a file
@@ -171,7 +171,7 @@ class Chunk:
         self.held, self.size = [], 0
         if len(columns) == 2:
             return counted(*columns, np.ones(len(columns[0]), np.int64), self.half)
-        key = columns[0]
+        key = columns.pop()
         key.sort()
         new = np.flatnonzero(_new(key))
         counts = np.diff(np.concatenate([new, [len(key)]]))
@@ -341,7 +341,8 @@ def count_phrases(docs: DataFrame, least: int, chunk: int = CHUNK, shard: int =
     filters = docs.mapInArrow(_count_grams(path, parts, bits, known, chunk), FILTERS) if parts else spark.createDataFrame([], FILTERS)
     while known < deep:  # deal the next bits, from fewer chunks at each round
         more, chunks = min(radix, deep - known), -(-chunks // fan)
-        merged = filters.groupBy("prefix", F.pmod("chunk", F.lit(chunks)).alias("chunk")).applyInArrow(_merge(known, more, 2 * bits), FILTERS)
+        grouped = filters.withColumn("chunk", F.pmod("chunk", F.lit(chunks)))  # a group's columns need names of their own, so not in groupBy
+        merged = grouped.groupBy("prefix", "chunk").applyInArrow(_merge(known, more, 2 * bits), FILTERS)
         filters, known = written(merged, "filters", "none"), known + more
         release(spark)
         discard(*stored)

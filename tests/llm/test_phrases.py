@@ -2,6 +2,7 @@
 
 import collections
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,3 +82,25 @@ def test_empty_tables(spark):
     for data in ([], [("too few words", "en", "", 1, 2, "")]):
         found = phrases.mine_phrases(spark.createDataFrame(data, SCHEMA), "body", "language")
         assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and found.collect() == []
+
+
+@pytest.mark.parametrize("half", [30, 40])
+def test_a_chunk_is_counted_in_little_memory(half):
+    """Six workers share an executor of 3000 MB with its JVM."""
+    rng = np.random.default_rng(half)
+    tracemalloc.start()
+    chunk = phrases.Chunk(half)
+    while chunk.size < phrases.CHUNK:
+        chunk.add(*(rng.integers(0, 1 << half, 50_000, dtype=np.uint64) for _ in range(2)))
+    phrases._dealt(*chunk.counted(), 0, phrases.RADIX, half, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20, peak
+
+
+def test_merging_rounds_count_exactly(spark):
+    """More bits than one round deals, so filters are merged by prefix and group of chunks."""
+    frame = spark.createDataFrame([("a b c d e f g h", "en")] * 40 + [("b c x", "en")] * 7, "text string, lang string")
+    _, _, found = phrases.count_phrases(frame, 5, chunk=10, shard=5, radix=1, fan=2)
+    assert found.where("w3 = 0").selectExpr("sum(f)").first()[0] == 40 * 7 + 7 * 2
+    assert found.where("w3 > 0 and w4 = 0").selectExpr("sum(f)").first()[0] == 40 * 6 + 7
