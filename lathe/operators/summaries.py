@@ -505,7 +505,7 @@ def binned_mutual_information(F_: DataFrame, target: str, cols, bins: int = 10)
         b = F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins)
         return F.when(F.col(hi) == F.col(lo), F.lit(0)).otherwise(F.least(b, F.lit(bins - 1)))
 
-    j = longf.join(rng, "feature").select("feature", binexpr("x", "_xl", "_xh").alias("bx"),
+    j = longf.join(F.broadcast(rng), "feature").select("feature", binexpr("x", "_xl", "_xh").alias("bx"),
                                            binexpr("_y", "_yl", "_yh").alias("by"))
     joint = j.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("nxy"))
     wf = Window.partitionBy("feature")
