@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cap1, floor_days_between, perf_score, rnd, sdiv
 from ..functions.quantiles import grouped_quantiles
+from ..session import stored_statistics
 from .sequence import over_sequence, rolling_mean
 
 
@@ -147,7 +148,7 @@ def learning_curves(F_: DataFrame, min_jobs: int = 10) -> DataFrame:
     min(5, n // 3) jobs, its OLS slope x 100 against the job sequence, first/last five
     means, last - first moving average and the span in days."""
     n = F_.groupBy("OperatorName").agg(F.count(F.lit(1)).alias("_jobs"))
-    d = F_.select("OperatorName", "StartTime", "JobNumber", "efficiency").join(n, "OperatorName")
+    d = F_.select("OperatorName", "StartTime", "JobNumber", "efficiency").join(stored_statistics(n), "OperatorName")
     d = d.where(F.col("_jobs") >= min_jobs)
     d = over_sequence(d, ["OperatorName"],
                       lambda w: {f"_ma{k}": rolling_mean("efficiency", k, w) for k in (3, 4, 5)},
