@@ -76,7 +76,7 @@ SELECT JobNumber, StartTime, {', '.join(f"row_number() {over(', '.join(k))} AS {
        WHEN row_number() {over('OperatorName, machine')} <= 15 THEN 'experienced' ELSE 'expert' END AS experience_level
 FROM (SELECT *, CAST(StartTime AS DATE) AS job_date FROM F)"""))
 def win9(spark, d):
-    f = F(spark, d).withColumn("job_date", F_.to_date("StartTime"))
+    f = F(spark, d).select("JobNumber", "StartTime", "machine", "OperatorName", "PartNumber", F_.to_date("StartTime").alias("job_date"))
     out = W.sequence_counters(f, _COUNTERS)
     return out.select("JobNumber", "StartTime", *_COUNTERS,
                       W.experience_label("operator_machine_jobs").alias("experience_level"))
@@ -114,7 +114,8 @@ SELECT JobNumber, StartTime, {', '.join(f"{r6('avg(efficiency) ' + over(k, n))}
   {r6(f"coalesce(CASE WHEN count(efficiency) {over('machine, OperatorName', 10)} >= 2 THEN stddev_samp(efficiency) {over('machine, OperatorName', 10)} END, 0.0E0)")} AS efficiency_volatility
 FROM (SELECT *, row_number() OVER (PARTITION BY machine, OperatorName {ORD}) - 1 AS pos FROM F)"""))
 def win13(spark, d):
-    return W.efficiency_history(F(spark, d)).select(
+    f = F(spark, d).select("JobNumber", "StartTime", "machine", "OperatorName", "efficiency")
+    return W.efficiency_history(f).select(
         "JobNumber", "StartTime", *[o for o, *_ in _W13], "efficiency_trend", "efficiency_volatility")
 
 
