@@ -36,11 +36,13 @@ STEP = 512  # ids between checkpoints
 BLOCK_IDS = 1 << 18  # a block ends with the document that reaches it
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end: int | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`docs` (or its columns `keep`) with `ids` (little-endian unsigned 32-bit) and `n_tokens`."""
+def tokenize(docs: DataFrame, tokenizer: str, end: int | None, text: str = "text", keep: list[str] | None = None, width: int = 4) -> DataFrame:
+    """`docs` (or its columns `keep`) with `ids` (little-endian unsigned, `width` bytes each: 2 or 4) and `n_tokens`."""
     def compute(column: pa.Array) -> list[pa.Array]:
-        ids, offsets = encoder(tokenizer, end).encode(column.to_pylist())
-        return [_binary(ids.astype("<u4"), offsets * 4), pa.array(np.diff(offsets))]
+        ids, offsets = encoder(tokenizer, end).encode(column)
+        if int(ids.max(initial=0)) >> 8 * width:
+            raise ValueError(f"id {ids.max()} needs more than {width} bytes")
+        return [_binary(ids.astype(f"<u{width}"), offsets * width), pa.array(np.diff(offsets))]
 
     return with_columns(docs, text, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], compute, keep)
 
@@ -90,34 +92,36 @@ class Codes:
         spans = np.left_shift(1, self.width - self.bits)
         self.codes = np.right_shift(np.concatenate([[0], np.cumsum(spans)[:-1]]), self.width - self.bits) if len(ids) else self.ids
         top = int(self.ids.max()) + 1 if len(ids) else 1
-        self.code_of, self.bits_of = np.zeros(top, dtype=np.uint64), np.zeros(top, dtype=np.int64)
+        self.code_of, self.bits_of = np.zeros(top, dtype=np.uint32), np.zeros(top, dtype=np.uint8)
         self.code_of[self.ids], self.bits_of[self.ids] = self.codes, self.bits
         self.spans = spans if len(ids) else np.zeros(0, np.int64)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Id and length by the next `width` bits."""
-        fill = (1 << self.width) - int(self.spans.sum())
-        ids = np.concatenate([np.repeat(self.ids, self.spans), np.zeros(fill, np.int64)])
-        bits = np.concatenate([np.repeat(self.bits, self.spans), np.ones(fill, np.int64)])
-        return ids.astype(np.uint32), bits.astype(np.int64)
+        """By the next `width` bits: place among `ids` and length in one number (place * 32 + length); the ids."""
+        look = np.ones(1 << self.width, dtype=np.uint32)
+        filled = int(self.spans.sum())
+        look[:filled] = np.repeat(np.arange(len(self.ids)) << 5 | self.bits, self.spans)
+        return look, np.append(self.ids, 0).astype(np.uint32)
 
 
 def encode_bits(codes: Codes, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, bit offset of every id within its document, byte offsets of the documents); `offsets`: ids of the documents."""
     bits = codes.bits_of[ids]
-    ends = np.concatenate([[0], np.cumsum(bits)])
-    sizes = (ends[offsets[1:]] - ends[offsets[:-1]] + 7) // 8
+    ends = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(bits, out=ends[1:])
+    first = ends[offsets[:-1]]
+    sizes = (ends[offsets[1:]] - first + 7) // 8
     byte = np.concatenate([[0], np.cumsum(sizes)])
-    per_doc = np.diff(offsets)
-    inner = ends[:-1] - np.repeat(ends[offsets[:-1]], per_doc)
-    at = inner + np.repeat(8 * byte[:-1], per_doc)
+    inner = ends[:-1] - np.repeat(first, np.diff(offsets))
     words = np.zeros(int(byte[-1]) // 4 + 2, dtype=np.uint64)
     if len(ids):
+        at = ends[:-1] + np.repeat(8 * byte[:-1] - first, np.diff(offsets))
         place, shift = at >> 5, (64 - (at & 31) - bits).astype(np.uint64)
-        wide = codes.code_of[ids] << shift  # 64 bits from word `place` on; codes don't overlap, so sums are unions
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        words[place[first]] += np.add.reduceat(wide >> np.uint64(32), first)
-        words[place[first] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
+        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        # 64 bits from word `place` on; codes don't overlap, so sums are unions
+        wide, place = np.add.reduceat(codes.code_of[ids] << shift, begin), place[begin]
+        words[place] += wide >> np.uint64(32)
+        words[place + 1] += wide & np.uint64(0xFFFFFFFF)
     return words.astype(">u4").view(np.uint8)[: int(byte[-1])], inner, byte
 
 
@@ -131,21 +135,23 @@ def stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def decode_bits(table: tuple[np.ndarray, np.ndarray], width: int, payload: np.ndarray, checkpoints: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Ids of a block; all stretches between checkpoints advance together."""
-    ids, bits = table
+    look, ids = table
     begin, size = stretches(lengths)
     order = np.argsort(-size, kind="stable")  # those that still run come first
     begin, size, at = begin[order], size[order], checkpoints.astype(np.int64)[order]
     out = np.zeros(int(lengths.sum()), dtype=np.uint32)
-    data = np.concatenate([payload, np.zeros(8, dtype=np.uint8)]).astype(np.int64)
+    data = np.concatenate([payload, np.zeros(8, dtype=np.uint8)]).astype(np.uint32)
     # 32 bits from every byte on hold 7 spent bits and a code of up to 25
     window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-    running = np.searchsorted(-size, -np.arange(STEP), "left")  # stretches longer than i
-    for i in range(int(size[0]) if len(size) else 0):
-        now = at[:running[i]]
-        entry = (window[now >> 3] >> (32 - width - (now & 7))) & ((1 << width) - 1)
-        out[begin[:running[i]] + i] = ids[entry]
-        now += bits[entry]
-    return out
+    spare, mask = 32 - width, (1 << width) - 1
+    running = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # stretches longer than i
+    for count in running.tolist():
+        now, place = at[:count], begin[:count]
+        entry = look.take(window.take(now >> 3) >> (spare - (now & 7)) & mask)
+        out[place] = entry
+        now += entry & 31
+        place += 1
+    return ids.take(out >> 5)
 
 
 BLOCK = T.StructType([
@@ -155,27 +161,30 @@ BLOCK = T.StructType([
 ])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        got = np.bincount(np.frombuffer(buffers(batch.column(0))[0], dtype="<u4"))
-        if len(got) > len(counts):
-            got[:len(counts)] += counts
-            counts = got
-        else:
-            counts[:len(got)] += got
-    ids = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
+def _count(width: int):
+    """Stage ids -> (id, n)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, dtype=np.int64)
+        for batch in pieces(batches, "ids"):
+            got = np.bincount(np.frombuffer(buffers(batch.column(0))[0], dtype=f"<u{width}"))
+            if len(got) > len(counts):
+                got[:len(counts)] += counts
+                counts = got
+            else:
+                counts[:len(got)] += got
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
+    return run
 
 
-def _encode(lengths: np.ndarray, symbols: np.ndarray, bounds: np.ndarray):
+def _encode(lengths: np.ndarray, symbols: np.ndarray, bounds: np.ndarray, width: int):
     """Stage (doc_id, ids) -> (doc_id, n, checkpoints, payload, part); `bounds`: the last doc_id of each part but the last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(symbols, lengths)
-        for batch in pieces(batches, "ids"):
+        for batch in pieces(batches, "ids", width << 18):
             data, off = buffers(batch.column(1))
-            offsets = off // 4
-            payload, inner, byte = encode_bits(codes, np.frombuffer(data, dtype="<u4").astype(np.int64), offsets)
+            offsets = off // width
+            payload, inner, byte = encode_bits(codes, np.frombuffer(data, dtype=f"<u{width}"), offsets)
             sizes = np.diff(offsets)
             begin, _ = stretches(sizes)
             marks = np.concatenate([[0], np.cumsum(-(-sizes // STEP))]) * 8
@@ -219,12 +228,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def write_ids(tokens: DataFrame, path: str, doc_id: str = "doc_id", max_length: int = MAX_LENGTH, parts: int | None = None) -> None:
-    """Write the ids of `tokens` (doc_id, ids) in ascending doc_id order as a folder in the format above.
+def write_ids(tokens: DataFrame, path: str, doc_id: str = "doc_id", max_length: int = MAX_LENGTH, parts: int | None = None, width: int = 4) -> None:
+    """Write the ids of `tokens` (doc_id, ids of `width` bytes each) in ascending doc_id order as a folder in the format above.
 
     `tokens` is read three times (counts, range bounds, blocks), so pass a stored table. Documents travel coded."""
     spark = tokens.sparkSession
-    counted = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("ids").mapInArrow(_count(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.orderBy("id").limit(MAX_VOCABULARY + 1).collect()  # one row per id of the vocabulary
     if len(rows) > MAX_VOCABULARY:
         raise ValueError(f"more than {MAX_VOCABULARY} different ids")
@@ -235,7 +244,7 @@ def write_ids(tokens: DataFrame, path: str, doc_id: str = "doc_id", max_length:
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tokens = tokens.select(F.col(doc_id).cast("long").alias("doc_id"), "ids")
     bounds = sorted(set(tokens.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    coded = tokens.mapInArrow(_encode(lengths, symbols, np.array(bounds)), "doc_id long, n long, checkpoints binary, payload binary, part int")
+    coded = tokens.mapInArrow(_encode(lengths, symbols, np.array(bounds), width), "doc_id long, n long, checkpoints binary, payload binary, part int")
     blocks = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "payload").mapInArrow(_blocks, BLOCK)
     blocks.write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
     totals = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))

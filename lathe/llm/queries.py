@@ -67,9 +67,9 @@ def op2(spark, sf_dir):
     from .store import folder, written
 
     docs = table(spark, sf_dir, "documents")
-    tokens = tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), 2, keep=["doc_id"]).select("doc_id", "ids")
+    tokens = tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), 2, keep=["doc_id"], width=2).select("doc_id", "ids")
     path = folder(spark, "huffman")
-    write_ids(written(tokens, "ids"), path)
+    write_ids(written(tokens, "ids"), path, width=2)
     return read_ids(spark, path, ids=False)
 
 

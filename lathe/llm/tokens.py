@@ -6,14 +6,25 @@ before single blanks, around single line feeds, and before a full stop or comma
 Latin letters and ASCII digits, whose classes no Unicode version changes). Texts where a cut would not be of
 these kinds (runs of white space, "..", special tokens' strings) are cut at sure places only, or
 encoded whole. Each worker keeps a bounded memo of pieces; when it is full, pieces met once are forgotten.
+
+One kind (`apart`, recognised by its file's settings) drops white space and lower-cases. Its texts are cut at ASCII white space
+and between an ASCII or Latin letter or digit and a full stop or comma, in Arrow: no other text needs care, and only a
+slice's different pieces become Python strings. New pieces of Latin letters are lower-cased and go to the model as words.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import repeat
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
+
+from .text import ints
 
 from .held import held
 
@@ -22,6 +33,26 @@ WHOLE = "\x01"  # begins keys of chunks outside the usual cuts
 CUT = "\x02"  # stands at the cuts of a text
 PLAIN, SOFT, BLANK, FEED = range(4)  # how a piece begins: otherwise, with a stop or comma, with a blank; a line feed
 
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # letters in every Unicode version, composed, lower case letter by letter (İ is not)
+LETTERS = re.compile(f"[{LATIN}]+")
+SURE = f"([0-9{LATIN}])([.,])"
+# white space only separates, letters and other signs never share a word, words are lower-cased
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def is_apart(spec: dict) -> bool:
+    """Whether a tokenizer file's settings are those of the kind that `APART` describes, with no special token a cut could split."""
+    model = spec["model"]
+    return ({k: spec.get(k) for k in APART} == APART and model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"[\s.,]", t["content"]) or LETTERS.fullmatch(t["content"])
+                        for t in spec["added_tokens"]))
+
 
 class _Memo(dict):
     """Key -> number; new keys are numbered and queued."""
@@ -50,6 +81,16 @@ class Encoder:
             if len(apart[2]) == 1 and apart[3] == apart[0] + apart[2] + apart[1] + apart[2] + apart[0] + apart[2]:
                 self.mark, self.mark_id = mark, apart[2][0]
                 break
+        self.apart = False
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if self.mark is not None and is_apart(spec):
+            self.apart = True
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+            self.last[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
         self.end, self.limit = end, memo
         self.memo = _Memo()
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
@@ -70,7 +111,8 @@ class Encoder:
 
     def _store_joined(self, numbers: list[int], pieces: list[str]) -> None:
         """Encode many pieces in one call, marks between them."""
-        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces) + self.mark], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        between = self.mark + " " if self.apart else self.mark
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(pieces) + self.mark], add_special_tokens=False)[0].ids, dtype=np.uint32)
         marks = ids == self.mark_id
         at = np.flatnonzero(marks)
         if len(at) == len(pieces):
@@ -82,16 +124,59 @@ class Encoder:
         coded = self._plain(pieces)
         self._store(numbers, np.concatenate(coded), np.array([len(x) for x in coded]))
 
-    def _learn(self) -> None:
-        new, self.memo.new = self.memo.new, []
-        if not new:
-            return
-        n = len(self.memo) - len(new)
+    def _store_words(self, numbers: np.ndarray, words: list[str]) -> None:
+        """Encode many lower-case words of Latin letters in one call; each ends with the one id that ends words."""
+        ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.uint32)
+        at = np.flatnonzero(self.last[ids])
+        if len(at) == len(words) and at[-1] == len(ids) - 1:
+            self._store(numbers, ids, np.diff(at, prepend=-1))
+        else:
+            self._store_each(numbers, words)
+
+    def _room(self) -> None:
+        """Let the tables hold all numbered keys."""
         if len(self.memo) > len(self.tables["begin"]):
             for name, old in self.tables.items():
                 fresh = np.zeros(2 * len(self.memo), dtype=old.dtype)
                 fresh[:len(old)] = old
                 self.tables[name] = fresh
+
+    def _learn_apart(self, n: int, new: pa.Array, keys: list[str]) -> None:
+        """Ids of the new pieces numbered from `n` on; those of Latin letters share the ids of their lower-case word."""
+        self._room()
+        self.tables["uses"][n:n + len(keys)] = 0
+        letters = pc.match_substring_regex(new, f"^[{LATIN}]+$")
+        low = pc.dictionary_encode(pc.utf8_lower(new.filter(letters)))
+        words, inner = low.dictionary.to_numpy(zero_copy_only=False).tolist(), ints(low.indices)
+        is_word = np.asarray(letters)
+        pieces = n + np.flatnonzero(is_word)
+        source = np.zeros(len(words), dtype=np.int64)
+        source[inner[::-1]] = pieces[::-1]  # a word's first piece, or the word itself if it was met before
+        known = np.fromiter(map(self.memo.get, words, repeat(n)), dtype=np.int64, count=len(words))
+        source = np.where(known < n, known, source)
+        todo = np.flatnonzero(known >= n).tolist()
+        for at in range(0, len(todo), 1024):
+            some = todo[at:at + 1024]
+            self._store_words(source[some], [words[i] for i in some])
+        for name in ("begin", "size"):
+            self.tables[name][pieces] = self.tables[name][source[inner]]
+        special = any(s in "\n".join(keys) for s in self.special)
+        sure, other = [], []
+        for i in np.flatnonzero(~is_word).tolist():
+            (other if self.mark[-1] in keys[i] or special and any(s in keys[i] for s in self.special) else sure).append(i)
+        for at in range(0, len(sure), 64):
+            some = sure[at:at + 64]
+            self._store_joined([n + i for i in some], [keys[i] for i in some])
+        for at in range(0, len(other), 1024):
+            some = other[at:at + 1024]
+            self._store_each([n + i for i in some], [keys[i] for i in some])
+
+    def _learn(self) -> None:
+        new, self.memo.new = self.memo.new, []
+        if not new:
+            return
+        n = len(self.memo) - len(new)
+        self._room()
         special = any(s in "\n".join(new) for s in self.special)  # seldom, so looked for in all keys at once
         kind, word, odd = [], [], []
         begins = {" ": BLANK, ".": SOFT, ",": SOFT}
@@ -164,9 +249,25 @@ class Encoder:
         found = np.flatnonzero(bad | self.tables["odd"][which])
         return set((np.searchsorted(bounds, found, "right") - 1).tolist())
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > self.limit:
-            self._forget()
+    def _cut_apart(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all texts' pieces in a row, where each text's pieces begin)."""
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(texts.fill_null(""), SURE, r"\1 \2"))
+        coded = pc.dictionary_encode(cut.flatten())
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.memo.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        fresh, n = np.flatnonzero(numbers < 0), len(self.memo)
+        if len(fresh):
+            new = [keys[i] for i in fresh.tolist()]
+            numbers[fresh] = np.arange(n, n + len(new))
+            self.memo.update(zip(new, range(n, n + len(new))))
+            self._learn_apart(n, coded.dictionary.take(pa.array(fresh)), new)
+        inner = ints(coded.indices)
+        self.tables["uses"][numbers] += np.bincount(inner, minlength=len(keys))
+        bounds = ints(cut.offsets)
+        return numbers[inner], bounds - bounds[0]
+
+    def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all texts' pieces in a row, where each text's pieces begin)."""
         careful = {i for i, t in enumerate(texts) if t and (CUT in t or WHOLE in t)}
         while True:
             keys: list[str] = []
@@ -187,6 +288,15 @@ class Encoder:
                 break
             careful |= unsure
         self.tables["uses"][:len(self.memo)] += np.bincount(which, minlength=len(self.memo))
+        return which, bounds
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.memo) > self.limit:
+            self._forget()
+        if self.apart:
+            which, bounds = self._cut_apart(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        else:
+            which, bounds = self._cut(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
         ids, ends = self._ids(which)
         lengths = np.concatenate([[0], ends])[bounds]
         if self.end is None:

@@ -1,5 +1,7 @@
 """Operators on small frames: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import json
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -69,6 +71,38 @@ def test_encoder_equals_the_tokenizer(name):
                 assert ids[offsets[i]:offsets[i + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_words_of_letters_are_encoded_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    encoder = tokens.Encoder(path, 2)
+    full = []
+    encoder._store_joined, encoder._store_each = (lambda n, p, old=old: (full.extend(p), old(n, p)) for old in (encoder._store_joined, encoder._store_each))
+    texts = ["Überaus überaus ÜBERAUS\nüberaus, Überaus.", " überaus  überaus\t"]
+    ids, offsets = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    # one word, a stop and a comma are kept; only these two signs took the whole tokenizer
+    assert encoder.used == len(plain.encode("überaus", add_special_tokens=False).ids) + 2
+    assert sorted(x for x in full if x) == [",", "."]
+
+
+def test_every_character_beside_cuts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    encoder = tokens.Encoder(path, None)
+    texts = [f"x{c}y {c}{c} A{c}. {c}.b, {c},{c}. H{c}\u0331{c}.\u0301" for c in map(chr, range(0x2070))]
+    ids, offsets = encoder.encode(pa.array(texts).slice(1))
+    for text, a, b, want in zip(texts[1:], offsets, offsets[1:], plain.encode_batch(texts[1:], add_special_tokens=False)):
+        assert ids[a:b].tolist() == want.ids, text
+
+
+def test_other_settings_are_not_taken_for_this_kind():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        spec = json.load(file)
+    assert tokens.is_apart(spec)
+    for part, change in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{**spec["added_tokens"][0], "content": "a b"}])):
+        assert not tokens.is_apart({**spec, part: change})
+
+
 def test_code_lengths_and_bits():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 50, 3000):
@@ -107,6 +141,20 @@ def test_huffman_files(spark, docs, none):
         assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in rows) == want
 
 
+def test_huffman_files_of_narrow_ids(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = []
+    for width in (2, 4):
+        got = written(huffman.tokenize(docs, path, 2, text="body", keep=["id"], width=width), "test")
+        assert all(len(r.ids) == width * r.n_tokens for r in got.collect())
+        where = folder(spark, "test")
+        huffman.write_ids(got, where, doc_id="id", width=width)
+        found.append(sorted(huffman.read_ids(spark, where).collect(), key=lambda r: r.start))
+    assert found[0] == found[1] and len(found[0]) == len(ROWS)
+    with pytest.raises(Exception, match="needs more than 2 bytes"):
+        huffman.tokenize(docs, path, 70_000, text="body", width=2).collect()
+
+
 def test_plan_sequences():
     rng = np.random.default_rng(2)
     for low, high, n in ((1, 101, 40), (30, 60, 25), (100, 101, 5), (20, 51, 300)):
