@@ -124,6 +124,12 @@ def seconds_between(a, b) -> Column:
     return days * 86400.0 + _second_of_day(b) - _second_of_day(a)
 
 
+def second_of_time(t) -> Column:
+    """Seconds since 1970-01-01 of a timestamp_ntz as a double (monotone, zone free)."""
+    t = col(t)
+    return F.datediff(F.to_date(t), F.lit(_EPOCH_DATE).cast("date")).cast("double") * 86400.0 + _second_of_day(t)
+
+
 def floor_days_between(a, b) -> Column:
     """Whole elapsed days from a to b (floor of the elapsed time)."""
     return F.floor(seconds_between(a, b) / 86400.0)

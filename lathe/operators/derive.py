@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, literal
 from ..functions.exprs import cap1, clip01, cut, cut_equal3, human_seconds, row_sum, sdiv, shift_of
-from ..schema import DOWNTIME
+from ..schema import DOWNTIME, JOBLOG_SCHEMA
 from ..session import stage, stored_statistics
-from .sequence import over_sequence, rolling_mean
+from .sequence import Sequence, over_sequence, over_sequences, rolling_mean
 
 
 def core_metrics(df: DataFrame) -> DataFrame:
@@ -82,19 +82,28 @@ def group_features(df: DataFrame) -> DataFrame:
                           cut("operator_experience", EXPERIENCE_EDGES, EXPERIENCE_LABELS))
 
 
-def rolling_features(df: DataFrame) -> DataFrame:
-    """WIN1 + WIN2: 5/10-row rolling means by operator and by machine (StartTime order)."""
-    op_metrics = ["efficiency", "parts_per_hour", "total_downtime"]
-    out = over_sequence(
-        df, ["OperatorName"],
-        lambda w: {f"operator_{m}_rolling_{k}": rolling_mean(m, k, w) for k in (5, 10) for m in op_metrics},
-        before=9,
-    )
-    return over_sequence(
-        stage(out), ["machine"],
-        lambda w: {f"machine_{m}_rolling_{k}": rolling_mean(m, k, w) for k in (5, 10) for m in ("efficiency", "JobDuration")},
-        before=9, base=df,
-    )
+def rolling_features(df: DataFrame, at_once: bool = False) -> DataFrame:
+    """WIN1 + WIN2: 5/10-row rolling means by operator and by machine (StartTime order); `at_once`: with one shuffle of the whole rows
+    instead of two for each key (`over_sequences`)."""
+    op_metrics, machine_metrics = ["efficiency", "parts_per_hour", "total_downtime"], ["efficiency", "JobDuration"]
+
+    def means(name, metrics):
+        return lambda w: {f"{name}_{m}_rolling_{k}": rolling_mean(m, k, w) for k in (5, 10) for m in metrics}
+    operator, machine = means("operator", op_metrics), means("machine", machine_metrics)
+    if at_once:
+        return over_sequences(df, [Sequence(["OperatorName"], op_metrics, (operator,), before=9),
+                                   Sequence(["machine"], machine_metrics, (machine,), before=9)])
+    return over_sequence(stage(over_sequence(df, ["OperatorName"], operator, before=9)), ["machine"], machine, before=9, base=df)
+
+
+def rolling_on_derived(df: DataFrame) -> DataFrame:
+    """`rolling_features` of a derived table: columns that follow from the row's own values (DRV1-DRV8) are not shuffled but made again."""
+    raw = [c for c in JOBLOG_SCHEMA.names if c in df.columns]
+    made = set(df.select(*raw).transform(core_metrics).transform(time_features).columns) - set(raw)
+    kept = [c for c in df.columns if c not in made or c in ("efficiency", "parts_per_hour", "total_downtime")]
+    out = rolling_features(df.select(*kept), at_once=True)
+    rolled = [c for c in out.columns if c not in kept]
+    return out.transform(core_metrics).transform(time_features).select(*df.columns, *rolled)
 
 
 def derive(df: DataFrame, rolling: bool = True) -> DataFrame:

@@ -14,18 +14,23 @@ key into a single task. Instead:
    chunk (a halo). Windows run per (key, chunk); halo rows are dropped after.
 
 The result is exact for any ROWS frame, lag or lead no wider than the halo.
+
+`over_sequences` does several key sets at once and shuffles the whole rows a single time, by segments of the time line that all key sets
+share: see there.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hour_bucket
+from ..functions.exprs import hour_bucket, second_of_time
 from ..schema import DEFAULT
-from ..session import cut_lineage
+from ..session import cut_lineage, stage
 
 ORDER = ("StartTime", "JobNumber")
 
@@ -90,6 +95,110 @@ def over_sequence(df: DataFrame, keys, build: Callable[[WindowFactory], dict], b
     return out if keep_pos else out.drop(pos_col)
 
 
+@dataclass(frozen=True)
+class Sequence:
+    """Window columns over the ordered rows of each key: `builds` are called in turn with `w` as in `over_sequence`, and a later one may use
+    the columns of the ones before. `values` are the columns that frames look at, `before` and `after` the rows that all
+    `builds` together look back and ahead. `counter` names a column for the 1-based position within the key."""
+
+    keys: list
+    values: list = ()
+    builds: tuple = ()
+    before: int = 0
+    after: int = 0
+    counter: str | None = None
+
+
+def time_segments(df: DataFrame, ts: str, segment_rows: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds `_seg`, the number of a row's segment of the time line (equal times share one; rows without a time come first).
+
+    Segments hold about `segment_rows` rows, by quantiles of the times: where they end changes no result."""
+    at = F.coalesce(second_of_time(ts), F.lit(float("-inf")))
+    n = min(-(-df.count() // segment_rows), MAX_SEGMENTS)
+    marks = []
+    if n > 1:
+        grid = [i / n for i in range(1, n)]
+        marks = df.agg(F.percentile_approx(second_of_time(ts), grid, 20 * n).alias("q")).first()["q"] or []
+    splits = [float("-inf"), *sorted(set(marks)), float("inf")]
+    if len(splits) < 3:
+        return lambda d: d.withColumn("_seg", F.lit(0))
+    buckets = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket")  # a binary search
+    return lambda d: buckets.transform(d.withColumn("_at", at)).withColumn("_seg", F.col("_bucket").cast("int")).drop("_at", "_bucket")
+
+
+MAX_SEGMENTS = 4096
+
+
+def over_sequences(df: DataFrame, sequences: list[Sequence], order=ORDER, ts: str = "StartTime",
+                   segment_rows: int = DEFAULT.segment_rows) -> DataFrame:
+    """Evaluate the columns of several key sets with one shuffle of the whole rows.
+
+    1. The time line is cut into segments. The narrow columns that frames look at are shuffled by segment once, and of every (key set, key,
+       segment) the last `before` and first `after` rows are kept, or a count for a counter: the borders.
+    2. Within a key the borders are in order, so those that a segment's frames reach are the next ones in a row: each border row learns
+       the segments that it is copied to. Segments without a row of the key get none. The copies are stored; shuffle files of
+       this step are then gone.
+    3. The whole rows and the copies are shuffled by segment; every key set's windows run within (segment, key) beside its own copies only.
+    """
+    locate = time_segments(df, ts, segment_rows)
+    copies = _copies(locate(_narrow(df, sequences, order)), sequences, order)
+    rows = locate(df).withColumns({"_for": F.lit(-1), "_n": F.lit(1).cast("long")})
+    out = rows.unionByName(stage(copies), allowMissingColumns=True).repartition("_seg")
+    for i, s in enumerate(sequences):
+        part = ["_seg", *s.keys, ~F.col("_for").isin(-1, i)]
+        ordered = Window.partitionBy(*part).orderBy(*order)
+
+        def w(lo=None, hi=None, ordered=ordered):
+            return ordered if lo is None else ordered.rowsBetween(lo, hi)
+
+        for build in s.builds:
+            out = out.select("*", *[c.alias(n) for n, c in build(w).items()])
+        if s.counter:
+            upto = Window.partitionBy(*part).orderBy(F.col("_for") == -1, *order).rowsBetween(Window.unboundedPreceding, 0)
+            out = out.withColumn(s.counter, F.sum("_n").over(upto))
+    return out.where(F.col("_for") == -1).drop("_seg", "_for", "_n")
+
+
+def _narrow(df: DataFrame, sequences: list[Sequence], order) -> DataFrame:
+    return df.select(*dict.fromkeys([*order, *[c for s in sequences for c in [*s.keys, *s.values]]]))
+
+
+def _copies(rows: DataFrame, sequences: list[Sequence], order) -> DataFrame:
+    """Rows of `sequences` in other segments than their own: `_seg` (where to), `_for` (number of the sequence) and, for counters, `_n`,
+    the number of rows of the key in all segments before."""
+    d = rows.repartition("_seg")
+    kept = []
+    for i, s in enumerate(sequences):
+        own = Window.partitionBy("_seg", *s.keys)
+        if s.before:
+            d = d.withColumn(f"_b{i}", F.row_number().over(own.orderBy(*[F.desc_nulls_last(c) for c in order])))
+            kept.append((F.col(f"_b{i}") <= s.before, i, "before", F.lit(0)))
+        if s.after or s.counter:
+            d = d.withColumn(f"_a{i}", F.row_number().over(own.orderBy(*order)))
+        if s.after:
+            kept.append((F.col(f"_a{i}") <= s.after, i, "after", F.lit(0)))
+        if s.counter:
+            d = d.withColumn(f"_c{i}", F.count(F.lit(1)).over(own))
+            kept.append((F.col(f"_a{i}") == 1, i, "count", F.col(f"_c{i}")))
+    tags = F.array(*[F.when(at, F.struct(F.lit(i).alias("_for"), F.lit(side).alias("_side"), n.cast("long").alias("_n"))) for at, i, side, n in kept])
+    d = d.select(*rows.columns, F.explode(F.array_compact(tags)).alias("_t")).select(*rows.columns, "_t.*")
+    keys = list(dict.fromkeys(k for s in sequences for k in s.keys))
+    group = [F.when(F.col("_for").isin([i for i, s in enumerate(sequences) if k in s.keys]), F.col(k)) for k in keys]
+    line = Window.partitionBy("_for", "_side", *group).orderBy("_seg", *order)
+    d = d.withColumns({"_first": ~F.col("_seg").eqNullSafe(F.lag("_seg").over(line)), "_last": ~F.col("_seg").eqNullSafe(F.lead("_seg").over(line)),
+                       "_sum": F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1))})
+    to = F.when(F.col("_side") == "count", F.when(F.col("_sum") > 0, F.array("_seg")))
+    for k in sorted({s.before for s in sequences} - {0}):
+        reach = F.collect_list(F.when(F.col("_first"), F.col("_seg"))).over(line.rowsBetween(1, k))
+        to = to.when((F.col("_side") == "before") & F.col("_for").isin([i for i, s in enumerate(sequences) if s.before == k]), reach)
+    for k in sorted({s.after for s in sequences} - {0}):
+        reach = F.collect_list(F.when(F.col("_last"), F.col("_seg"))).over(line.rowsBetween(-k, -1))
+        to = to.when((F.col("_side") == "after") & F.col("_for").isin([i for i, s in enumerate(sequences) if s.after == k]), reach)
+    d = d.withColumn("_to", to)
+    n = F.when(F.col("_side") == "count", F.col("_sum")).otherwise(F.lit(0)).cast("long")
+    return d.select(*[c for c in rows.columns if c != "_seg"], F.explode("_to").alias("_seg"), "_for", n.alias("_n"))
+
+
 def rolling_mean(x: str, k: int, w: WindowFactory, min_periods: int = 1) -> Column:
     """pandas rolling(k, min_periods).mean(): NULLs skipped, k counts rows."""
     frame = w(-(k - 1), 0)

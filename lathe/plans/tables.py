@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import validate_raw
-from ..operators.derive import derive, rolling_features
+from ..operators.derive import derive, rolling_on_derived
 from ..session import shared_path, small_methods
 from ..sources.fixture import joblog_from_tpch
 
@@ -61,4 +61,4 @@ def C(spark: SparkSession, sf_dir: str) -> DataFrame:
 def F(spark: SparkSession, sf_dir: str, rolling: bool = False) -> DataFrame:
     """Cleaned + derived job log; `rolling=True` adds the WIN1/WIN2 columns."""
     base = materialized(spark, sf_dir, "derived", lambda: derive(C(spark, sf_dir), rolling=False))
-    return rolling_features(base) if rolling else base
+    return rolling_on_derived(base) if rolling else base

@@ -58,9 +58,10 @@ class Config:
     efficiency_threshold: float = 0.8
     test_size: float = 0.2
     random_state: int = 42
-    # Sequence windows: hour buckets to number rows, and rows per window chunk.
+    # Sequence windows: hour buckets to number rows, rows per window chunk, and rows per segment of the time line.
     bucket_unit: str = "hour"
     chunk_rows: int = 20_000
+    segment_rows: int = 100_000
 
 
 DEFAULT = Config()
