@@ -1,7 +1,8 @@
 """Sequence and history windows over jobs (WIN5-WIN18, WIN20, WIN21).
 
 Order within a key is always (StartTime, JobNumber). Per-key sequences go
-through `over_sequence` (position + chunk + halo), so a machine, operator or
+through `over_sequence` (position + chunk + halo) or, for several key sets,
+`over_sequences` (time segments), so a machine, operator or
 pair that holds a third of the log is still split over many tasks. Whole-key
 means are grouped aggregates joined back, never `avg().over(partitionBy(k))`.
 """
@@ -15,7 +16,7 @@ from ..functions.exprs import cut, hour_bucket, seconds_between
 from ..schema import DOWNTIME
 from ..session import stage, stored_statistics
 from .derive import dominant_downtime
-from .sequence import ORDER, cumulative_last, over_sequence, rolling_mean, rolling_std, with_position
+from .sequence import ORDER, Sequence, cumulative_last, over_sequence, over_sequences, rolling_mean, rolling_std, with_position
 
 MO = ["machine", "OperatorName"]
 
@@ -96,15 +97,12 @@ def duration_rolling(df: DataFrame, target: str = "JobDuration",
                          before=9, base=df)
 
 
-def efficiency_history(df: DataFrame) -> DataFrame:
+def efficiency_history(df: DataFrame, at_once: bool = False) -> DataFrame:
     """WIN13 + WIN14: efficiency rolling means (machine 5/10/20, operator 5/10/20,
     machine x operator 3/5), OLS slope of the last <= 5 values (>= 2) and the std of
-    the last <= 10 values (>= 2, else 0) by machine x operator."""
-    out = over_sequence(df, ["machine"], lambda w: {
-        f"machine_efficiency_rolling_{k}": rolling_mean("efficiency", k, w) for k in (5, 10, 20)}, before=19)
-    first = out = stage(out)
-    out = over_sequence(out, ["OperatorName"], lambda w: {
-        f"operator_efficiency_rolling_{k}": rolling_mean("efficiency", k, w) for k in (5, 10, 20)}, before=19, base=df)
+    the last <= 10 values (>= 2, else 0) by machine x operator. `at_once`: see `sequence_counters`."""
+    def means(name):
+        return lambda w: {f"{name}_efficiency_rolling_{k}": rolling_mean("efficiency", k, w) for k in (5, 10, 20)}
 
     def pair(w):
         f5 = w(-4, 0)
@@ -114,6 +112,13 @@ def efficiency_history(df: DataFrame) -> DataFrame:
                                        F.regr_slope(F.col("efficiency"), F.col("_pos").cast("double")).over(f5)),
             "efficiency_volatility": F.coalesce(rolling_std("efficiency", 10, w, min_periods=2), F.lit(0.0)),
         }
+    if at_once:  # a slope is the same from any first position
+        place = lambda w: {"_pos": F.row_number().over(w())}
+        return over_sequences(df, [Sequence(["machine"], ["efficiency"], (means("machine"),), before=19),
+                                   Sequence(["OperatorName"], ["efficiency"], (means("operator"),), before=19),
+                                   Sequence(MO, ["efficiency"], (place, pair), before=9)]).drop("_pos")
+    first = out = stage(over_sequence(df, ["machine"], means("machine"), before=19))
+    out = over_sequence(out, ["OperatorName"], means("operator"), before=19, base=df)
     d = with_position(stage(out, first), MO, base=df)
     return over_sequence(d, MO, pair, before=9, pos_col="_pos")
 

@@ -115,7 +115,7 @@ SELECT JobNumber, StartTime, {', '.join(f"{r6('avg(efficiency) ' + over(k, n))}
 FROM (SELECT *, row_number() OVER (PARTITION BY machine, OperatorName {ORD}) - 1 AS pos FROM F)"""))
 def win13(spark, d):
     f = F(spark, d).select("JobNumber", "StartTime", "machine", "OperatorName", "efficiency")
-    return W.efficiency_history(f).select(
+    return W.efficiency_history(f, at_once=True).select(
         "JobNumber", "StartTime", *[o for o, *_ in _W13], "efficiency_trend", "efficiency_volatility")
 
 
