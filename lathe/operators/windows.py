@@ -57,8 +57,11 @@ def downtime_sequences(df: DataFrame, top_n: int = 10) -> DataFrame:
     return pairs.orderBy(F.desc("count"), "current_downtime", "next_downtime").limit(top_n)
 
 
-def sequence_counters(df: DataFrame, keysets: dict[str, list[str]]) -> DataFrame:
-    """WIN9: 1-based job counters per key set ({out: keys})."""
+def sequence_counters(df: DataFrame, keysets: dict[str, list[str]], at_once: bool = False) -> DataFrame:
+    """WIN9: 1-based job counters per key set ({out: keys}); `at_once`: with one shuffle of the whole rows for all key sets instead of one
+    for each (`over_sequences`)."""
+    if at_once:
+        return over_sequences(df, [Sequence(keys, counter=out) for out, keys in keysets.items()])
     d, done = df, None
     for i, (out, keys) in enumerate(keysets.items()):
         if i:

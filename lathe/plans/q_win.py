@@ -77,7 +77,7 @@ SELECT JobNumber, StartTime, {', '.join(f"row_number() {over(', '.join(k))} AS {
 FROM (SELECT *, CAST(StartTime AS DATE) AS job_date FROM F)"""))
 def win9(spark, d):
     f = F(spark, d).select("JobNumber", "StartTime", "machine", "OperatorName", "PartNumber", F_.to_date("StartTime").alias("job_date"))
-    out = W.sequence_counters(f, _COUNTERS)
+    out = W.sequence_counters(f, _COUNTERS, at_once=True)
     return out.select("JobNumber", "StartTime", *_COUNTERS,
                       W.experience_label("operator_machine_jobs").alias("experience_level"))
 

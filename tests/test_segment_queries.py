@@ -7,6 +7,7 @@ from lathe.plans import registry
 ONE_SHUFFLE = [
     "drv12_derived_table",
     "win13_efficiency_history",
+    "win9_sequence_counters",
 ]
 
 
