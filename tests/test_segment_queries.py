@@ -8,6 +8,7 @@ ONE_SHUFFLE = [
     "drv12_derived_table",
     "win13_efficiency_history",
     "win9_sequence_counters",
+    "ano10_anomaly_feature_table",
 ]
 
 
