@@ -23,11 +23,10 @@ MO = ["machine", "OperatorName"]
 
 def downtime_history(df: DataFrame, window: int = 5) -> DataFrame:
     """WIN5: rolling mean of every downtime category by machine and by operator."""
-    out = over_sequence(df, ["machine"], lambda w: {f"{c}_machine_avg": rolling_mean(c, window, w) for c in DOWNTIME},
-                        before=window - 1)
-    return over_sequence(out, ["OperatorName"],
-                         lambda w: {f"{c}_operator_avg": rolling_mean(c, window, w) for c in DOWNTIME},
-                         before=window - 1, base=df)
+    def means(name):
+        return lambda w: {f"{c}_{name}_avg": rolling_mean(c, window, w) for c in DOWNTIME}
+    return over_sequences(df, [Sequence([key], DOWNTIME, (means(name),), before=window - 1)
+                               for key, name in (("machine", "machine"), ("OperatorName", "operator"))])
 
 
 def jobs_since_downtime(df: DataFrame, never: int = 999) -> DataFrame:

@@ -9,6 +9,7 @@ ONE_SHUFFLE = [
     "win13_efficiency_history",
     "win9_sequence_counters",
     "ano10_anomaly_feature_table",
+    "win5_downtime_history",
 ]
 
 
