@@ -128,9 +128,10 @@ def efficiency_history(df: DataFrame, at_once: bool = False) -> DataFrame:
 def gaps(df: DataFrame) -> DataFrame:
     """WIN15: seconds since the previous job on the machine (first: 0), in the
     (machine, operator) pair (first: 0) and in the (machine, part) pair (first: 86400)."""
-    out = over_sequence(df, ["machine"], lambda w: {"_pm": F.lag("StartTime").over(w())}, before=1)
-    out = over_sequence(out, MO, lambda w: {"_pmo": F.lag("StartTime").over(w())}, before=1, base=df)
-    out = over_sequence(out, ["machine", "PartNumber"], lambda w: {"_pmp": F.lag("StartTime").over(w())}, before=1, base=df)
+    def previous(name):
+        return lambda w: {name: F.lag("StartTime").over(w())}
+    out = over_sequences(df, [Sequence(keys, (), (previous(name),), before=1)
+                              for name, keys in (("_pm", ["machine"]), ("_pmo", MO), ("_pmp", ["machine", "PartNumber"]))])
     return out.withColumns({
         "time_since_last_machine_job": F.coalesce(seconds_between("_pm", "StartTime"), F.lit(0.0)),
         "time_since_last_job": F.coalesce(seconds_between("_pmo", "StartTime"), F.lit(0.0)),

@@ -10,6 +10,7 @@ ONE_SHUFFLE = [
     "win9_sequence_counters",
     "ano10_anomaly_feature_table",
     "win5_downtime_history",
+    "win15_time_gaps",
 ]
 
 
