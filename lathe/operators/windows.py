@@ -171,12 +171,12 @@ def pair_means(df: DataFrame, target: str = "JobDuration") -> DataFrame:
 def notebook_rolling(df: DataFrame) -> DataFrame:
     """WIN18: machine efficiency/downtime 3/5/10, operator efficiency/setup 3/5, differences
     to the 5/3 means and the machine rolling-5 std (>= 2, else 0)."""
-    out = over_sequence(df, ["machine"], lambda w: {
-        **{f"machine_{m}_roll_{k}": rolling_mean(m, k, w) for m in ("efficiency", "total_downtime") for k in (3, 5, 10)},
-        "machine_efficiency_std_5": F.coalesce(rolling_std("efficiency", 5, w, min_periods=2), F.lit(0.0)),
-    }, before=9)
-    out = over_sequence(out, ["OperatorName"], lambda w: {
-        f"operator_{m}_roll_{k}": rolling_mean(m, k, w) for m in ("efficiency", "SetupTime") for k in (3, 5)}, before=4, base=df)
+    out = over_sequences(df, [
+        Sequence(["machine"], ["efficiency", "total_downtime"], (lambda w: {
+            **{f"machine_{m}_roll_{k}": rolling_mean(m, k, w) for m in ("efficiency", "total_downtime") for k in (3, 5, 10)},
+            "machine_efficiency_std_5": F.coalesce(rolling_std("efficiency", 5, w, min_periods=2), F.lit(0.0))},), before=9),
+        Sequence(["OperatorName"], ["efficiency", "SetupTime"], (lambda w: {
+            f"operator_{m}_roll_{k}": rolling_mean(m, k, w) for m in ("efficiency", "SetupTime") for k in (3, 5)},), before=4)])
     return out.withColumns({
         "efficiency_vs_machine_roll": F.col("efficiency") - F.col("machine_efficiency_roll_5"),
         "efficiency_vs_operator_roll": F.col("efficiency") - F.col("operator_efficiency_roll_3"),

@@ -11,6 +11,7 @@ ONE_SHUFFLE = [
     "ano10_anomaly_feature_table",
     "win5_downtime_history",
     "win15_time_gaps",
+    "win18_notebook_rolling",
 ]
 
 
