@@ -90,13 +90,11 @@ def recent_performance(df: DataFrame) -> DataFrame:
 def duration_rolling(df: DataFrame, target: str = "JobDuration",
                      related=("RunningTime", "SetupTime", "total_downtime")) -> DataFrame:
     """WIN12: target rolling 3/5/10 by machine and by operator; related variables 3/5 by machine."""
-    out = over_sequence(df, ["machine"], lambda w: {
-        **{f"machine_{target}_rolling_{k}": rolling_mean(target, k, w) for k in (3, 5, 10)},
-        **{f"{v}_rolling_{k}": rolling_mean(v, k, w) for v in related for k in (3, 5)},
-    }, before=9)
-    return over_sequence(out, ["OperatorName"],
-                         lambda w: {f"operator_{target}_rolling_{k}": rolling_mean(target, k, w) for k in (3, 5, 10)},
-                         before=9, base=df)
+    return over_sequences(df, [
+        Sequence(["machine"], [target, *related], (lambda w: {
+            **{f"machine_{target}_rolling_{k}": rolling_mean(target, k, w) for k in (3, 5, 10)},
+            **{f"{v}_rolling_{k}": rolling_mean(v, k, w) for v in related for k in (3, 5)}},), before=9),
+        Sequence(["OperatorName"], [target], (lambda w: {f"operator_{target}_rolling_{k}": rolling_mean(target, k, w) for k in (3, 5, 10)},), before=9)])
 
 
 def efficiency_history(df: DataFrame, at_once: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ ONE_SHUFFLE = [
     "win5_downtime_history",
     "win15_time_gaps",
     "win18_notebook_rolling",
+    "win12_duration_rolling",
 ]
 
 
