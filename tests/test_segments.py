@@ -30,7 +30,8 @@ def sequences():
 
     return [Sequence(["machine"], ["x"], (machine,), before=4), Sequence(["machine", "OperatorName"], ["x"], (pair,), before=2, after=1),
             Sequence(["OperatorName"], ["x"], (lambda w: {"_d": F.col("x") - F.lag("x").over(w())}, lambda w: {"d3": rolling_mean("_d", 3, w)}), before=3),
-            Sequence(["OperatorName"], counter="n"), Sequence(["machine"], counter="nm")]
+            Sequence(["OperatorName"], ["x"], counter="n", since={"since0": F.col("x") == 0, "since20": F.col("x") > 20, "since3": F.col("x") % 3 == 0}),
+            Sequence(["OperatorName"], ["x"], (lambda w: {"o2": rolling_mean("x", 2, w)},), before=1), Sequence(["machine"], counter="nm")]
 
 
 @pytest.mark.parametrize("segment_rows", [1, 3, 40, 10_000])
@@ -40,8 +41,9 @@ def test_equal_to_plain_windows(spark, segment_rows):
     m, o, p = (Window.partitionBy(*k).orderBy(*ORDER) for k in (["machine"], ["OperatorName"], ["machine", "OperatorName"]))
     want = d.withColumn("_d", F.col("x") - F.lag("x").over(o)).select(
         "*", F.avg("x").over(m.rowsBetween(-4, 0)).alias("m5"), F.lag("StartTime").over(m).alias("prev"), F.lead("x").over(p).alias("nxt"),
-        F.avg("x").over(p.rowsBetween(-2, 0)).alias("p3"), F.avg("_d").over(o.rowsBetween(-2, 0)).alias("d3"), F.row_number().over(o).cast("long").alias("n"), F.row_number().over(m).cast("long").alias("nm"))
-    columns = ["JobNumber", "passed", "machine", "OperatorName", "StartTime", "m5", "prev", "nxt", "p3", "d3", "n", "nm"]
+        F.avg("x").over(p.rowsBetween(-2, 0)).alias("p3"), F.avg("_d").over(o.rowsBetween(-2, 0)).alias("d3"), F.row_number().over(o).cast("long").alias("n"), F.row_number().over(m).cast("long").alias("nm"),
+        F.avg("x").over(o.rowsBetween(-1, 0)).alias("o2")).withColumns({name: F.col("n") - F.max(F.when(on, F.col("n"))).over(o.rowsBetween(Window.unboundedPreceding, 0)) for name, on in sequences()[3].since.items()})
+    columns = ["since0", "since20", "since3", "o2", "JobNumber", "passed", "machine", "OperatorName", "StartTime", "m5", "prev", "nxt", "p3", "d3", "n", "nm"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
 
 
