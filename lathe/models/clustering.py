@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import sdiv
+from ..session import stored_statistics
 
 FEATURES = ["efficiency_mean", "consistency_score", "SetupTime_mean", "parts_per_hour", "versatility_score",
             "total_downtime_mean"]
@@ -50,24 +51,31 @@ def label_expr() -> Column:
             .otherwise("Developing Operators"))
 
 
-def cluster_operators(F_: DataFrame, max_k: int = 8, seeds=(42,), default_k: int = 3) -> DataFrame:
-    """ML14: k in 2 .. min(8, n // 2) - 1 by best silhouette (best of a few seeds per k, as
-    several restarts); returns OperatorName, cluster, cluster_label, silhouette, k."""
-    f = operator_features(F_)
+SEEDS = tuple(range(42, 52))  # fixed value: ten restarts
+
+
+def best_restart(vec: DataFrame, k: int, seeds) -> KMeansModel:
+    """The k-means model of the least squared distances of the restarts; each runs until its centres rest."""
+    fitted = [KMeans(k=k, seed=seed, maxIter=300, featuresCol="features", predictionCol="cluster").fit(vec) for seed in seeds]
+    return min(fitted, key=lambda m: m.summary.trainingCost)
+
+
+def cluster_operators(F_: DataFrame, max_k: int = 8, seeds=SEEDS, default_k: int = 3) -> DataFrame:
+    """ML14: k in 2 .. min(8, n // 2) - 1 by best silhouette, each k by the best of its restarts;
+    returns OperatorName, cluster, cluster_label, silhouette, k."""
+    f = stored_statistics(operator_features(F_))
     vec = VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="features").transform(f).cache()
     n = vec.count()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
     best = None
     for k in range(2, min(max_k, n // 2)):
-        for seed in seeds:
-            pred = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec).transform(vec)
-            s = ev.evaluate(pred)
-            if best is None or s > best[0]:
-                best = (s, k, pred)
+        pred = best_restart(vec, k, seeds).transform(vec)
+        s = ev.evaluate(pred)
+        if best is None or s > best[0]:
+            best = (s, k, pred)
     if best is None:
         k = max(1, min(default_k, n))
-        pred = KMeans(k=k, seed=seeds[0], featuresCol="features", predictionCol="cluster").fit(vec).transform(vec)
-        best = (None, k, pred)
+        best = (None, k, best_restart(vec, k, seeds).transform(vec))
     s, k, pred = best
     per = pred.groupBy("cluster").agg(
         F.avg("efficiency_mean").alias("c_eff"), F.avg("consistency_score").alias("c_cons"),
